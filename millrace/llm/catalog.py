@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import mix, pack, shard, urls
+from millrace.llm import mix, pack, shard, toxicity, urls
 
-_MODULES = (mix, urls, pack, shard)
+_MODULES = (toxicity, mix, urls, pack, shard)
 
 
 def queries():
