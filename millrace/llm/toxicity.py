@@ -80,8 +80,8 @@ class FactorizationMachine:
 
 
 def distinct(terms: list[np.ndarray]) -> np.ndarray:
-    """The first of each group of texts with the same three least places after scrambling: copies and most near copies of a text count once."""
-    keys = [tuple(np.sort((t.astype(np.uint64) + 1) * np.uint64(0x9E3779B97F4A7C15))[:3].tolist()) for t in terms]
+    """The first of each group of texts with the same eight least places after scrambling: copies and most near copies of a text count once."""
+    keys = [tuple(np.sort((t.astype(np.uint64) + 1) * np.uint64(0x9E3779B97F4A7C15))[:8].tolist()) for t in terms]
     return np.array(sorted({key: i for i, key in reversed([*enumerate(keys)])}.values()), dtype=np.int64)
 
 
@@ -101,8 +101,8 @@ def informative(terms: list[np.ndarray], labels: np.ndarray, least: int, bounds:
 def fit(
     terms: list[np.ndarray], labels: np.ndarray, dimensions: int = 8, steps: int = 1500, batch: int = 128, rate: float = 0.3, l1: float = 0.2, l2: float = 1e-3, least: int = 4, bounds: tuple[tuple[float, float], ...] = ((1.0, 2.5), (0.3, 4.0)), seed: int = 5
 ) -> FactorizationMachine:
-    """Fit by follow-the-regularised-leader on the weights, whose L1 leaves terms without bearing at 0, and AdaGrad on the factors of terms that have a
-    weight. Only informative terms take part, so that a long text's many indifferent words don't add up. Without labels of both kinds every score is
+    """Fit by follow-the-regularised-leader on the weights, whose L1 leaves terms without bearing at 0, and AdaGrad on the factors.
+    Only informative terms take part, so that a long text's many indifferent words don't add up. Without labels of both kinds every score is
     the share of label 1 (0 if none)."""
     rng, places = np.random.default_rng(seed), 1 << BITS
     labels = np.asarray(labels, float)
@@ -120,10 +120,8 @@ def fit(
     to[kept] = np.arange(len(kept))
     terms = [x[x >= 0] for x in (to[t] for t in terms)]
     small = FactorizationMachine(out.bias, np.zeros(len(kept)), rng.normal(0, 0.1, (len(kept), dimensions)))
-    z, n, gv = np.zeros(len(kept)), np.zeros(len(kept)), np.full((len(kept), dimensions), 1e-8)
-    bias_n, start = 1.0, small.factors.copy()
-    active = np.zeros(len(kept), bool)
-    small.factors[:] = 0
+    z, n, squared = np.zeros(len(kept)), np.zeros(len(kept)), np.full((len(kept), dimensions), 1e-8)
+    bias_n = 1.0
     for _ in range(-(-steps * batch // len(terms))):
         order = rng.permutation(len(terms))
         for lo in range(0, len(order), batch):
@@ -136,28 +134,17 @@ def fit(
             at, g_at = at[:-1], np.repeat(g, sizes)
             here, inverse = np.unique(at, return_inverse=True)
             gw = np.bincount(inverse, g_at, minlength=len(here))
-            # weights
             sigma = (np.sqrt(n[here] + gw * gw) - np.sqrt(n[here])) / rate
             z[here] += gw - sigma * small.weights[here]
             n[here] += gw * gw
             zh = z[here]
             small.weights[here] = np.where(np.abs(zh) <= l1, 0.0, -(zh - np.sign(zh) * l1) / ((1.0 + np.sqrt(n[here])) / rate + l2))
-            # factors
-            on = small.weights[here] != 0
-            fresh = on & ~active[here]
-            small.factors[here[fresh]] = start[here[fresh]]
-            active[here[fresh]] = True
-            mask = active[at]
-            if mask.any():
-                v = small.factors[at[mask]]
-                grad = g_at[mask, None] * (np.repeat(sums, sizes, axis=0)[mask] - v)
-                held_v, where = np.unique(at[mask], return_inverse=True)
-                total = np.stack([np.bincount(where, grad[:, d], minlength=len(held_v)) for d in range(dimensions)], 1) + l2 * small.factors[held_v]
-                gv[held_v] += total * total
-                small.factors[held_v] -= 0.1 * total / np.sqrt(gv[held_v])
+            grad = g_at[:, None] * (np.repeat(sums, sizes, axis=0) - small.factors[at])
+            total = np.stack([np.bincount(inverse, grad[:, d], minlength=len(here)) for d in range(dimensions)], 1) + l2 * small.factors[here]
+            squared[here] += total * total
+            small.factors[here] -= rate / 3 * total / np.sqrt(squared[here])
             small.bias -= rate * g.sum() / np.sqrt(bias_n)
             bias_n += g.sum() ** 2
-    small.factors[small.weights == 0] = 0
     out.bias, out.weights[kept], out.factors[kept] = float(small.bias), small.weights, small.factors
     return out
 
