@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import mix, pack, shard, toxicity, urls
+from millrace.llm import ann, mix, neardup_vectors, pack, shard, toxicity, urls
 
-_MODULES = (toxicity, mix, urls, pack, shard)
+_MODULES = (toxicity, ann, mix, urls, neardup_vectors, pack, shard)
 
 
 def queries():
