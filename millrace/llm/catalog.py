@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import ann, minhash, mix, neardup_vectors, pack, shard, toxicity, urls
+from millrace.llm import ann, minhash, mix, neardup_vectors, pack, shard, substrings, toxicity, urls
 
-_MODULES = (toxicity, ann, mix, minhash, urls, neardup_vectors, pack, shard)
+_MODULES = (substrings, toxicity, ann, mix, minhash, urls, neardup_vectors, pack, shard)
 
 
 def queries():
