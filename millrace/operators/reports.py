@@ -68,7 +68,7 @@ def counter_rate(samples: DataFrame, labels: list[str], time: str = "ts", value:
     w = W.partitionBy(*labels).orderBy(time)
     before, at = F.lag(value).over(w), F.lag(time).over(w)
     grown = F.when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
-    seconds = F.unix_micros(time) / 1e6 - F.unix_micros(at) / 1e6
+    seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1e6
     return samples.withColumn("rate", F.when(seconds > 0, grown / seconds)).where("rate IS NOT NULL")
 
 

@@ -211,7 +211,7 @@ def header_from(rules: list[str], headers: str = "headers") -> Step:
         if headers not in df.columns or not isinstance(df.schema[headers].dataType, T.ArrayType):
             return df
         header, path = pair
-        value = F.element_at(F.filter(headers, lambda h: h["key"] == header), -1)["value"].cast("string")
+        value = F.try_element_at(F.filter(headers, lambda h: h["key"] == header), F.lit(-1))["value"].cast("string")
         if paths.is_dynamic(df):
             body = F.col(BODY)
             return df.withColumn(BODY, F.when(value.isNotNull(), paths.put_variant(body, paths.segments(path), value.cast("variant"))).otherwise(body))

@@ -348,7 +348,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
-    d = F.col("o_orderdate")
+    d = F.col("o_orderdate").cast("timestamp")
     body = F.to_json(F.struct("o_orderkey", F.unix_seconds(d).alias("seconds"), (F.unix_seconds(d) * 1000).alias("millis"), F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'+08:00'").alias("offset_text"), F.date_format(d, "yyyy-MM-dd").alias("day")))
     out = co.align(paths.parse_body(o.select(body.alias("value"))), [("o_orderkey", "bigint"), ("seconds", "timestamp"), ("millis", "timestamp(3)"), ("offset_text", "timestamp with time zone"), ("day", "date")])
     return out.select("o_orderkey", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("seconds", "millis", "offset_text")], "day")
