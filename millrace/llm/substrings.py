@@ -5,10 +5,12 @@ string starts with one anchor is a segment, and everything a string can equal li
 
 * segments whose anchor occurs once hold nothing repeated and are dropped at once; most of a corpus goes here,
 * segments that are equal as a whole are repeated as a whole, which counting them tells,
-* where one anchor has different segments, one of each goes to a shard with the others of its anchor. A shard concatenates its segments, builds
-  their suffix array by induced sorting and the permuted common prefixes, and neighbours that share `length` bytes or more are repeats.
+* where one anchor has different segments, these are halved: strings with more of themselves to the anchor's left, and the others. Halves that
+  differ in what all their strings hold can't match, equal ones are repeated as a whole, and one of each of the others goes to a shard with those it may match. A shard
+  concatenates its pieces, builds their suffix array by induced sorting and the permuted common prefixes, and neighbours that share `length`
+  bytes or more are repeats.
 
-An anchor with very many different segments would make too large a shard. Its strings are told apart by 128-bit fingerprints and counted instead.
+Very many different pieces that may match would make too large a shard. Their strings are told apart by 128-bit fingerprints and counted instead.
 """
 
 from __future__ import annotations
@@ -131,74 +133,60 @@ def _pieces(segment: bytes, anchor: int, n: int, length: int) -> list[tuple[byte
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Segments (sorted by anchor, one for each content) -> the places of repeats in those that occur once, as (doc_id, h, start, end)."""
-    marks: list[tuple] = []
-    shard: list[bytes] = []
-    owners: list[tuple | None] = []
-    held = 0
-
-    def mark(owner, positions: np.ndarray) -> None:
-        if len(positions):
-            doc_id, h, start = owner
-            edges = np.flatnonzero(np.diff(positions) > 1)
-            for a, b in zip(positions[np.r_[0, edges + 1]].tolist(), positions[np.r_[edges, len(positions) - 1]].tolist(), strict=True):
-                marks.append((doc_id, h, start + a, start + b + length))
-
-    def flush() -> None:
-        nonlocal held
-        if shard:
-            for owner, positions in zip(owners, repeated(shard, length), strict=True):
-                if owner is not None:
-                    mark(owner, positions)
-        shard.clear()
-        owners.clear()
-        held = 0
-
-    def group(anchor: int, rows: list[tuple]) -> None:
-        nonlocal held
-        halves: dict[bytes, dict[bytes, list]] = {}
-        for doc_id, h, start, n, single, data in rows:
+def _halve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Segments -> their halves, under a hash of the anchor and what all strings of the half hold."""
+    for batch in batches:
+        rows = []
+        for anchor, doc_id, h, start, n, single, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             for key, offset, piece in _pieces(data, anchor, n, length):
-                halves.setdefault(key, {}).setdefault(piece, []).append((doc_id, h, start + offset) if single else None)
-        for variants in halves.values():
-            for piece, who in variants.items():
-                if len(who) > 1:  # equal as a whole
-                    for owner in filter(None, who):
-                        mark(owner, np.arange(len(piece) - length + 1))
-            if len(variants) > 1 and any(len(who) == 1 and who[0] for who in variants.values()):
-                for piece, who in variants.items():
-                    shard.append(piece)
-                    owners.append(who[0] if len(who) == 1 else None)
-                    held += len(piece)
-        if held >= shard_bytes:
-            flush()
-
-    def out() -> pa.RecordBatch:
-        cols = list(zip(*marks, strict=True)) or [(), (), (), ()]
-        marks.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "h", "start", "end"])
-
-    last, rows = None, []
+                rows.append((anchor, *_digest(key), doc_id, h, start + offset, single, piece, *_digest(piece)))
+        cols = list(zip(*rows, strict=True)) or [()] * 10
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "k1", "k2", "doc_id", "h", "start", "single", "data", "c1", "c2"])
+
+
+def _digest(data: bytes) -> tuple[int, int]:
+    import xxhash
+
+    value = xxhash.xxh3_128_intdigest(data)
+    return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _search(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Different pieces, those that can match side by side -> where repeats are in those that occur once, as (doc_id, h, start, end).
+
+    Groups are gathered to shards of about shard_bytes; a group is never cut."""
+
+    def search(shard: list[tuple]) -> pa.RecordBatch:
+        doc, hs, starts, ends = [], [], [], []
+        for (doc_id, h, start, single, _), positions in zip(shard, repeated([r[4] for r in shard], length), strict=True):
+            if single and len(positions):
+                edges = np.flatnonzero(np.diff(positions) > 1)
+                first, last = positions[np.r_[0, edges + 1]] + start, positions[np.r_[edges, len(positions) - 1]] + start + length
+                doc += [doc_id] * len(first)
+                hs += [h] * len(first)
+                starts += first.tolist()
+                ends += last.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "h", "start", "end"])
+
+    shard, held, last = [], 0, None
     for batch in batches:
-        for anchor, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if anchor != last and rows:
-                group(last, rows)
-                rows = []
-            last = anchor
-            rows.append(tuple(row))
-        if len(marks) > 10_000:
-            yield out()
-    if rows:
-        group(last, rows)
-    flush()
-    yield out()
+        for anchor, k1, k2, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held >= shard_bytes and (anchor, k1, k2) != last:
+                yield search(shard)
+                shard, held = [], 0
+            last = (anchor, k1, k2)
+            shard.append(tuple(row))
+            held += len(row[4])
+    if shard:
+        yield search(shard)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every string of the segments as 128 bits."""
     for batch in batches:
-        for doc_id, h, start, n, single, data in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+        for doc_id, h, start, single, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            n = len(data) - length + 1
             buffer, at = np.frombuffer(data, np.uint8), np.arange(n)
             f = [pa.array(Rolling(buffer, kind).of(at, at + length).view(np.int64)) for kind in (3, 4)]
             yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(at + start, pa.int32()), *f, pa.array([single] * n)], names=["doc_id", "h", "start", "f1", "f2", "single"])
@@ -207,7 +195,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 18, most: int = 2000) -> DataFrame:
     """(doc_id, h, spans) of documents (doc_id, h, text) that hold repeats: spans are unmerged (start, end) of bytes that a repeated string covers.
 
-    most: beyond so many different segments of one anchor its strings are counted by fingerprint, whose rows are dealt by their value."""
+    most: beyond so many different pieces of one key its strings are counted by fingerprint, whose rows are dealt by their value."""
     rows = cut(_rows(docs, length))
     twice = rows.groupBy("anchor").count().where("count > 1").select("anchor")
     rows = cut(rows.join(twice, "anchor", "left_semi"))
@@ -217,19 +205,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 <
 
     several = kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.min("k").alias("least")).where("variants > 1 AND least = 1").select("anchor", "variants")
     open_ = kinds.join(several, "anchor").select(
-        F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.struct("anchor", F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), (F.col("k") == 1).alias("single"), (F.col("variants") > most).alias("hot")).alias("want")
+        F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.struct("anchor", F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), (F.col("k") == 1).alias("single")).alias("want")
     )
     wants = open_.groupBy("doc_id", "h").agg(F.collect_list("want").alias("wants"))  # at most a document's own segments
     found = docs.alias("d").join(wants.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.h") == F.col("w.h")))
     taken = found.select("d.doc_id", "d.h", F.col("d.text").cast("binary").alias("bytes"), F.explode("w.wants").alias("want")).select(
-        F.col("want.anchor").alias("anchor"), "doc_id", "h", F.col("want.start").alias("start"), F.col("want.n").alias("n"), F.col("want.single").alias("single"), F.expr(f"substring(bytes, want.start + 1, want.n + {length - 1})").alias("data"), F.col("want.hot").alias("hot")
+        F.col("want.anchor").alias("anchor"), "doc_id", "h", F.col("want.start").alias("start"), F.col("want.n").alias("n"), F.col("want.single").alias("single"), F.expr(f"substring(bytes, want.start + 1, want.n + {length - 1})").alias("data")
     )
-    taken = cut(taken)
-    sharded = taken.where("NOT hot").drop("hot").dropDuplicates(["anchor", "doc_id", "h", "start"]).repartition(parts(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "doc_id", "h", "start")
-    marks = sharded.mapInArrow(lambda b: _search(b, length, shard_bytes), "doc_id long, h long, start int, end int")
-    prints = cut(taken.where("hot").drop("hot").dropDuplicates(["anchor", "doc_id", "h", "start"]).mapInArrow(lambda b: _fingerprints(b, length), "doc_id long, h long, start int, f1 long, f2 long, single boolean"))
-    equal = prints.groupBy("f1", "f2").count().where("count > 1").select("f1", "f2")
-    hot = prints.where("single").join(equal, ["f1", "f2"], "left_semi").select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
+    # halves of segments: again equal ones are repeated as a whole, and only where one key has different ones is anything left to search
+    halves = cut(taken.mapInArrow(lambda b: _halve(b, length), "anchor long, k1 long, k2 long, doc_id long, h long, start int, single boolean, data binary, c1 long, c2 long"))
+    key, content = ["anchor", "k1", "k2"], ["c1", "c2"]
+    spots = F.struct("doc_id", "h", "start")
+    pieces = cut(halves.groupBy(*key, *content).agg(F.countDistinct(spots).alias("k"), F.min(spots).alias("rep"), F.max("single").alias("single"), F.first("data").alias("data"), (~F.min("single")).alias("many")))
+    twice = pieces.where("(k > 1 OR many) AND single").select(*key, *content)
+    equal = halves.where("single").join(twice, [*key, *content], "left_semi").select("doc_id", "h", "start", (F.col("start") + F.octet_length("data")).alias("end"))
+    lone = (F.col("k") == 1) & F.col("single") & ~F.col("many")
+    open_keys = pieces.groupBy(*key).agg(F.count("*").alias("variants"), F.max(lone).alias("lone")).where("variants > 1 AND lone").select(*key, (F.col("variants") > most).alias("hot"))
+    left = cut(pieces.join(open_keys, key).select(*key, F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.col("rep.start").alias("start"), lone.alias("single"), "data", "hot"))
+    sharded = left.where("NOT hot").drop("hot").repartition(parts(docs.sparkSession), *key).sortWithinPartitions(*key, "doc_id", "h", "start")
+    marks = sharded.mapInArrow(lambda b: _search(b, length, shard_bytes), "doc_id long, h long, start int, end int").unionByName(equal)
+    prints = cut(left.where("hot").drop("hot", *key).mapInArrow(lambda b: _fingerprints(b, length), "doc_id long, h long, start int, f1 long, f2 long, single boolean"))
+    same_print = prints.groupBy("f1", "f2").count().where("count > 1").select("f1", "f2")
+    hot = prints.where("single").join(same_print, ["f1", "f2"], "left_semi").select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
     return whole.unionByName(marks).unionByName(hot).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
