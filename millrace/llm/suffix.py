@@ -13,9 +13,11 @@ def _classify(s: np.ndarray) -> np.ndarray:
     return np.append(np.append(step, 1)[following] > 0, True)
 
 
-def _induce(s: list[int], small: list[bool], heads: list[int], tails: list[int], lms: list[int], n: int) -> list[int]:
-    """Sort all suffixes given their leftmost-smaller ones in order: larger suffixes follow from left to right, smaller ones from right to left."""
-    sa = [-1] * n
+def _induce(s: list[int], larger: list[bool], smaller: list[bool], heads: list[int], tails: list[int], lms: list[int], n: int) -> list[int]:
+    """Sort all suffixes given their leftmost-smaller ones in order: larger suffixes follow from left to right, smaller ones from right to left.
+
+    larger and smaller tell of each place, n for an empty slot included, whether the suffix before it is of that type."""
+    sa = [n] * n
     ends = tails.copy()
     for i in reversed(lms):
         c = s[i]
@@ -23,17 +25,18 @@ def _induce(s: list[int], small: list[bool], heads: list[int], tails: list[int],
         sa[ends[c]] = i
     starts = heads.copy()
     for i in sa:  # entries are filled in ahead of the scan
-        if i > 0 and not small[i - 1]:
+        if larger[i]:
             c = s[i - 1]
-            sa[starts[c]] = i - 1
-            starts[c] += 1
+            r = starts[c]
+            sa[r] = i - 1
+            starts[c] = r + 1
     ends = tails.copy()
     for r in range(n - 1, -1, -1):
         i = sa[r]
-        if i > 0 and small[i - 1]:
+        if smaller[i]:
             c = s[i - 1]
-            ends[c] -= 1
-            sa[ends[c]] = i - 1
+            ends[c] = q = ends[c] - 1
+            sa[q] = i - 1
     return sa
 
 
@@ -46,8 +49,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     counts = np.bincount(s)
     tails = np.cumsum(counts)
-    seq, flags = s.tolist(), small.tolist()
-    args = (seq, flags, (tails - counts).tolist(), tails.tolist())
+    seq = s.tolist()
+    args = (seq, [False, *(~small[:-1]).tolist(), False], [False, *small[:-1].tolist(), False], (tails - counts).tolist(), tails.tolist())
     # sort the leftmost-smaller substrings by inducing from them in any order, and name them by rank
     first = np.array(_induce(*args, lms.tolist(), n))
     is_lms = np.zeros(n, bool)
@@ -70,21 +73,25 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each position how many symbols its suffix shares with the one before it in sa. Computed in text order, where it falls by one at most per step."""
-    n = len(s)
+    """For each position how many symbols its suffix shares with the one before it in sa.
+
+    Where the symbols before both are equal the value is one less than at the position before; only the others are compared, all of them side by side."""
+    n, step = len(s), 16
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    seq, out, length = s.tolist(), [0] * n, 0
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            length = 0
-            continue
-        top = n - max(i, j)
-        while length < top and seq[i + length] == seq[j + length]:
-            length += 1
-        out[i] = length
-        length = max(0, length - 1)
-    return np.array(out)
+    at = np.arange(n)
+    own = np.flatnonzero((before > 0) & (at > 0) & (s[np.maximum(at - 1, 0)] != s[np.maximum(before - 1, 0)]) | (before == 0) | (at == 0) & (before >= 0))
+    padded = np.append(s, np.zeros(step, s.dtype))
+    lcp, live = np.zeros(n, np.int64), own
+    while len(live):
+        i, j = (live + lcp[live])[:, None] + np.arange(step), (before[live] + lcp[live])[:, None] + np.arange(step)
+        differ = padded[i] != padded[j]
+        stop = differ.any(1)
+        lcp[live] += np.where(stop, differ.argmax(1), step)
+        live = live[~stop]
+    reach = np.zeros(n, np.int64)
+    reach[own] = lcp[own] + own
+    return np.maximum(np.maximum.accumulate(reach) - at, 0)
 
 
 def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
