@@ -59,12 +59,13 @@ RFC3339 = "2006-01-02T15:04:05Z07:00"
 def time_pattern(layout: str) -> str:
     """The date pattern for a layout written as the reference time; other letters are quoted."""
     named = {"RFC3339": RFC3339, "RFC3339Nano": "2006-01-02T15:04:05.000000Z07:00"}
-    layout, out, i = named.get(layout, layout), "", 0
+    layout, out, i, quoted = named.get(layout, layout), "", 0, ""
     while i < len(layout):
-        for part, pattern in LAYOUT:
-            if layout.startswith(part, i):
-                out, i = out + pattern, i + len(part)
-                break
-        else:
-            out, i = out + (f"'{layout[i]}'" if layout[i].isalpha() else "''" if layout[i] == "'" else layout[i]), i + 1
-    return out
+        found = next(((part, pattern) for part, pattern in LAYOUT if layout.startswith(part, i)), None)
+        if not found and layout[i].isalpha():
+            quoted, i = quoted + layout[i], i + 1
+            continue
+        if quoted:
+            out, quoted = f"{out}'{quoted}'", ""
+        out, i = (out + found[1], i + len(found[0])) if found else (out + ("''" if layout[i] == "'" else layout[i]), i + 1)
+    return f"{out}'{quoted}'" if quoted else out

@@ -15,7 +15,8 @@ def truthy_variant(value: Column) -> Column:
     """Booleans as they are; text unless '' or 'false'; numbers unless 0; null no; objects and arrays, empty ones too, yes; missing no."""
     kind = F.schema_of_variant(value)
     found = (
-        F.when(kind == "BOOLEAN", value.try_cast("boolean"))
+        F.when(value.isNull(), False)
+        .when(kind == "BOOLEAN", value.try_cast("boolean"))
         .when(kind == "STRING", ~value.try_cast("string").isin("", "false"))
         .when(kind == "VOID", False)
         .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), True)

@@ -76,7 +76,7 @@ def select(fields: list[str], keep: tuple[str, ...] = ()) -> Step:
             body = F.col(BODY)
             entries = F.array(*[F.when(paths.variant_exists(body, f), F.struct(F.lit(paths.last_segment(f)).alias("k"), paths.variant_at(body, f).alias("v"))) for f in fields])
             found = F.filter(entries, lambda e: e.isNotNull())
-            return df.withColumn(BODY, F.when(body.isNotNull() & (F.size(found) > 0), F.map_from_arrays(F.transform(found, lambda e: e["k"]), F.transform(found, lambda e: e["v"]))).otherwise(body))
+            return df.withColumn(BODY, F.when(body.isNotNull() & (F.size(found) > 0), paths.last_wins(F.transform(found, lambda e: e["k"]), F.transform(found, lambda e: e["v"]))).otherwise(body))
         found = {paths.last_segment(f): paths.typed_at(f) for f in fields if paths.typed_type(df.schema, f) is not None}
         return df.select(*[c for c in keep if c not in found], *[v.alias(k) for k, v in found.items()]) if found else df
 
@@ -104,7 +104,7 @@ def flatten(field: str) -> Step:
         wrapped = value.try_cast("map<string,variant>")
         items = F.coalesce(value.try_cast("array<variant>"), F.when(F.size(wrapped) == 1, wrapped["array"].try_cast("array<variant>")))
         rest = paths.drop_variant(body, paths.segments(field))
-        element = lambda x: F.when(x.try_cast("map<string,variant>").isNotNull(), F.map_concat(F.col("__rest"), x.try_cast("map<string,variant>"))).otherwise(F.map_concat(F.col("__rest"), F.create_map(F.lit(last), x)))
+        element = lambda x: F.when(x.try_cast("map<string,variant>").isNotNull(), paths.over(F.col("__rest"), x.try_cast("map<string,variant>"))).otherwise(paths.over(F.col("__rest"), F.create_map(F.lit(last), x)))
         staged = df.withColumn("__items", items).withColumn("__rest", rest)
         bodies = F.when(F.col("__items").isNull(), F.array(body)).when(F.size("__items") == 0, F.array(F.col("__rest"))).otherwise(F.transform("__items", element))
         return staged.withColumn(BODY, F.explode_outer(bodies)).drop("__items", "__rest")
@@ -153,7 +153,7 @@ def _rename_keys(column_rename, text_rename, deep: bool) -> Step:
             body = F.col(BODY)
             if deep:  # of any depth, which no built-in function reaches: batches of JSON text
                 return df.withColumn(BODY, F.from_json(deeply(F.to_json(body)), "map<string,variant>"))
-            return df.withColumn(BODY, F.transform_keys(body, lambda k, _: column_rename(k)))
+            return df.withColumn(BODY, paths.last_wins(F.transform(F.map_keys(body), column_rename), F.map_values(body)))
         kind = names.renamed(df.schema, text_rename, deep)
         return df.select(*[F.col(f"`{f.name}`").cast(g.dataType).alias(g.name) if f.dataType != g.dataType else F.col(f"`{f.name}`").alias(g.name) for f, g in zip(df.schema.fields, kind.fields, strict=True)])
 
