@@ -1,8 +1,63 @@
-"""A corpus pipeline (its stages follow as the operators land)."""
+"""A corpus pipeline: toxicity, near-dedup, repeated passages, source mixture, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), where docs has the columns of `documents`, and returns a DataFrame; its decisions take effect in what it returns.
+run() applies all stages to the table `documents`.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import minhash, mix, pack, substrings, toxicity
+from millrace.llm.common import cut, read_table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that a factorization machine, learned from the labelled documents of sf_dir, does not call toxic. Null and empty texts stay."""
+    model = toxicity.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], "text"), model)
+    return scored.where("predicted = 0").select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; null and empty texts stay."""
+    named = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row"))
+    return minhash.near_duplicates(named).where("keep").select("row.*")
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 200 bytes that repeat. A cut inside a character removes the rest of it; n_chars is counted anew."""
+    named = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row"))
+    out = substrings.remove_repeats(named)
+    whole = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", ""))
+    kept = out.select("row", whole.alias("new"))
+    fields = {"text": F.col("new"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new").cast("long"))}
+    return kept.select(*[fields.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mixture takes them. Documents without a word weigh nothing, so they are neither repeated nor dropped."""
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    named = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.struct(*docs.columns).alias("row"))
+    return mix.mix_sources(named).where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 4096 tokens."""
+    return pack.query(spark, sf_dir, docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("near_dedup", drop_near_copies), ("suffix_dedup", remove_passages), ("mix", mix_sources), ("pack", pack_sequences)]
+
+ORACLE_SQL = None  # trained models and tokenizers; tests/llm holds each stage against its operator and a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs
