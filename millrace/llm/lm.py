@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, read_table
 
 NAME = "op1_lm_score"
-_CACHE_WORDS = 300_000
+_TABLE_WORDS = 600_000
 _state: dict = {}
 
 
@@ -39,7 +39,7 @@ def encoder(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _state.update(path=path, enc=tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), size=len(ranks) + 1, words={})
+        _state.update(path=path, enc=tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), size=len(ranks) + 1)
     return _state["enc"], _state["size"]
 
 
@@ -78,8 +78,10 @@ class Attention:
         s /= s.sum(2, keepdims=True)
         return np.matmul(s, v) + self.bias, s, q, k, v, ids, gap
 
-    def log_probabilities(self, sequences: list[np.ndarray], step: int = 32, windows: int = 512) -> np.ndarray:
+    def log_probabilities(self, sequences: list[np.ndarray], step: int = 32, windows: int = 128) -> np.ndarray:
         """windows over each sequence -> log probabilities of the classes after every id, sequences end to end."""
+        gap = np.arange(self.context, self.context + step)[:, None] - np.arange(self.context + step)[None, :]
+        masked = np.where((gap >= 0) & (gap <= self.context), self.distance[np.clip(gap, 0, self.context)], np.float32(-1e9))
         out = []
         cuts = []
         for s in sequences:
@@ -90,7 +92,18 @@ class Attention:
         whole = np.concatenate(cuts)
         real = whole[:, self.context :].ravel() >= 0
         for lo in range(0, len(whole), windows):
-            o = self.attend(whole[lo : lo + windows])[0]
+            # as attend(), but what only training needs is left out and weights are divided by their sum after they have been applied
+            window = whole[lo : lo + windows]
+            ids = np.maximum(window, 0)
+            s = np.matmul(self.queries[ids[:, -step:]], self.keys[ids].transpose(0, 2, 1))
+            s += masked
+            open_ = np.flatnonzero((window < 0).any(1))
+            s[open_] += np.where(window[open_] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+            np.minimum(s, np.float32(60), out=s)
+            np.exp(s, out=s)
+            o = np.matmul(s, self.values[ids])
+            o /= np.maximum(s.sum(2, keepdims=True), np.float32(1e-30))
+            o += self.bias
             o -= o.max(2, keepdims=True)
             out.append((o - np.log(np.exp(o).sum(2, keepdims=True))).reshape(-1, o.shape[2]))
         return np.concatenate(out)[real]
@@ -102,7 +115,10 @@ def _topics(docs: list[np.ndarray], size: int, classes: int, rng, rounds: int =
     kept = np.argsort(-seen, kind="stable")[:4096]
     to = np.full(size, -1)
     to[kept] = np.arange(len(kept))
-    x = np.stack([np.sqrt(np.bincount(d[d >= 0], minlength=len(kept))) for d in (to[t] for t in docs)]).astype(np.float32)
+    x = np.zeros((len(docs), len(kept)), np.float32)
+    for row, t in zip(x, docs, strict=True):
+        d = to[t]
+        row[:] = np.sqrt(np.bincount(d[d >= 0], minlength=len(kept)))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     centres = x[rng.choice(len(x), 1)]
     while len(centres) < min(classes, len(x)):  # the next centre is a text that is far from those there are
@@ -126,9 +142,11 @@ def train(texts: list[bytes], path: str, classes: int = 16, width: int = 16, con
     rng = np.random.default_rng(seed)
     docs, ids_of = [], {}
     for t in texts:
-        ids = [np.array(ids_of.get(w) or ids_of.setdefault(w, enc.encode_ordinary(" " + w.decode())), np.int64) for w in words_of(t)]
-        docs.append(ids)
-    flat = [np.concatenate([[size - 1], *d]).astype(np.int64) for d in docs]
+        words = words_of(t)
+        for w in set(words).difference(ids_of):
+            ids_of[w] = np.array(enc.encode_ordinary(" " + w.decode()), np.int32)
+        docs.append([ids_of[w] for w in words])
+    flat = [np.concatenate([np.array([size - 1], np.int32), *d]) for d in docs]
     topics = _topics(flat, size, classes, rng) if flat else np.zeros((size, classes), np.float32)
     model = Attention(
         context, rng.normal(0, 0.1, (size, width)).astype(np.float32), rng.normal(0, 0.1, (size, width)).astype(np.float32),
@@ -142,7 +160,7 @@ def train(texts: list[bytes], path: str, classes: int = 16, width: int = 16, con
         ends = np.cumsum([0, *map(len, d)])
         want[ends] = np.append(model.classes(d), classes) if d else classes
         n = -(-len(s) // step)
-        p, w = np.full(context + n * step, -1, np.int64), np.full(n * step, -1)
+        p, w = np.full(context + n * step, -1, np.int32), np.full(n * step, -1, np.int32)
         p[context : context + len(s)], w[: len(s)] = s, want
         windows.append(np.lib.stride_tricks.sliding_window_view(p, context + step)[::step])
         targets.append(w.reshape(n, step))
@@ -220,7 +238,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 counts.update(words_of(t))
                 counts[b""] += 1
-                if len(counts) > 4 * _CACHE_WORDS:
+                if len(counts) > _TABLE_WORDS:
                     yield out()
         yield out()
 
@@ -267,7 +285,7 @@ def _spellings(words: DataFrame, path: str) -> np.ndarray:
     return np.log10((counts + 2 * single) / (counts.sum(1, keepdims=True) + 2)).astype(np.float32)
 
 
-def learn(docs: DataFrame, path: str, sample: int = 3000, hot_words: int = 100_000, **options) -> tuple[Shared, DataFrame]:
+def learn(docs: DataFrame, path: str, sample: int = 2000, hot_words: int = 200_000, **options) -> tuple[Shared, DataFrame]:
     """What scoring needs, and (word, n, class) of all words of docs (doc_id, text). At most `sample` texts train classes and attention, taken by a hash."""
     rows = docs.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample).select(F.col("text").cast("string")).toArrow()
     model = train([t.encode() for t in rows.column(0).to_pylist()], path, **options)
@@ -297,45 +315,59 @@ def score(docs: DataFrame, shared: Shared, words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = held.value
         enc, size = encoder(s.path)
-        letters, known, last = _letters(s.path), _state["words"], s.model.topics.shape[1]
+        letters, known, last = _letters(s.path), {}, s.model.topics.shape[1]
         log_n, start = np.log10(s.total + s.distinct + 1), np.array([size - 1], np.int32).tobytes()
 
-        def learn_words(new: list[bytes]) -> None:
-            """word -> (bytes of its subword ids, class, count or -1 if the counts must be asked, score if unseen)"""
-            ids = [enc.encode_ordinary(" " + w.decode()) for w in new]
-            for w, i, c in zip(new, ids, s.model.classes([np.array(i) for i in ids]).tolist(), strict=True):
-                n = s.hot.get(w, -1)
-                spell = 0.0
-                if n < 0:
-                    p = [_SMALL, *letters.encode_ordinary(w.decode()), _SMALL]
-                    spell = float(s.log_unseen[c] + s.spelling[p[:-1], p[1:]].sum())
-                known[w] = (np.array(i, np.int32).tobytes(), c, n, spell, len(i))
+        def entries(new: list[bytes]) -> dict[bytes, tuple]:
+            """word -> (bytes of its subword ids, class, count or -1 if the counts must be asked, score if unseen, number of ids)"""
+            spelled = [w.decode() for w in new]
+            ids = [enc.encode_ordinary(" " + w) for w in spelled]
+            counts = [s.hot.get(w, -1) for w in new]
+            classes = s.model.classes([np.array(i, np.int32) for i in ids])
+            cold = [i for i, n in enumerate(counts) if n < 0]
+            spell = np.zeros(len(new))
+            if cold:
+                chain = [letters.encode_ordinary(spelled[i]) for i in cold]
+                flat = np.array([_SMALL, *[x for c in chain for x in (*c, _SMALL)]])
+                ends = np.cumsum([len(c) + 1 for c in chain])
+                steps = np.add.reduceat(s.spelling[flat[:-1], flat[1:]].astype(np.float64), np.r_[0, ends[:-1]])
+                spell[cold] = steps + s.log_unseen[classes[cold]]
+            return dict(zip(new, zip([np.array(i, np.int32).tobytes() for i in ids], classes.tolist(), counts, spell.tolist(), map(len, ids), strict=True), strict=True))
 
         for whole in batches:
             for lo in range(0, whole.num_rows, 128):
                 b = whole.slice(lo, 128)
                 texts = [words_of(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
+                # frequent words stay in the worker; a rare one seldom comes again, so it is worked out with its batch
                 new = list({w for t in texts for w in t}.difference(known))
+                rare: dict[bytes, tuple] = {}
                 if new:
-                    if len(known) + len(new) > _CACHE_WORDS:
-                        known.clear()
-                        new = list({w for t in texts for w in t})
-                    learn_words(new)
-                got = [[known[w] for w in t] for t in texts]
-                sequences = [np.frombuffer(start + b"".join([g[0] for g in t]), np.int32).astype(np.int64) for t in got]
+                    rare = entries(new)
+                    known.update((w, e) for w, e in rare.items() if e[2] >= 0)
+                get = lambda w: known.get(w) or rare[w]
+                flat = [get(w) for t in texts for w in t]
+                sizes = np.array([len(t) for t in texts])
+                raw, cls, n, _, lengths = zip(*flat, strict=True) if flat else ((), (), (), (), ())
+                cls, n, lengths = np.array(cls, np.int64), np.array(n, np.float64), np.array(lengths, np.int64)
+                word_end = np.cumsum(np.r_[0, sizes])
+                sequences = [np.frombuffer(start + b"".join(raw[x:y]), np.int32) for x, y in zip(word_end[:-1].tolist(), word_end[1:].tolist(), strict=True)]
                 lp = s.model.log_probabilities(sequences) / np.log(10)
-                at, base, scores, sure, tail = 0, [], [], [], []
-                for t, words_, q in zip(got, texts, sequences, strict=True):
-                    ends = at + np.cumsum([0, *[g[4] for g in t]])
-                    cls = np.array([*[g[1] for g in t], last])
-                    n = np.array([g[2] for g in t], np.float64)
-                    hot = n >= 0
-                    base.append(float(np.log10(n[hot] + 1).sum() - hot.sum() * log_n + np.log10(s.ends + 1) - log_n))
-                    scores.append(float(lp[ends, cls].sum() + np.log10(n[hot]).sum() + s.log_share[cls[:-1][hot]].sum()))
-                    sure.append(int(hot.sum()) + (s.ends > 0))
-                    cold = Counter(w for w, g in zip(words_, t, strict=True) if g[2] < 0)
-                    tail.append([{"word": w.decode(), "k": k, "class": known[w][1], "spell": known[w][3]} for w, k in cold.items()])
-                    at += len(q)
+                # the id after which a word is predicted is the last before it; each text has one more in front
+                doc = np.repeat(np.arange(len(texts)), sizes)
+                before = np.cumsum(lengths) - lengths + doc
+                after = np.cumsum([len(q) for q in sequences]) - 1
+                hot = n >= 0
+                logs, by_doc = np.log10(np.maximum(n, 0) + 1), lambda x: np.bincount(doc, x, minlength=len(texts))
+                base = by_doc(np.where(hot, logs - log_n, 0.0)) + np.log10(s.ends + 1) - log_n
+                own = lp[before, cls] + np.where(hot, np.log10(np.maximum(n, 1)) + s.log_share[cls], 0.0)
+                scores = by_doc(own) + lp[after, last]
+                sure = by_doc(hot.astype(np.float64)).astype(np.int64) + (s.ends > 0)
+                words_flat = [w for t in texts for w in t]
+                cold = np.flatnonzero(~hot)
+                tally = Counter(zip(doc[cold].tolist(), [words_flat[i] for i in cold.tolist()], strict=True))
+                tail: list[list[dict]] = [[] for _ in texts]
+                for (d, w), k in tally.items():
+                    tail[d].append({"word": w.decode(), "k": k, "class": rare[w][1], "spell": rare[w][3]})
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(sure, pa.int64()), pa.array(base), pa.array(scores), pa.array(tail, rest)], names=["doc_id", "h", "n_tokens", "sure", "base", "scored", "cold"]
                 )
