@@ -6,7 +6,6 @@ run() applies all stages to the table `documents`.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
