@@ -16,11 +16,11 @@ def base_type(name: str) -> str:
     return name.lower().split("(")[0].strip()
 
 
-def _parts(value: Column, kind: T.DataType) -> tuple[Column, Column, Column]:
-    """A value as number, text and boolean; null where it is none of them."""
+def _parts(value: Column, kind: T.DataType, what: Column | None = None) -> tuple[Column, Column, Column]:
+    """A value as number, text and boolean; null where it is none of them. what: a variant's kind, if it is known already."""
     if isinstance(kind, T.VariantType):
-        what = F.schema_of_variant(value)
-        text = F.when(what == "VOID", F.lit(None).cast("string")).otherwise(paths.variant_text(value))
+        what = F.schema_of_variant(value) if what is None else what
+        text = F.when(what == "VOID", F.lit(None).cast("string")).otherwise(paths.variant_text(value, what))
         number = F.when(~what.isin("STRING", "BOOLEAN", "VOID") & ~what.startswith("OBJECT") & ~what.startswith("ARRAY"), value.try_cast("double"))
         return number, text, F.when(what == "BOOLEAN", value.try_cast("boolean"))
     none = F.lit(None)
@@ -29,10 +29,10 @@ def _parts(value: Column, kind: T.DataType) -> tuple[Column, Column, Column]:
     return number, text, value if isinstance(kind, T.BooleanType) else none.cast("boolean")
 
 
-def coerce(value: Column, kind: T.DataType, target: str) -> Column:
+def coerce(value: Column, kind: T.DataType, target: str, what: Column | None = None) -> Column:
     """value, of type kind, as a target type. Null stays null; what doesn't fit becomes 0, false or null as the target has it."""
     name = base_type(target)
-    number, text, flag = _parts(value, kind)
+    number, text, flag = _parts(value, kind, what)
     there = text.isNotNull()
     if name in INTEGERS:
         exact = value.cast("bigint") if isinstance(kind, T.IntegralType) else F.bround(number, 0)
@@ -54,5 +54,8 @@ def coerce(value: Column, kind: T.DataType, target: str) -> Column:
 def align(df: DataFrame, target: list[tuple[str, str]]) -> DataFrame:
     """All columns of a target (name, type), in its order: missing ones null, extra ones left out, values brought to their types."""
     if paths.is_dynamic(df):
-        return df.select(*[coerce(F.col(paths.BODY)[n], T.VariantType(), t).alias(n) for n, t in target])
+        # each value and its kind are taken out once, then mentioned as often as a coercion needs them
+        taken = [F.col(paths.BODY)[n].alias(f"__v{i}") for i, (n, _) in enumerate(target)]
+        staged = df.select(*taken).select("*", *[F.schema_of_variant(f"__v{i}").alias(f"__k{i}") for i in range(len(target))])
+        return staged.select(*[coerce(F.col(f"__v{i}"), T.VariantType(), t, F.col(f"__k{i}")).alias(n) for i, (n, t) in enumerate(target)])
     return df.select(*[coerce(F.col(f"`{n}`"), df.schema[n].dataType, t).alias(n) if n in df.columns else F.lit(None).cast("string" if base_type(t) in TEXTS else t).alias(n) for n, t in target])

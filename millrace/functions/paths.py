@@ -61,9 +61,9 @@ def variant_exists(body: Column, path: str) -> Column:
     return F.coalesce(F.map_contains_key(body, F.lit(found[0])) if len(found) == 1 else variant_at(body, path).isNotNull(), F.lit(False))
 
 
-def variant_text(value: Column) -> Column:
+def variant_text(value: Column, kind: Column | None = None) -> Column:
     """The text form of a variant: strings as they are, null as '', whole numbers without a fraction, objects and arrays as JSON."""
-    kind = F.schema_of_variant(value)
+    kind = F.schema_of_variant(value) if kind is None else kind
     number = F.regexp_replace(value.try_cast("string"), r"^(-?\d+)\.0$", "$1")
     return F.when(kind == "VOID", "").when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(value)).when(kind == "STRING", value.try_cast("string")).otherwise(number)
 
