@@ -143,6 +143,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
     return joined.mapInArrow(run, "a string, b string")
 
 
+def _elsewhere(texts: DataFrame, words: int) -> DataFrame:
+    """(id, total, common): the weight of each text's shingles and of those among them that another of the texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 128):
+                b = whole.slice(lo, 128)
+                sets = [shingles(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                which = pa.array(np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(which), pa.array(np.concatenate([k for k, _ in sets]).view(np.int64)), pa.array(np.concatenate([w for _, w in sets]).astype(np.int64))], names=["id", "shingle", "weight"])
+
+    rows = cut(texts.select("id", "text").mapInArrow(run, "id string, shingle long, weight long"))
+    twice = rows.groupBy("shingle").count().where("count > 1").select("shingle")
+    common = rows.join(twice, "shingle", "left_semi").groupBy("id").agg(F.sum("weight").alias("common"))
+    return rows.groupBy("id").agg(F.sum("weight").alias("total")).join(common, "id", "left").select("id", "total", F.coalesce("common", F.lit(0)).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, words: int = 5) -> DataFrame:
     """The columns of docs, then group_id and keep, for every row of docs (doc_id, text).
 
@@ -158,12 +175,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     texts = docs.where(some).select(id_.alias("id"), F.col("text").cast("string").alias("text"))
     keys = cut(_bands(texts, bands, rows, words).dropDuplicates(["id"]))
     buckets = keys.select("id", F.posexplode("keys").alias("band", "key"))
-    shared = cut(buckets.groupBy("band", "key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("band", "key", "first"))
-    inside = cut(buckets.join(shared, ["band", "key"]).select("id", "band", "key", "first"))
+    shared = cut(buckets.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "key", "size"))
+    inside = cut(buckets.join(shared, ["band", "key"]).select("id", "band", "key", "size"))
+    # the text of a bucket that shares most buckets with most others: what its copies were made from, if it is there
+    central = inside.groupBy("id").agg(F.sum("size").alias("weight"))
+    pivots = inside.join(central, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("weight", "id")).alias("first"))
     wanted = cut(texts.join(inside.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
 
     # each document of a bucket against one of them
-    tried = cut(inside.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
+    tried = cut(inside.join(pivots, ["band", "key"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
     edges = cut(_verified(tried, wanted, threshold, words))
     components = cut(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
@@ -172,8 +192,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     counted = placed.groupBy("band", "key", "component").count()
     split = counted.groupBy("band", "key").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("n")).where("n > 1").select("band", "key", "major")
     left = cut(placed.join(split, ["band", "key"]).select("id", "band", "key", "component", "major"))
-    minor = left.where("component <> major").select(F.col("id").alias("other"), "band", "key", F.col("component").alias("c"))
-    rest = left.join(minor, ["band", "key"]).where("component <> c").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    # two texts share no more than what of each occurs elsewhere among these; that bound spares most pairs of texts that were changed apart
+    bound = cut(_elsewhere(wanted.join(left.select("id").distinct(), "id", "left_semi"), words))
+    left = left.join(bound, "id")
+    minor = left.where("component <> major").select(F.col("id").alias("other"), "band", "key", F.col("component").alias("c"), F.col("total").alias("total_c"), F.col("common").alias("common_c"))
+    possible = F.least("common", "common_c") * (1 + threshold) >= threshold * (F.col("total") + F.col("total_c")) - 1e-6
+    rest = left.join(minor, ["band", "key"]).where((F.col("component") != F.col("c")) & possible).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(_verified(cut(rest), wanted, threshold, words))
     components = cut(connected_components(edges.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("__id"), "component"))
