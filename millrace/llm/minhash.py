@@ -194,10 +194,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     left = cut(placed.join(split, ["band", "key"]).select("id", "band", "key", "component", "major"))
     # two texts share no more than what of each occurs elsewhere among these; that bound spares most pairs of texts that were changed apart
     bound = cut(_elsewhere(wanted.join(left.select("id").distinct(), "id", "left_semi"), words))
-    left = left.join(bound, "id")
-    minor = left.where("component <> major").select(F.col("id").alias("other"), "band", "key", F.col("component").alias("c"), F.col("total").alias("total_c"), F.col("common").alias("common_c"))
+    left = left.join(bound, "id").join(keys, "id")
+    minor = left.where("component <> major").select(F.col("id").alias("other"), "band", "key", F.col("component").alias("c"), F.col("total").alias("total_c"), F.col("common").alias("common_c"), F.col("keys").alias("keys_c"))
+    once = F.array_position(F.zip_with("keys", "keys_c", lambda x, y: x == y), True) == F.col("band") + 1  # at the first band that both share
     possible = F.least("common", "common_c") * (1 + threshold) >= threshold * (F.col("total") + F.col("total_c")) - 1e-6
-    rest = left.join(minor, ["band", "key"]).where((F.col("component") != F.col("c")) & possible).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    rest = left.join(minor, ["band", "key"]).where((F.col("component") != F.col("c")) & possible & once).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(_verified(cut(rest), wanted, threshold, words))
     components = cut(connected_components(edges.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("__id"), "component"))
