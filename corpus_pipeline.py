@@ -6,8 +6,12 @@ run() applies all stages to the table `documents`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import minhash, mix, pack, substrings, toxicity
 from millrace.llm.common import cut, read_table
@@ -29,9 +33,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the strings of 200 bytes that repeat. A cut inside a character removes the rest of it; n_chars is counted anew."""
     named = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row"))
-    out = substrings.remove_repeats(named)
-    whole = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", ""))
-    kept = out.select("row", whole.alias("new"))
+    out = substrings.remove_repeats(named).select("row", F.col("text").cast("binary").alias("new"), "removed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                texts = [t if not r else substrings.whole_characters(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["row", "new"])
+
+    kept = out.mapInArrow(run, T.StructType([f for f in out.schema.fields if f.name != "removed"])).select("row", F.col("new").cast("string").alias("new"))
     fields = {"text": F.col("new"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new").cast("long"))}
     return kept.select(*[fields.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 

@@ -267,6 +267,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")]))), T.StructField("kept", T.BinaryType())]))
 
 
+def whole_characters(text: bytes, removed: list[tuple[int, int]]) -> bytes:
+    """What is left of a UTF-8 text without the removed (start, end), which are in order, and without the rest of any character they cut."""
+    inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
+    out, x = [], 0
+    for start, end in [*removed, (len(text), len(text))]:
+        y = start
+        while y > max(x, start - 3) and inside(y):
+            y -= 1
+        out.append(text[x:y])
+        x = end
+        while x < min(len(text), end + 3) and inside(x):
+            x += 1
+    return b"".join(out)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

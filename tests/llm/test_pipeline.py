@@ -43,3 +43,32 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in seen["pack"]} == ids["mix"]
     got = cp.run(spark, str(tmp_path)).collect()
     assert len(got) == len(seen["pack"]) and {r.doc_id for r in got} == ids["mix"]
+
+
+def test_passages_that_end_inside_characters(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    rows, wanted = [], {}
+    # the last bytes of left characters and the first ones of right characters are the same, so a repeat takes in a part of both
+    for k, (left, right) in enumerate([("äĤ", "äö"), ("水尴", "€₭"), ("😀🙀", "😀😁")]):
+        passage = text(60)
+        for j in range(2):
+            a, b = text(40) + " " + "\ufffd" * j, " " + text(40) + "\ufffd" * j
+            rows.append((10 * k + j, a + left[j] + passage + right[j] + b, "en", "s", 0))
+            wanted[10 * k + j] = a + b
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.remove_passages(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == wanted and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_whole_characters_at_every_cut():
+    whole = cp.substrings.whole_characters
+    for text in ("aäböc", "a€b水c", "a😀ä€😁", "ä\ufffdö", "水"):
+        data = text.encode()
+        begins = [len(text[:i].encode()) for i in range(len(text) + 1)]
+        for x in range(len(data) + 1):
+            for y in range(x + 1, len(data) + 1):
+                left = "".join(c for c, s, e in zip(text, begins, begins[1:]) if e <= x or s >= y)
+                assert whole(data, [(x, y)]).decode() == left
+        assert whole(data, [(0, 1), (len(data) - 1, len(data))]).decode() == text[1:-1]
+        assert whole(data, []) == data
