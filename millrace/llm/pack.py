@@ -2,7 +2,7 @@
 
 Documents are tokenised, cut where they exceed the capacity, and packed. What the search needs to know is only how many pieces there are of each
 length, so it runs on a histogram of at most `capacity` rows: it takes the largest length left, enumerates undominated completions of its bin (a
-filling is dominated if a longer piece fits the same place) depth first, prunes by the waste that a branch can still reach, starts from the best-fit
+filling is dominated if a longer piece fits the same place) depth first, prunes by the least waste that the sums of the lengths left allow, starts from the best-fit
 filling as incumbent, and uses the completion found for as many bins as the counts allow. Every use lowers some length's count below what a bin
 needs, so the list of bins stays short however many documents there are. Spark then numbers the pieces of each length, dealt over many tasks, and a
 join on (length, number) gives each its bin and place.
@@ -109,13 +109,26 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def _complete(lengths: list[int], counts: dict[int, int], first: int, room: int, nodes: int) -> list[int]:
+def _reachable(lengths: list[int], capacity: int) -> dict[int, int]:
+    """length -> the sums up to capacity that pieces of that length and shorter ones can make, however many there are, as a set of bits."""
+    full, sums, out = (1 << (capacity + 1)) - 1, 1, {}
+    for n in lengths:
+        step = n
+        while step <= capacity and sums != full:
+            sums |= (sums << step) & full
+            step *= 2
+        out[n] = sums
+    return out
+
+
+def _complete(lengths: list[int], counts: dict[int, int], first: int, room: int, nodes: int, reach: dict[int, int]) -> list[int]:
     """The completion of a bin that holds one piece of length first, with the least waste found: lengths in descending order."""
     best, least = [], room
     filling: list[int] = []
     used: dict[int, int] = {first: 1}
 
-    def search(room: int, top: int) -> bool:
+    def search(room: int, top: int, limit: int) -> bool:
+        """limit: fillings of this branch with so much waste are dominated."""
         nonlocal best, least, nodes
         if room < least:
             best, least = filling.copy(), room
@@ -126,37 +139,57 @@ def _complete(lengths: list[int], counts: dict[int, int], first: int, room: int,
             best, least = [*filling, room], 0
             return True
         i = bisect.bisect_right(lengths, min(room, top)) - 1
-        tried = 0
-        while i >= 0 and tried < 24:
+        fits, longer = (1 << (room + 1)) - 1, 0
+        while i >= 0:
             n = lengths[i]
             i -= 1
             if counts[n] <= used.get(n, 0):
                 continue
-            tried += 1
-            # bound: no filling wastes less than nothing; a piece of less than half the room can only be followed by ones no longer than it
-            if room - n >= least and n * (room // n) <= room - least:
+            # bound: the largest sum within the room that n and shorter lengths make; shorter ones alone make no larger one
+            waste = room + 1 - (reach[n] & fits).bit_length()
+            if waste >= min(least, limit):
                 break
+            # dominance: where a filling wastes what the next longer piece at hand is longer, that piece fits the place of n
+            within = min(limit, longer - n) if longer else limit
+            longer = n
+            if waste >= within:
+                continue
             used[n] = used.get(n, 0) + 1
             filling.append(n)
-            done = search(room - n, n)
+            done = search(room - n, n, within)
             filling.pop()
             used[n] -= 1
             if done:
                 return True
         return False
 
-    search(room, room)
+    search(room, room, room + 1)
     return best
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 400) -> list[tuple[int, list[int]]]:
     """(number of bins, lengths in each) that hold every piece of a histogram of lengths. nodes bounds the search for one completion; beyond it the
-    best found so far is used, which is the best-fit filling at worst."""
+    best found so far is used, which is the best-fit filling at worst. The fullest bins first can leave lengths that fit badly together, so plans
+    with shorter searches are made as well, and the one with the fewest bins is taken."""
+    least, best = -(-sum(n * c for n, c in histogram.items() if c > 0) // capacity), None
+    for budget in dict.fromkeys(max(1, nodes // k) for k in (1, 4, 13, 33, 50, 66, 80)):
+        plan = _plan(histogram, capacity, budget)
+        if best is None or sum(t for t, _ in plan) < sum(t for t, _ in best):
+            best = plan
+        if sum(t for t, _ in best) <= least:
+            break
+    return best
+
+
+def _plan(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, list[int]]]:
     counts = {n: c for n, c in histogram.items() if c > 0}
     lengths, out = sorted(counts), []
+    reach, had = _reachable(lengths, capacity), len(lengths)
     while lengths:
+        if len(lengths) < 0.9 * had:  # with lengths that are used up it is still a bound, but a weaker one
+            reach, had = _reachable(lengths, capacity), len(lengths)
         first = lengths[-1]
-        filling = [first, *_complete(lengths, counts, first, capacity - first, nodes)]
+        filling = [first, *_complete(lengths, counts, first, capacity - first, nodes, reach)]
         need = {n: filling.count(n) for n in set(filling)}
         times = min(counts[n] // k for n, k in need.items())
         out.append((times, filling))

@@ -162,6 +162,19 @@ def test_plan_bins_against_brute_force():
     assert worse <= 1
 
 
+def test_plan_bins_mixes_lengths():
+    """Room that one length alone fills badly is filled by different ones, and further lengths than the longest few are looked at."""
+    for sizes, most in (({3000: 900, 700: 900, 600: 900, 496: 900}, 1080), ({2000: 9000, 1900: 9000, 1200: 9000, 896: 9000}, 13500)):
+        bins = pack.plan_bins(sizes)
+        held = Counter()
+        for t, f in bins:
+            held.update({n: t * k for n, k in Counter(f).items()})
+            assert sum(f) <= pack.CAPACITY
+        assert held == Counter({n: c for n, c in sizes.items() if c}) and sum(t for t, _ in bins) <= most
+    # an exact filling whose longest piece comes after thirty others that fit
+    assert pack.plan_bins({2000: 1, **{n: 1 for n in range(1501, 1561, 2)}, 1400: 1, 696: 1})[0] == (1, [2000, 1400, 696])
+
+
 def test_urls_rules_and_aliases(spark):
     link = '<html><LINK href="{}" rel="canonical"></html>'
     refresh = '<meta http-equiv="refresh" content="0; url={}">'
