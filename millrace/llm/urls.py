@@ -18,8 +18,11 @@ NAME = "op7_url_filter"
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: (tags, what makes one a link, where its target stands)
+_LINKS = (
+    (r"(?is)<link\b[^>]*>", r"(?is)\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+    (r"(?is)<meta\b[^>]*>", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
+)
 
 
 def host(url: Column) -> Column:
@@ -48,8 +51,13 @@ def rule_of(hosts: Column, paths: Column, rules=RULES) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(url, other) for canonical links and meta refreshes that the html of pages holds; only absolute targets count, a link to itself doesn't."""
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(F.array(F.regexp_extract("html", _LINK, 1), F.regexp_extract("html", _REFRESH, 1))).alias("other"))
+    """(url, other) for all canonical links and meta refreshes that the html of pages holds; only absolute targets count, a link to itself doesn't."""
+
+    def targets(tag: str, mark: str, at: str) -> Column:
+        marked = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(mark))
+        return F.transform(marked, lambda t: F.regexp_extract(t, at, 1))
+
+    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(F.concat(*[targets(*x) for x in _LINKS])).alias("other"))
     return found.where((F.locate("://", F.col("other")) > 0) & (F.col("other") != F.col("url"))).distinct()
 
 

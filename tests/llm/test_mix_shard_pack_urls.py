@@ -193,3 +193,22 @@ def test_urls_rules_and_aliases(spark):
     assert [got[i][2:] for i in (11, 12, 13)] == [(None, "allow")] * 3, "an allowed alias wins"
     assert got[14][2:] == ("com/en/", "block") and got[15] == ("x.org", "", None, "allow") and got[16][2:] == ("org/es/", "block") and got[17][3] == "block"
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_urls_with_several_tags(spark):
+    """Links after one to the page itself, a relative one or another link count; so does the first target of a tag."""
+    own, bad, good = ('<link rel="canonical" href="{}">'.format(u) for u in ("http://a.edu/1", "http://bad.com/en/1", "http://u.example.com/en/7"))
+    refresh = "<META content='0; url={}' http-equiv=refresh >".format
+    rows = [
+        (1, "http://a.edu/1", own + bad), (2, "http://a.edu/2", '<link rel="canonical" href="/x">' + bad), (3, "http://a.edu/3", bad.replace("/1", "/3") + "<p>" + good),
+        (4, "http://a.edu/4", refresh("/x") + refresh("http://a.edu/4") + refresh("http://bad.com/en/4")), (5, "http://a.edu/5", '<link rel=stylesheet href="http://bad.com/en/5"><link rel=canonical>'),
+        (6, "http://a.edu/6", '<link rel=canonical href="http://bad.com/en/6" data-href="/y">'),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: (r.verdict, r.by) for r in urls.judge(df).collect()} == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("allow", "alias"), 4: ("block", "alias"), 5: ("allow", "default"), 6: ("block", "alias")}
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.execute(urls.ORACLE_SQL).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in urls.judge(df).select("page_id", "host", "path", "rule", "verdict").collect())
