@@ -66,6 +66,8 @@ def segments(texts: list[bytes], length: int = LENGTH):
     n = len(buffer)
     if n < length:
         return [np.zeros(0, np.int64)] * 5
+    if n > 1 << _PLACE:
+        raise ValueError(f"{n} bytes at once are more than {_PLACE} bits of a position can tell apart")
     one = Rolling(buffer, 1)
     grams = n - GRAM + 1
     at = np.arange(grams)
@@ -93,14 +95,21 @@ def segments(texts: list[bytes], length: int = LENGTH):
     return [t, h[a].view(np.int64), content.view(np.int64), breaks - begin[t], count]
 
 
-def _batched(texts: list[bytes], limit: int = _BATCH) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, texts) of runs of texts of about limit bytes."""
-    lo, held = 0, 0
+def _batched(texts: list[bytes], length: int, limit: int = _BATCH) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(numbers of texts, places in them, stretches) of runs of about limit bytes, twice that at most. A longer text comes in stretches that overlap by
+    length - 1 bytes, so each string of `length` bytes is whole in one stretch and starts in no other."""
+    which, places, held, size = [], [], [], 0
     for i, t in enumerate(texts):
-        held += len(t)
-        if held >= limit or i + 1 == len(texts):
-            yield lo, texts[lo : i + 1]
-            lo, held = i + 1, 0
+        for at in range(0, max(1, len(t) - length + 1), limit):
+            which.append(i)
+            places.append(at)
+            held.append(t[at : at + limit + length - 1])
+            size += len(held[-1])
+            if size >= limit:
+                yield which, places, held
+                which, places, held, size = [], [], [], 0
+    if held:
+        yield which, places, held
 
 
 def _rows(docs: DataFrame, length: int) -> DataFrame:
@@ -109,10 +118,10 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for lo, part in _batched(texts):
+            for numbers, places, part in _batched(texts, length):
                 t, a, c, s, n = segments(part, length)
-                which = pa.array(t + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(a), pa.array(c), pa.array(s, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "h", "anchor", "content", "start", "n"])
+                which = pa.array(np.array(numbers)[t])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(a), pa.array(c), pa.array(np.array(places)[t] + s, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "h", "anchor", "content", "start", "n"])
 
     return docs.mapInArrow(run, "doc_id long, h long, anchor long, content long, start int, n int")
 

@@ -47,6 +47,31 @@ def test_against_counting_every_string(spark, options):
     assert any(k[2] for k in want) and any(not k[2] for k in want)
 
 
+def test_texts_longer_than_places(spark):
+    """Repeats behind byte 2 ** 24 of a text, in another text and in the same one, are found."""
+    long = random.Random(4).randbytes(9 << 20).hex()
+    passage, other = long[(17 << 20) : (17 << 20) + 300], "é" + "-~" * 20 + long[50:350]
+    df = spark.createDataFrame([(1, long + other), (2, "<" + passage + ">")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in substrings.remove_repeats(df).select("doc_id", "removed").collect()}
+    end = len(long) + len(other.encode())
+    assert got == {1: [(50, 350), (17 << 20, (17 << 20) + 300), (end - 300, end)], 2: [(1, 301)]}
+
+
+def test_stretches_cover_each_string_once():
+    rng, length = random.Random(9), 40
+    texts = [rng.randbytes(n) for n in (0, 39, 40, 41, 5000, 100, 1064, 1063, 3000)]
+    for limit in (64, 1000, 1024, 1 << 20):
+        starts = Counter()
+        for which, places, held in substrings._batched(texts, length, limit):
+            assert sum(map(len, held)) < 2 * limit + length
+            for i, at, stretch in zip(which, places, held, strict=True):
+                assert texts[i][at : at + len(stretch)] == stretch
+            t, _, _, s, n = substrings.segments(held, length)
+            for k, at, count in zip(t.tolist(), s.tolist(), n.tolist(), strict=True):
+                starts.update((which[k], places[k] + at + x) for x in range(count))
+        assert starts == Counter((i, x) for i, t in enumerate(texts) for x in range(len(t) - length + 1))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.remove_repeats(df).count() == 0
