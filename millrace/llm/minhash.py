@@ -6,7 +6,8 @@ coordinates the earliest dart is kept, so two documents agree in a coordinate wi
 darts that land early enough are ever enumerated, however large the document, and most shingles are done after one hash.
 
 Banded signatures give candidate pairs, and those are verified exactly. Candidates of a band are not all pairs: each document of a bucket is first held
-against one of them only. What those links leave apart is then paired between, not within, the components that still share a bucket.
+against one of them only. Where that leaves several components in a bucket, its documents are dealt into blocks, and a task holds block against block
+and hands on only as many links as connect what they connect.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from millrace.llm.graph import connected_components
 
 NAME = "op6_minhash_near_dedup"
 _CACHE_WORDS = 500_000
+_COLUMNS = 8192
 _hashes: dict[bytes, int] = {}
 
 
@@ -143,21 +145,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
     return joined.mapInArrow(run, "a string, b string")
 
 
-def _elsewhere(texts: DataFrame, words: int) -> DataFrame:
-    """(id, total, common): the weight of each text's shingles and of those among them that another of the texts has."""
+def _cells(texts: DataFrame, words: int) -> DataFrame:
+    """(id, cells binary, n): each text's shingles as 64-bit numbers, a shingle that occurs again under another number each time, so that two texts share
+    as many cells as the weight that their weighted sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 128):
                 b = whole.slice(lo, 128)
-                sets = [shingles(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
-                which = pa.array(np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(which), pa.array(np.concatenate([k for k, _ in sets]).view(np.int64)), pa.array(np.concatenate([w for _, w in sets]).astype(np.int64))], names=["id", "shingle", "weight"])
+                out = []
+                for t in b.column(1).cast(pa.binary()).to_pylist():
+                    keys, weights = shingles(t, words)
+                    number = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+                    keys = np.repeat(keys, weights)
+                    out.append(np.where(number > 0, _mix(keys + _mix(number.astype(np.uint64))), keys))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in out], pa.binary()), pa.array([len(c) for c in out], pa.int64())], names=["id", "cells", "n"])
+
+    return texts.select("id", "text").mapInArrow(run, "id string, cells binary, n long")
+
+
+def _ties(rows: list[dict], others: list[dict], threshold: float) -> list[tuple[str, str]]:
+    """Links between texts of different components, as few as connect the same components: all pairs among rows, or of rows with others."""
+    whole = rows + others
+    cells = [np.frombuffer(r["cells"], np.uint64) for r in whole]
+    sizes = np.array([len(c) for c in cells], np.float64)
+    flat, owner = np.concatenate(cells), np.repeat(np.arange(len(cells)), sizes.astype(np.int64))
+    values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    # only cells of several texts can be shared; the others have no column
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0) :]
+    owner, column = owner[order], column[order]
+    left, right = (len(rows), len(whole)) if others else (len(whole), len(whole))
+    first = left if others else 0
+    shared = np.zeros((left, right - first), np.float32)
+    for lo in range(0, int(count[count > 1].size), _COLUMNS):
+        x, y = np.searchsorted(column, [lo, lo + _COLUMNS])
+        part = np.zeros((len(whole), _COLUMNS), np.float32)
+        part[owner[x:y], column[x:y] - lo] = 1
+        shared += part[:left] @ part[first:].T
+    linked = shared / (sizes[:left, None] + sizes[None, first:] - shared) >= threshold
+    names, component = np.unique([r["component"] for r in whole], return_inverse=True)
+    linked &= component[:left, None] != component[None, first:]
+    up = list(range(len(names)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    out = []
+    r, c = np.nonzero(linked)
+    for i, j in np.unique(np.stack([component[r], component[first + c]], 1), axis=0).tolist() if len(r) else []:
+        a, b = top(i), top(j)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((str(names[i]), str(names[j])))
+    return out
+
+
+def _between(placed: DataFrame, wanted: DataFrame, threshold: float, words: int, block: int = 256, block_cells: int = 1 << 19) -> DataFrame:
+    """(a, b): components of placed (id, key, component) that a link joins which lies inside a bucket, as few rows as connect the same components.
+
+    The texts of a bucket are dealt into blocks of about `block` texts and `block_cells` shingles, and a task compares two blocks at once; what it
+    hands on is at most a row for each text it has, so rows grow with the texts of a bucket, not with its pairs."""
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("id")).alias("marks"))
+    split = counted.groupBy("key").agg(F.count("*").alias("components"), F.sum("docs").alias("docs"), F.bit_xor("marks").alias("marks")).where("components > 1")
+    once = cut(split.groupBy("docs", "marks").agg(F.min("key").alias("key")).select("key"))  # buckets that hold the same texts count once
+    left = cut(placed.join(once, "key").select("id", "key", "component"))
+    cells = cut(_cells(wanted.join(left.select("id").distinct(), "id", "left_semi"), words))
+    sizes = left.join(cells.select("id", "n"), "id").groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    sizes = cut(sizes.select("key", F.ceil(F.greatest(F.col("docs") / block, F.col("n") / block_cells)).alias("blocks")))
+    numbered = cut(left.join(sizes, "key").select("id", "key", "component", F.pmod(F.xxhash64("key", "id"), "blocks").alias("at")))
+    members = F.collect_list(F.struct("component", "cells")).alias("members")
+    blocks = cut(numbered.join(cells, "id").groupBy("key", "at").agg(members))
+    pairs = sizes.where("blocks > 1").select("key", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 2)).alias("at"))
+    pairs = pairs.select("key", "at", F.explode(F.sequence(F.col("at") + 1, F.col("blocks") - 1)).alias("to"))
+    other = blocks.select("key", F.col("at").alias("to"), F.col("members").alias("others"))
+    across = pairs.join(blocks, ["key", "at"]).join(other, ["key", "to"]).select("members", "others")
+    whole = blocks.where(F.size("members") > 1).select("members", F.array().cast(blocks.schema["members"].dataType).alias("others")).unionByName(across)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ties = _ties(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), threshold)
+                if ties:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in zip(*ties, strict=True)], names=["a", "b"])
 
-    rows = cut(texts.select("id", "text").mapInArrow(run, "id string, shingle long, weight long"))
-    twice = rows.groupBy("shingle").count().where("count > 1").select("shingle")
-    common = rows.join(twice, "shingle", "left_semi").groupBy("id").agg(F.sum("weight").alias("common"))
-    return rows.groupBy("id").agg(F.sum("weight").alias("total")).join(common, "id", "left").select("id", "total", F.coalesce("common", F.lit(0)).alias("common"))
+    return whole.mapInArrow(run, "a string, b string")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, words: int = 5) -> DataFrame:
@@ -171,46 +246,48 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("group_id", "keep")])
     # texts that are equal byte for byte are compared once, under a hash of 128 bits
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    id_ = F.when(some, F.md5(F.col("text").cast("string").cast("binary")))
+    id_ = F.md5(F.col("text").cast("string").cast("binary"))
     texts = docs.where(some).select(id_.alias("id"), F.col("text").cast("string").alias("text"))
-    keys = cut(_bands(texts, bands, rows, words).dropDuplicates(["id"]))
-    buckets = keys.select("id", F.posexplode("keys").alias("band", "key"))
-    shared = cut(buckets.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "key", "size"))
-    inside = cut(buckets.join(shared, ["band", "key"]).select("id", "band", "key", "size"))
+    buckets = cut(_bands(texts, bands, rows, words).dropDuplicates(["id"])).select("id", F.explode("keys").alias("key"))  # a key tells its band, too
+    shared = cut(buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size"))
+    inside = cut(buckets.join(shared, "key").select("id", "key", "size"))
     # the text of a bucket that shares most buckets with most others: what its copies were made from, if it is there
-    central = inside.groupBy("id").agg(F.sum("size").alias("weight"))
-    pivots = inside.join(central, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("weight", "id")).alias("first"))
-    wanted = cut(texts.join(inside.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    central = cut(inside.groupBy("id").agg(F.sum("size").alias("weight")))
+    weighed = cut(inside.join(central, "id").select("key", "id", "weight"))
+    pivots = cut(weighed.groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("first")))
+    wanted = cut(texts.join(central.select("id"), "id", "left_semi").dropDuplicates(["id"]))
 
     # each document of a bucket against one of them
-    tried = cut(inside.join(pivots, ["band", "key"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
+    tried = cut(inside.join(pivots, "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
     edges = cut(_verified(tried, wanted, threshold, words))
     components = cut(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
-    # components that still share a bucket: pairs between them, not within, so each of a bucket against those outside its largest component
-    placed = inside.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counted = placed.groupBy("band", "key", "component").count()
-    split = counted.groupBy("band", "key").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("n")).where("n > 1").select("band", "key", "major")
-    left = cut(placed.join(split, ["band", "key"]).select("id", "band", "key", "component", "major"))
-    # two texts share no more than what of each occurs elsewhere among these; that bound spares most pairs of texts that were changed apart
-    bound = cut(_elsewhere(wanted.join(left.select("id").distinct(), "id", "left_semi"), words))
-    left = left.join(bound, "id").join(keys, "id")
-    minor = left.where("component <> major").select(F.col("id").alias("other"), "band", "key", F.col("component").alias("c"), F.col("total").alias("total_c"), F.col("common").alias("common_c"), F.col("keys").alias("keys_c"))
-    once = F.array_position(F.zip_with("keys", "keys_c", lambda x, y: x == y), True) == F.col("band") + 1  # at the first band that both share
-    possible = F.least("common", "common_c") * (1 + threshold) >= threshold * (F.col("total") + F.col("total_c")) - 1e-6
-    rest = left.join(minor, ["band", "key"]).where((F.col("component") != F.col("c")) & possible & once).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
-    rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = cut(_verified(cut(rest), wanted, threshold, words))
-    components = cut(connected_components(edges.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("__id"), "component"))
-
-    numbered = docs.withColumn("__id", id_).withColumn("__copy", F.row_number().over(W.partitionBy("__id", "doc_id").orderBy(F.xxhash64(*docs.columns))))
-    grouped = numbered.join(components, "__id", "left").withColumn("__group", F.coalesce("component", "__id")).drop("component")
-    members = docs.select("doc_id", id_.alias("__id")).join(components, "__id", "left").withColumn("__g", F.coalesce("component", "__id")).where("__g IS NOT NULL")
+    # components that still share a bucket
+    placed = cut(inside.join(components.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("component")))
+    ties = cut(_between(placed, wanted, threshold, words))
+    merged = connected_components(ties.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    final = components.join(merged.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    # a component of one text, which no edge names, may have been tied to others
+    alone = merged.join(components, "node", "left_anti").select("node", "component")
+    groups = cut(final.unionByName(alone).select(F.col("node").alias("__id"), F.col("component").alias("__c")))
+
+    # one row of each group is kept; the row of a text that is kept is told by its number among equal ones
+    held = docs.where(some).select("doc_id", id_.alias("__id")).groupBy("doc_id", "__id").count()
+    members = held.join(groups, "__id", "left").select("doc_id", "__id", F.coalesce("__c", "__id").alias("__group"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__id").alias("id")))
-    least = cut(members.groupBy("__g").agg(first.alias("__least")))
-    out = grouped.join(least, F.col("__group") == F.col("__g"), "left")
-    chosen = F.col("doc_id").eqNullSafe(F.col("__least.doc_id")) & (F.col("__id") == F.col("__least.id")) & (F.col("__copy") == 1)
-    return out.select(*docs.columns, F.when(F.col("__group").isNull(), F.col("doc_id")).otherwise(F.col("__least.doc_id")).alias("group_id"), F.when(F.col("__group").isNull(), True).otherwise(chosen).alias("keep"))
+    least = cut(members.groupBy("__group").agg(first.alias("__least")))
+    of = cut(groups.join(least, F.col("__c") == F.col("__group")).select("__id", "__least"))  # of texts in groups; any other text's group is its own
+    own = cut(least.join(groups.select(F.col("__id").alias("__group")), "__group", "left_anti").select(F.col("__group").alias("__id"), "__least"))
+    named = docs.where(some).withColumn("__id", id_)
+    out = named.join(of.unionByName(own), "__id").withColumn("__chosen", F.col("doc_id").eqNullSafe(F.col("__least.doc_id")) & (F.col("__id") == F.col("__least.id")))
+    group_id = F.col("__least.doc_id").alias("group_id")
+    # rows with the chosen text and id may repeat: one of them stays, by a hash of the columns that can be hashed
+    hashable = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    carried = [F.col(c) for c in docs.columns]
+    rest = out.where("NOT __chosen").select(*carried, group_id, F.lit(False).alias("keep"))
+    chosen = out.where("__chosen").withColumn("__copy", F.row_number().over(W.partitionBy("__id", "doc_id").orderBy(F.xxhash64(*hashable)))).select(*carried, group_id, (F.col("__copy") == 1).alias("keep"))
+    blank = docs.where(~some).select(*carried, F.col("doc_id").alias("group_id"), F.lit(True).alias("keep"))
+    return rest.unionByName(chosen).unionByName(blank)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,38 @@ def test_groups_against_all_pairs(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_blocks_of_one_bucket_lose_no_link(spark):
+    # one bucket of texts that were changed apart: some are linked, many are not, and no pivot links them all
+    rng, rows = random.Random(9), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"y{i}_{rng.randint(0, 99)}"
+        rows.append((i, " ".join(w + ["again and again"] * rng.randint(0, 3))))
+    ids = {t: f"{i:03d}" for i, t in rows}
+    placed = spark.createDataFrame([(ids[t], key, ids[t]) for _, t in rows for key in (7, 8)] + [("070", 9, "070"), ("071", 9, "070")], "id string, key long, component string")
+    wanted = spark.createDataFrame([(ids[t], t) for _, t in rows] + [("070", "far away"), ("071", "far away too")], "id string, text string")
+    want = sorted(sorted(f"{i:03d}" for i in g) for g in brute(rows) if len(g) > 1)
+    for block in (256, 8):
+        up = {}
+        find = lambda x: x if up.get(x, x) == x else find(up[x])  # noqa: B023, E731
+        ties = minhash._between(placed, wanted, 0.8, 5, block=block).collect()
+        assert len(ties) <= 70 * 10
+        for r in ties:
+            up[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
+        groups = {}
+        for i in ids.values():
+            groups.setdefault(find(i), []).append(i)
+        assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == want
+
+
+def test_columns_that_clash_or_cannot_be_compared(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", {"k": 1}), (1, "a b c d e f", "x", {"k": 2}), (2, "a b c d e f", None, None), (None, None, None, {})], "doc_id long, text string, component string, m map<string,int>")
+    out = minhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.group_id or 0, r.keep) for r in out) == [(0, 0, True), (1, 1, False), (1, 1, True), (2, 1, False)]
+
+
 def test_agreement_estimates_weighted_similarity():
     rng = np.random.default_rng(0)
     keys = np.sort(rng.integers(0, 2**63, 120).astype(np.uint64))
