@@ -68,7 +68,7 @@ def test_blocks_of_one_bucket_lose_no_link(spark):
     base = [f"w{i}" for i in range(120)]
     for i in range(70):
         w = list(base)
-        for _ in range(rng.randint(0, 6)):
+        for _ in range(rng.randint(1, 6)):
             w[rng.randrange(len(w))] = f"y{i}_{rng.randint(0, 99)}"
         rows.append((i, " ".join(w + ["again and again"] * rng.randint(0, 3))))
     ids = {t: f"{i:03d}" for i, t in rows}
