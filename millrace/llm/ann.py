@@ -129,8 +129,9 @@ def _raised(x: np.ndarray) -> np.ndarray:
 def index(vectors: DataFrame, shard_rows: int = 8192, k: int = 20, degree: int = 32, beam: int = 64) -> DataFrame:
     """One row per shard: (width, shard, ids, sizes, data, graph, entries). Every usable vector is in one; equal vectors are one node with its k + 1 least ids."""
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    salted = rows.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
-    nodes = cut(salted.groupBy("embedding").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")).withColumn("width", F.size("embedding")))
+    # of equal vectors each task hands on k + 1 rows at most
+    least = rows.distinct().withColumn("n", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    nodes = cut(least.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("width", F.size("embedding")))
     counts = nodes.groupBy("width").count().withColumn("shards", F.ceil(F.col("count") / shard_rows)).select("width", "shards")
     dealt = nodes.join(F.broadcast(counts), "width").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))  # a row for each length of vectors
 

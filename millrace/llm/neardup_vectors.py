@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, parts, read_table
@@ -65,16 +64,31 @@ def _blocks(vectors: DataFrame, width: int, axes: np.ndarray, epsilon: float, bl
             yield one(pa.Table.from_batches(held))
 
     placed = vectors.mapInArrow(place, "rep long, embedding array<double>, copies long, cell array<int>")
-    ordered = placed.repartitionByRange(parts(vectors.sparkSession), "cell", "rep").sortWithinPartitions("cell", "rep")
-    blocks = ordered.mapInArrow(gather, "lo array<double>, hi array<double>, ids binary, copies binary, data binary")
-    return cut(blocks.withColumn("at", F.monotonically_increasing_id()))
+    wanted = max(1, -(-vectors.count() // block))
+    kinds = "lo array<double>, hi array<double>, ids binary, copies binary, data binary"
+    ordered = placed.repartitionByRange(wanted, "cell", "rep").sortWithinPartitions("cell", "rep")
+    blocks = cut(ordered.mapInArrow(gather, kinds).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    ranges = (blocks.agg(F.max("part")).first()[0] or 0) + 1
+    if ranges < 2 * wanted:
+        return blocks
+    # more ranges than asked for, so neighbours are put together again
+
+    def merge(key, table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        low, high = (f(np.array(table.column(c).to_pylist()), 0).tolist() for f, c in ((np.min, "lo"), (np.max, "hi")))
+        joined = [b"".join(table.column(c).to_pylist()) for c in ("ids", "copies", "data")]
+        return pa.table([pa.array([low], pa.list_(pa.float64())), pa.array([high], pa.list_(pa.float64())), *[pa.array([x], pa.binary()) for x in joined], pa.array([key[0].as_py()], pa.int32()), pa.array([key[0].as_py()], pa.int64())], names=["lo", "hi", "ids", "copies", "data", "part", "at"])
+
+    near = blocks.withColumn("part", F.floor(F.col("part") * wanted / ranges).cast("int"))
+    return cut(near.groupBy("part").applyInArrow(merge, f"{kinds}, part int, at long"))
 
 
 def block_pairs(blocks: DataFrame, dims: int, epsilon: float) -> DataFrame:
     """(i, j) with i <= j for all pairs of blocks whose boxes are within epsilon, found from groups of groups of neighbouring blocks downwards."""
     lows, highs = [f"l{k}" for k in range(dims)], [f"h{k}" for k in range(dims)]
     boxes = [F.col("lo")[k].alias(f"l{k}") for k in range(dims)] + [F.col("hi")[k].alias(f"h{k}") for k in range(dims)]
-    level = cut(blocks.select(F.col("at").alias("id"), *boxes).withColumn("up", F.floor((F.row_number().over(W.orderBy("id")) - 1) / _FAN)))  # a few numbers for each block
+    # a range holds about one block, so neighbouring ranges form the first groups
+    level = cut(blocks.select(F.col("at").alias("id"), *boxes, F.floor(F.col("part") / _FAN).alias("up")))
     levels, n = [level], level.count()
     while n > _FAN:
         level = cut(level.groupBy(F.col("up").alias("id")).agg(*[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]).withColumn("up", F.floor(F.col("id") / _FAN)))
