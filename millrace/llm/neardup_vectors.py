@@ -73,7 +73,7 @@ def _blocks(vectors: DataFrame, width: int, axes: np.ndarray, epsilon: float, bl
         return blocks
     # more ranges than asked for, so neighbours are put together again
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         table = table.sort_by("at")
         low, high = (f(np.array(table.column(c).to_pylist()), 0).tolist() for f, c in ((np.min, "lo"), (np.max, "hi")))
         joined = [b"".join(table.column(c).to_pylist()) for c in ("ids", "copies", "data")]

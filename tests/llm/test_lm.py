@@ -19,47 +19,132 @@ def corpus(n=220, seed=2):
         lang = i % 2
         rows.append((i, " ".join(f"{'xin' if lang else 'ola'}{rng.randint(0, 60)}" for _ in range(rng.randint(1, 150))), "clash", 1.0))
     rows += [(901, None, None, None), (902, "", None, None), (903, " Newword \x1c ünï ÉA\tnewword", None, None), (None, "ola1 ola2", None, None), (904, "ola3 " * 3000, None, None)] + [(906, "zz1 zz2 ola1", None, None)] * 3
-    return rows
+    twice = " ".join(f"only{rng.randint(0, 9)} said{rng.randint(0, 9)}" for _ in range(60))
+    return rows + [(910, twice, None, None), (911, twice, None, None), (912, "before it " + twice, None, None)]
 
 
-def test_counts_and_base_score(spark):
+def out_of(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def naive(model, ids):
+    """Log10 probabilities of each id after the first, and of the end, one position at a time."""
+    voc, size = model.vocabulary, model.vocabulary.size
+    distance, out, bias = model.split(model.rest)
+    logs = []
+    for t in range(len(ids)):
+        back = range(max(0, t - model.context), t + 1)
+        q, e = model.ask[ids[t], : lm.KEY].astype(float), model.ask[ids[t], lm.KEY :].astype(float)
+        a = np.array([q @ model.offer[ids[j], : lm.KEY] + distance[t - j] for j in back])
+        a = np.exp(a - a.max())
+        h = e + (a / a.sum()) @ np.array([model.offer[ids[j], lm.KEY :] for j in back], float)
+        want = ids[t + 1] if t + 1 < len(ids) else size + 1
+        x = h @ out + bias
+        p = x[voc.column[want]] - np.log(np.exp(x - x.max()).sum()) - x.max()
+        b = voc.block[want]
+        if b >= 0:
+            y = model.tail[voc.edges[b] : voc.edges[b + 1]] @ np.r_[h, 1.0]
+            p += y[voc.row[want] - voc.edges[b]] - np.log(np.exp(y - y.max()).sum()) - y.max()
+        logs.append(p / np.log(10))
+    return logs
+
+
+def one_by_one(text):
+    """The stretches of a text, each as its (first word's number, words)."""
+    import xxhash
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    words, found, at = lm.words_of(text), [], 0
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    for i in range(len(words)):
+        if i + 1 == len(words) or mix((h[i] + (h[i - 1] if i else 0) * 0x9E3779B97F4A7C15) % 2**64) % 8 == 0:
+            found.append((at, tuple(words[at : i + 1])))
+            at = i + 1
+    return found
+
+
+def test_scores_against_one_position_at_a_time(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, score string, n_tokens double")
-    out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    shared, words = lm.learn(df.where(~lm.held_out(lm.F.col("doc_id"))), PATH, sample=100, hot_words=20, steps=60)
-    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score(df.repartition(4), shared, words).collect())
-    counts = Counter()
+    learned = lm.learn(df.where(~lm.held_out(lm.F.col("doc_id"))), PATH, hot_words=20, every=2)
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.attention_score, 2), round(r.score, 2)) for r in lm.score(df.repartition(4), learned, ~lm.held_out(lm.F.col("doc_id"))).collect())
+    counts, memory = Counter(), Counter()
     for i, t, *_ in rows:
         if not out_of(i):
-            counts.update((t or "").encode().lower().split())
+            counts.update(lm.words_of((t or "").encode()))
             counts[b""] += 1
-    total, distinct = sum(counts.values()), len(counts)
-    want = Counter()
+            memory.update(s for _, s in one_by_one((t or "").encode()))
+    total, distinct, model = sum(counts.values()), len(counts), learned.shared.model
+    enc, size = lm.encoder(PATH)
+    assert learned.shared.recalled == sum(memory.values())
+    want = []
     for i, t, *_ in rows:
-        w = (t or "").encode().lower().split() + [b""]
-        want[i, len(w), sum(counts[x] > 0 for x in w), total, round(sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w), 6)] += 1
-    assert got == want
-    scored = lm.score(df.where("doc_id < 220"), shared, words).where(lm.held_out(lm.F.col("doc_id"))).collect()
-    assert sum(r.score for r in scored) > sum(r.base_score for r in scored), "the context tells the languages apart"
-    assert all(r.score < 0 and math.isfinite(r.score) for r in scored) and lm.score(df.limit(0), shared, words).count() == 0
+        words = lm.words_of((t or "").encode())
+        ids = [enc.encode_ordinary(" " + w.decode()) for w in words]
+        logs = naive(model, [size, *[x for w in ids for x in w]])
+        ends = np.cumsum([0, *map(len, ids)])
+        whole = attention = sum(logs)
+        own = Counter(s for _, s in one_by_one((t or "").encode())) if not out_of(i) else Counter()
+        for at, s in one_by_one((t or "").encode()):
+            p = sum(logs[ends[at] : ends[at + len(s)]])
+            c = memory[s] - own[s]
+            whole += np.logaddexp(np.log(10) * (p + math.log10(1 - lm.RECALL)), np.log(lm.RECALL * c / sum(memory.values()))) / np.log(10) - p if c > 0 else math.log10(1 - lm.RECALL)
+        w = [*words, b""]
+        want.append((i, len(w), sum(counts[x] > 0 for x in w), total, sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w), attention, whole))
+    assert len(got) and sum(got.values()) == len(want)
+    left = sorted(got.elements(), key=str)
+    for a, b in zip(left, sorted(want, key=lambda r: str((r[0], r[1], r[2], r[3], round(r[4], 6), round(r[5], 2), round(r[6], 2)))), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 and abs(a[5] - b[5]) < 0.02 + 1e-5 * abs(b[5]) and abs(a[6] - b[6]) < 0.02 + 1e-5 * abs(b[6]), (a, b)
+    by = {r[0]: r for r in want if r[0] is not None}
+    lifted = {i: (by[i][6] - by[i][5]) / by[i][1] for i in by}
+    assert min(lifted[910], lifted[911]) > 0.5 + np.quantile([lifted[i] for i in range(220)], 0.95), "what stands twice in the corpus is recalled"
+    held = [by[i] for i in range(220) if out_of(i)]
+    assert sum(r[5] for r in held) > sum(r[4] for r in held), "attention alone beats the base on texts it has not seen"
 
 
 def test_windows_score_each_id_once_and_causally():
-    texts = [t.encode() for _, t, *_ in corpus(30) if t]
-    model = lm.train(texts, PATH, classes=4, context=8, step=5, steps=20)
-    enc, size = lm.encoder(PATH)
+    counts = np.ones(lm.encoder(PATH)[1] + 1)
     rng = np.random.default_rng(0)
     seq = rng.integers(0, 5000, 57)
-    whole = model.log_probabilities([seq, seq[:3]], step=5)
-    assert whole.shape == (60, 5) and np.allclose(np.exp(whole).sum(1), 1, atol=1e-4)
-    assert np.allclose(whole, model.log_probabilities([seq, seq[:3]], step=16), atol=1e-4), "windows do not matter"
+    wide = lm.start_model(counts, context=8, step=16)
+    narrow = lm.Attention(wide.vocabulary, 8, 5, *wide.parameters().values())
+    whole = narrow.log_probabilities([seq, seq[:3]])
+    assert whole.shape == (60,) and np.allclose(whole, wide.log_probabilities([seq, seq[:3]]), atol=1e-4), "windows do not matter"
+    assert np.allclose(whole / np.log(10), naive(wide, seq.tolist()) + naive(wide, seq[:3].tolist()), atol=1e-4)
     changed = seq.copy()
     changed[40] = 7
-    assert np.allclose(model.log_probabilities([changed], step=5)[:40], whole[:40], atol=1e-4), "nothing looks ahead"
+    assert np.allclose(narrow.log_probabilities([changed])[:39], whole[:39], atol=1e-4), "nothing looks ahead"
+
+
+def test_next_ids_are_a_distribution():
+    counts = np.r_[np.arange(300, 0, -1.0), 5]
+    model = lm.start_model(counts, context=4, step=4)
+    seq = np.array([300, 5, 250, 7])
+    total = sum(np.exp(model.log_probabilities([np.append(seq, x)])[3]) for x in range(300))
+    assert abs(total + np.exp(model.log_probabilities([seq])[3]) - 1) < 1e-4
+
+
+def test_gradients():
+    rng, counts = np.random.default_rng(1), np.r_[np.arange(200, 0, -1.0), 5]
+    windows = rng.integers(0, 200, (6, 9)).astype(np.int32)
+    windows[0, :3], windows[1, 7:], windows[2, 6] = -1, -1, 201
+    windows[2, 7:] = -1
+    model = lm.start_model(counts, context=4, step=4)
+    loss = []
+    for k in range(60):
+        lm.train(model, windows, rate=0.05, seed=k)
+        p = [model.log_probabilities([w[4 if w[4] >= 0 else 0 :][w[4:] >= 0][:-1]])[:-1].mean() for w in windows[3:]]
+        loss.append(-np.mean(p))
+    assert loss[-1] < 0.5 * loss[0], "what is shown often is learned"
 
 
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    shared, words = lm.learn(df.limit(0), PATH)
-    (r,) = lm.score(df, shared, words).collect()
+    learned = lm.learn(df.limit(0), PATH)
+    (r,) = lm.score(df, learned).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isfinite(r.score)
+    assert lm.score(df.limit(0), learned).count() == 0
