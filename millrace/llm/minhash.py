@@ -278,14 +278,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     least = cut(members.groupBy("__group").agg(first.alias("__least")))
     of = cut(groups.join(least, F.col("__c") == F.col("__group")).select("__id", "__least"))  # of texts in groups; any other text's group is its own
     own = cut(least.join(groups.select(F.col("__id").alias("__group")), "__group", "left_anti").select(F.col("__group").alias("__id"), "__least"))
-    named = docs.where(some).withColumn("__id", id_)
-    out = named.join(of.unionByName(own), "__id").withColumn("__chosen", F.col("doc_id").eqNullSafe(F.col("__least.doc_id")) & (F.col("__id") == F.col("__least.id")))
-    group_id = F.col("__least.doc_id").alias("group_id")
     # rows with the chosen text and id may repeat: one of them stays, by a hash of the columns that can be hashed
     hashable = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    named = docs.where(some).select("*", id_.alias("__id"), F.xxhash64(*hashable).alias("__tie"))
+    out = named.join(of.unionByName(own), "__id").withColumn("__chosen", F.col("doc_id").eqNullSafe(F.col("__least.doc_id")) & (F.col("__id") == F.col("__least.id")))
+    group_id = F.col("__least.doc_id").alias("group_id")
     carried = [F.col(c) for c in docs.columns]
     rest = out.where("NOT __chosen").select(*carried, group_id, F.lit(False).alias("keep"))
-    chosen = out.where("__chosen").withColumn("__copy", F.row_number().over(W.partitionBy("__id", "doc_id").orderBy(F.xxhash64(*hashable)))).select(*carried, group_id, (F.col("__copy") == 1).alias("keep"))
+    chosen = out.where("__chosen").withColumn("__copy", F.row_number().over(W.partitionBy("__id", "doc_id").orderBy("__tie"))).select(*carried, group_id, (F.col("__copy") == 1).alias("keep"))
     blank = docs.where(~some).select(*carried, F.col("doc_id").alias("group_id"), F.lit(True).alias("keep"))
     return rest.unionByName(chosen).unionByName(blank)
 
