@@ -19,6 +19,7 @@ windows of a batch go through one masked attention.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, parts, read_table
 
 NAME = "op1_lm_score"
-HEAD, BLOCKS = 127, 32
-KEY, STATE = 16, 32
+HEAD, BLOCKS = 63, 16
+KEY, STATE = 8, 16
 RECALL = 0.05  # the probability that a stretch is recalled
 _TABLE_WORDS, _CACHE_WORDS, _FLUSH = 600_000, 400_000, 1 << 19
 _SPAN, _BEFORE = 24, 16  # words of a training span, and words before it that give its context
@@ -55,6 +56,58 @@ def encoder(path: str):
     return _state["enc"], _state["size"]
 
 
+def pieces(enc, words: list[bytes]) -> list[list[int]]:
+    """The subword ids of words, each with a space in front."""
+    one = enc._core_bpe.encode_single_piece  # no pattern has to be matched: a word is one piece
+    return [one(b" " + w) for w in words]
+
+
+class Words:
+    """Numbers for words, and what is known of each: its hash and subword ids. The first `fixed` ones stay, others are let go by drop()."""
+
+    def __init__(self, enc, words: list[bytes] = (), ids: bool = True):
+        self.enc, self.number, self.with_ids = enc, {}, ids
+        self.hash, self.start, self.length, self.ids = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+        self.fixed, self.held, self.added = 0, 0, []
+        self.add(list(words))
+        self.fixed, self.kept, self.added = len(self.number), self.held, []
+
+    def add(self, words: list[bytes]) -> None:
+        import xxhash
+
+        n, k = len(self.number), len(words)
+        self.number.update(zip(words, range(n, n + k), strict=True))
+        self.added += words
+        if n + k > len(self.hash):
+            self.hash, self.start, self.length = (np.concatenate([x, np.zeros(n + k, x.dtype)]) for x in (self.hash, self.start, self.length))
+        self.hash[n : n + k] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, k)
+        if self.with_ids and k:
+            found = pieces(self.enc, words)
+            size = np.fromiter(map(len, found), np.int64, k)
+            total = int(size.sum())
+            if self.held + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(self.held + total, np.int32)])
+            self.ids[self.held : self.held + total] = np.fromiter((i for f in found for i in f), np.int32, total)
+            self.start[n : n + k], self.length[n : n + k] = self.held + np.cumsum(size) - size, size
+            self.held += total
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.number)
+        if new:
+            self.add(list(new))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def drop(self) -> None:
+        for w in self.added:
+            del self.number[w]
+        self.added, self.held = [], self.kept
+
+    def subwords(self, numbers: np.ndarray) -> np.ndarray:
+        """The subword ids of words by number, end to end."""
+        length = self.length[numbers]
+        return self.ids[np.arange(length.sum()) + np.repeat(self.start[numbers] - np.cumsum(length) + length, length)]
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words as ASCII white space separates them, A-Z in lower case."""
     return (text or b"").lower().split()
@@ -104,6 +157,15 @@ class Vocabulary:
         self.tail = order[head:]
 
 
+def _log_shares(x: np.ndarray, place: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The log of softmax of each row of x, which is overwritten, at one place in it."""
+    if x.max() > 60:
+        x -= x.max(1, keepdims=True)
+    picked = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    return picked - np.log(np.maximum(x @ ones, np.float32(1e-37)))
+
+
 @dataclass
 class Attention:
     """Parameters: by id what it offers (key and value) and asks (query and state), by distance a bias, and the two steps of the softmax."""
@@ -141,38 +203,60 @@ class Attention:
         s /= np.maximum(s.sum(2, keepdims=True), np.float32(1e-30))
         return np.matmul(s, kv[:, :, KEY:]) + qe[:, :, KEY:], s, ids, kv, qe
 
-    def log_probabilities(self, sequences: list[np.ndarray], windows: int = 128) -> np.ndarray:
-        """Natural logs of the probability of the id after each one of some sequences, end to end; after the last one comes the end."""
-        voc, (mask, _) = self.vocabulary, self._mask()
+    def log_probabilities(self, inputs: np.ndarray, sizes: np.ndarray, windows: int = 256) -> np.ndarray:
+        """Natural logs of the probability of the id after each of the inputs: texts' ids end to end, sizes of them each; after a text's last one comes the end."""
+        voc, (mask, _), context, step = self.vocabulary, self._mask(), self.context, self.step
+        mask = np.exp(mask).astype(np.float32)
         _, out, bias = self.split(self.rest)
-        cuts, wanted = [], []
-        for s in sequences:
-            n = -(-len(s) // self.step)
-            padded = np.full(self.context + n * self.step, -1, np.int32)
-            padded[self.context : self.context + len(s)] = s
-            cuts.append(np.lib.stride_tricks.sliding_window_view(padded, self.context + self.step)[:: self.step])
-            wanted += [s[1:], [voc.size + 1]]
-        whole, target = np.concatenate(cuts), np.concatenate(wanted).astype(np.int64)
+        out = np.vstack([out, bias[None]])
+        sizes = np.asarray(sizes)
+        counts = -(-sizes // step)
+        base = np.cumsum(counts * step + context) - (counts * step + context)
+        first = np.cumsum(sizes) - sizes
+        padded = np.full(int((counts * step + context).sum()), -1, np.int32)
+        padded[np.arange(len(inputs)) + np.repeat(base + context - first, sizes)] = inputs
+        starts = np.repeat(base - step * (np.cumsum(counts) - counts), counts) + step * np.arange(counts.sum())
+        whole = np.lib.stride_tricks.sliding_window_view(padded, context + step)[starts]
+        target = np.append(inputs[1:], voc.size + 1)
+        target[first + sizes - 1] = voc.size + 1
+        column, block = voc.column[target], voc.block[target]
+        every, columns = np.ones(context + step, np.float32), np.ones(voc.columns, np.float32)
         lp, at, rows, held = np.empty(len(target)), 0, [], []
         for lo in range(0, len(whole), windows):
             window = whole[lo : lo + windows]
-            h = self.states(window, mask)[0].reshape(-1, STATE)[window[:, self.context :].ravel() >= 0]
-            own = target[at : at + len(h)]
-            x = h @ out + bias
-            top = max(float(x.max()) - 60, 0.0)
-            picked = x[np.arange(len(h)), voc.column[own]]
-            if top:
-                x -= x.max(1, keepdims=True)
-                picked = x[np.arange(len(h)), voc.column[own]]
-            np.exp(x, out=x)
-            lp[at : at + len(h)] = picked - np.log(x @ np.ones(x.shape[1], np.float32))
-            rare = np.flatnonzero(voc.block[own] >= 0)
+            pad = window < 0
+            ids = np.where(pad, voc.size, window)
+            kv, qe = self.offer[ids], self.ask[ids[:, context:]]
+            s = np.matmul(qe[:, :, :KEY], kv[:, :, :KEY].transpose(0, 2, 1))
+            if s.max() > 60:
+                np.minimum(s, np.float32(60), out=s)
+            np.exp(s, out=s)
+            s *= mask
+            open_ = np.flatnonzero(pad.any(1))
+            s[open_] *= ~pad[open_][:, None, :]
+            h = np.empty((len(window), step, STATE + 1), np.float32)
+            np.matmul(s, kv[:, :, KEY:], out=h[:, :, :STATE])
+            h[:, :, :STATE] /= np.maximum(s @ every, np.float32(1e-30))[:, :, None]
+            h[:, :, :STATE] += qe[:, :, KEY:]
+            h[:, :, STATE] = 1
+            h = h.reshape(-1, STATE + 1)[~pad[:, context:].ravel()]
+            n = len(h)
+            lp[at : at + n] = _log_shares(h @ out, column[at : at + n], columns)
+            rare = np.flatnonzero(block[at : at + n] >= 0)
             rows.append(rare + at)
             held.append(h[rare])
-            at += len(h)
-        rows, held = np.concatenate(rows), np.concatenate(held)
-        for r, (x, p) in self._by_block(held, target[rows]):
-            lp[rows[r]] += np.take_along_axis(x, p[:, None], 1)[:, 0]
+            at += n
+        rows = np.concatenate(rows)
+        order = np.argsort(block[rows], kind="stable")
+        rows, held = rows[order], np.concatenate(held)[order]
+        own = block[rows]
+        place = voc.row[target[rows]] - voc.edges[own]
+        edges = np.flatnonzero(np.r_[True, np.diff(own) > 0, True]) if len(own) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            weights = np.ascontiguousarray(self.tail[voc.edges[own[a]] : voc.edges[own[a] + 1]].T)
+            for i in range(a, b, 1024):
+                j = min(b, i + 1024)
+                lp[rows[i:j]] += _log_shares(held[i:j] @ weights, place[i:j], np.ones(weights.shape[1], np.float32))
         return lp
 
     def _by_block(self, held: np.ndarray, target: np.ndarray):
@@ -191,7 +275,7 @@ class Attention:
                 yield pick, (x, voc.row[target[pick]] - lo)
 
 
-def start_model(counts: np.ndarray, context: int = 32, step: int = 32, seed: int = 1) -> Attention:
+def start_model(counts: np.ndarray, context: int = 16, step: int = 16, seed: int = 1) -> Attention:
     """A model that knows how often ids occur (counts; the last is the ends) and nothing else."""
     rng, voc = np.random.default_rng(seed), Vocabulary(counts[:-1])
     size = voc.size
@@ -273,6 +357,7 @@ class Shared:
     distinct: int
     ends: int
     recalled: int = 0
+    key: str = ""
     hot: dict[bytes, int] = field(default_factory=dict)
     hot_stretches: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -289,16 +374,6 @@ _STRETCH = np.dtype([("value", "<u8"), ("n", "<i8")])
 _ASKED = np.dtype([("value", "<u8"), ("log", "<f4"), ("own", "<u4"), ("row", "<u4")])
 
 
-def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    import xxhash
-
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def _dealt(rows: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
     """rows by the part that their value falls in."""
     part = (rows["value"] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
@@ -308,14 +383,13 @@ def _dealt(rows: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
         yield p, rows[order[ends[p] : ends[p + 1]]].tobytes()
 
 
-def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 32, step: int = 32) -> DataFrame:
+def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 16, step: int = 16) -> DataFrame:
     """What training texts (text) give, from one pass: word counts (kind 0), counts of stretches by part (1; n is their sum) and training windows (2; n of them). The
     end of each text counts as the word ''. Tasks add up before they hand on, in tables of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, size = encoder(path)
-        counts: Counter = Counter()
-        known: dict[bytes, int] = {}
+        table, counts, ends = Words(enc, ids=False), np.zeros(1024, np.int64), 0
         ids: dict[bytes, list[int]] = {}
         held: list[np.ndarray] = []
         windows: list[np.ndarray] = []
@@ -326,8 +400,10 @@ def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 3
             return pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), pa.array(word or none, pa.string()), pa.array(n, pa.int64()), pa.array(part or none, pa.int32()), pa.array(data or none, pa.binary())], names=["kind", "word", "n", "part", "data"])
 
         def words_out() -> pa.RecordBatch:
-            done = rows(0, [w.decode() for w in counts], list(counts.values()))
-            counts.clear()
+            nonlocal counts, ends
+            done = rows(0, [*(w.decode() for w in table.number), ""], [*counts[: len(table.number)].tolist(), ends])
+            table.drop()
+            counts, ends = np.zeros(1024, np.int64), 0
             return done
 
         def stretches_out() -> pa.RecordBatch:
@@ -341,18 +417,21 @@ def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 3
         def encoded(words: list[bytes]) -> list[int]:
             if len(ids) > _CACHE_WORDS:
                 ids.clear()
-            for w in set(words).difference(ids):
-                ids[w] = enc.encode_ordinary(" " + w.decode())
+            new = list(set(words).difference(ids))
+            ids.update(zip(new, pieces(enc, new), strict=True))
             return [i for w in words for i in ids[w]]
 
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 texts = [words_of(t) for t in b.column(0).slice(lo, 256).cast(pa.binary()).to_pylist()]
-                flat = [w for t in texts for w in t]
-                counts.update(flat)
-                counts[b""] += len(texts)
+                number = table.numbers([w for t in texts for w in t])
+                ends += len(texts)
+                if len(table.number) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(2 * len(table.number), np.int64)])
+                some = np.bincount(number)
+                counts[: len(some)] += some
                 sizes = np.array([len(t) for t in texts])
-                h = _hashes(flat, known)
+                h = table.hash[number]
                 _, value, _ = stretches(h, sizes)
                 if len(value):
                     held.append(value)
@@ -374,7 +453,7 @@ def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 3
                             x[context + 1 : context + 1 + len(body)] = body
                             windows.append(np.lib.stride_tricks.sliding_window_view(x, context + step + 1)[::step])
                     at += len(t)
-                if len(counts) > _TABLE_WORDS:
+                if len(table.number) > _TABLE_WORDS:
                     yield words_out()
                 if seen > _FLUSH:
                     yield stretches_out()
@@ -383,7 +462,7 @@ def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 3
                     x = np.concatenate(windows)
                     yield rows(2, None, [len(x)], None, [x.astype(np.int32).tobytes()])
                     windows.clear()
-        if counts:
+        if ends:
             yield words_out()
         if held:
             yield stretches_out()
@@ -401,7 +480,7 @@ def _id_counts(words: DataFrame, path: str) -> DataFrame:
         enc, size = encoder(path)
         counts = np.zeros(size, np.int64)
         for b in batches:
-            lists = [enc.encode_ordinary(" " + w) for w in b.column(0).to_pylist()]
+            lists = pieces(enc, b.column(0).cast(pa.binary()).to_pylist())
             counts += np.bincount([i for x in lists for i in x], np.repeat(b.column(1).to_numpy(), [len(x) for x in lists]), minlength=size).astype(np.int64)
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[there])], names=["id", "n"])
@@ -431,7 +510,7 @@ def _averaged(updates: DataFrame) -> DataFrame:
     return some.groupBy("name", "slice").applyInArrow(merge, schema)
 
 
-def fit(windows: DataFrame, model: Attention, rounds: int = 2, each: int = 16_384) -> Attention:
+def fit(windows: DataFrame, model: Attention, rounds: int = 2, each: int = 32_768) -> Attention:
     """model after some rounds of training on windows (n, data), each round on its share of them. Tasks have about `each` windows; what they change is
     averaged on executors, and the driver gets the averages, which are as large as the model."""
     spark, slices = windows.sparkSession, 512
@@ -469,7 +548,7 @@ def fit(windows: DataFrame, model: Attention, rounds: int = 2, each: int = 16_38
     return model
 
 
-def learn(docs: DataFrame, path: str, hot_words: int = 200_000, every: int = 16, rounds: int = 2) -> Learned:
+def learn(docs: DataFrame, path: str, hot_words: int = 200_000, every: int = 32, rounds: int = 2) -> Learned:
     """What scoring docs needs from training texts docs (text): all of them give counts and the memory, and one span of words in `every` trains attention."""
     spark, groups = docs.sparkSession, parts(docs.sparkSession)
     found = cut(gather(docs, path, groups, every))
@@ -507,7 +586,7 @@ def learn(docs: DataFrame, path: str, hot_words: int = 200_000, every: int = 16,
 
     top = words.where("word <> ''").orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
     known = dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("n").to_pylist(), strict=True))
-    return Learned(Shared(model, path, int(total or 0), int(distinct), int(ends or 0), int(recalled), known, (values[by], often[by])), words, memory)
+    return Learned(Shared(model, path, int(total or 0), int(distinct), int(ends or 0), int(recalled), uuid.uuid4().hex, known, (values[by], often[by])), words, memory)
 
 
 def recalled_gain(log10: np.ndarray, count: np.ndarray, total: int) -> np.ndarray:
@@ -535,18 +614,14 @@ def score(docs: DataFrame, learned: Learned, trained_on: Column | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, task, row = held.value, TaskContext.get().partitionId(), 0
         enc, size = encoder(s.path)
-        import xxhash
-
-        log_n, start = np.log10(s.total + s.distinct + 1), np.array([size], np.int32).tobytes()
+        if _state.get("for") != s.key:  # a worker that runs several tasks sets up once
+            _state.update({"for": s.key, "table": Words(enc, list(s.hot)), "counts": np.fromiter(s.hot.values(), np.float64, len(s.hot))})
+        table, often = _state["table"], _state["counts"]
+        table.drop()
+        log_n = np.log10(s.total + s.distinct + 1)
         hot_values, hot_counts = s.hot_stretches
-        known: dict[bytes, tuple] = {}
         asked: list[np.ndarray] = []
 
-        def entries(new: list[bytes]) -> dict[bytes, tuple]:
-            """word -> (bytes of its subword ids, count or -1 if the counts must be asked, number of ids, hash)"""
-            ids = [enc.encode_ordinary(" " + w.decode()) for w in new]
-            return {w: (np.array(i, np.int32).tobytes(), s.hot.get(w, -1), len(i), xxhash.xxh3_64_intdigest(w)) for w, i in zip(new, ids, strict=True)}
-
         def questions() -> pa.RecordBatch:
             out = list(_dealt(np.concatenate(asked), groups))
             asked.clear()
@@ -559,31 +634,31 @@ def score(docs: DataFrame, learned: Learned, trained_on: Column | None = None) -
                 texts = [words_of(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
                 words = [w for t in texts for w in t]
                 # frequent words stay in the worker; a rare one seldom comes again, so it is worked out with its batch
-                rare = entries(list(set(words).difference(known)))
-                known.update((w, e) for w, e in rare.items() if e[1] >= 0)
+                number = table.numbers(words)
                 sizes = np.array([len(t) for t in texts])
-                raw, n, lengths, hashes = zip(*[known.get(w) or rare[w] for w in words], strict=True) if words else ((), (), (), ())
-                n, lengths = np.array(n, np.float64), np.array(lengths, np.int64)
-                ends = np.cumsum(np.r_[0, sizes]).tolist()
-                sequences = [np.frombuffer(start + b"".join(raw[x:y]), np.int32) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                lp = s.model.log_probabilities(sequences) / np.log(10)
                 doc = np.repeat(np.arange(len(texts)), sizes)
+                lengths, ids = table.length[number], table.subwords(number)
+                hashes, hot = table.hash[number], number < len(often)
+                n = np.where(hot, often[np.minimum(number, len(often) - 1)] if len(often) else 0.0, 0.0)
+                table.drop()
+                inputs = np.full(len(ids) + len(texts), size, np.int32)
+                inputs[np.arange(len(ids)) + np.repeat(doc, lengths) + 1] = ids
+                of_text = np.bincount(doc, lengths, minlength=len(texts)).astype(np.int64) + 1
+                lp = s.model.log_probabilities(inputs, of_text) / np.log(10)
                 by_doc = lambda x: np.bincount(doc, x, minlength=len(texts))  # noqa: B023, E731
                 # log probabilities stand where the id before is, and each text has a start in front and an end behind
                 upto = np.r_[0.0, np.cumsum(lp)]
                 at = np.cumsum(lengths) - lengths + doc
                 word_lp = upto[at + lengths] - upto[at]
-                final = np.cumsum([len(q) for q in sequences])
-                attention = by_doc(word_lp) + lp[final - 1]
-                hot = n >= 0
-                base = by_doc(np.where(hot, np.log10(np.maximum(n, 0) + 1) - log_n, 0.0)) + np.log10(s.ends + 1) - log_n
+                attention = by_doc(word_lp) + lp[np.cumsum(of_text) - 1]
+                base = by_doc(np.where(hot, np.log10(n + 1) - log_n, 0.0)) + np.log10(s.ends + 1) - log_n
                 sure = by_doc(hot.astype(np.float64)).astype(np.int64) + (s.ends > 0)
                 cold: list[list[dict]] = [[] for _ in texts]
                 which = np.flatnonzero(~hot)
                 for (d, w), k in Counter(zip(doc[which].tolist(), [words[i] for i in which.tolist()], strict=True)).items():
                     cold[d].append({"word": w.decode(), "k": k})
                 gain = np.zeros(len(texts))
-                first, value, of = stretches(np.array(hashes, np.uint64), sizes)
+                first, value, of = stretches(hashes, sizes)
                 if len(first):
                     log = np.add.reduceat(word_lp, first)
                     _, place, times = np.unique(_mix(value + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
@@ -642,7 +717,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    learned = learn(docs.where(~held_out(F.col("doc_id"))), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    learned = learn(docs.where(~held_out(F.col("doc_id"))), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
     out = score(docs, learned, ~held_out(F.col("doc_id")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score")
 
