@@ -23,6 +23,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,10 +93,13 @@ class Words:
             self.held += total
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.number)
-        if new:
-            self.add(list(new))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            absent = [words[i] for i in missing.tolist()]
+            self.add(list(dict.fromkeys(absent)))
+            found[missing] = np.fromiter(map(self.number.__getitem__, absent), np.int64, len(absent))
+        return found
 
     def drop(self) -> None:
         for w in self.added:
@@ -548,7 +552,7 @@ def fit(windows: DataFrame, model: Attention, rounds: int = 2, each: int = 32_76
     return model
 
 
-def learn(docs: DataFrame, path: str, hot_words: int = 200_000, every: int = 32, rounds: int = 2) -> Learned:
+def learn(docs: DataFrame, path: str, hot_words: int = 400_000, every: int = 32, rounds: int = 2) -> Learned:
     """What scoring docs needs from training texts docs (text): all of them give counts and the memory, and one span of words in `every` trains attention."""
     spark, groups = docs.sparkSession, parts(docs.sparkSession)
     found = cut(gather(docs, path, groups, every))

@@ -129,17 +129,30 @@ def test_next_ids_are_a_distribution():
 
 
 def test_gradients():
-    rng, counts = np.random.default_rng(1), np.r_[np.arange(200, 0, -1.0), 5]
-    windows = rng.integers(0, 200, (6, 9)).astype(np.int32)
-    windows[0, :3], windows[1, 7:], windows[2, 6] = -1, -1, 201
-    windows[2, 7:] = -1
+    rng, counts, rate = np.random.default_rng(1), np.r_[np.arange(200, 0, -1.0), 5], 1e-4
+    windows = rng.integers(0, 200, (3, 9)).astype(np.int32)
     model = lm.start_model(counts, context=4, step=4)
-    loss = []
-    for k in range(200):
-        lm.train(model, windows, rate=0.05, seed=k)
-        p = [model.log_probabilities(w, [9])[:-1].mean() for w in windows[3:]]
-        loss.append(-np.mean(p))
-    assert loss[-1] < 0.5 * loss[0], "what is shown often is learned"
+    old = {k: p.copy() for k, p in model.parameters().items()}
+    loss = lambda: -np.mean([model.log_probabilities(w, [9])[4:8] for w in windows])
+    touched = lm.train(model, windows, rate=rate)
+    change = {k: (p - old[k]).astype(float) / rate for k, p in model.parameters().items()}
+    for k, p in model.parameters().items():
+        p[:] = old[k]
+    checked = 0
+    for k, p in model.parameters().items():
+        assert not change[k][touched[k] == 0].any()
+        # the first step of AdaGrad is g / sqrt(1e-6 + g * g)
+        g = -1e-3 * change[k] / np.sqrt(np.maximum(1 - change[k] ** 2, 1e-9))
+        clear = np.argwhere((np.abs(change[k]) > 0.5) & (np.abs(change[k]) < 0.98))
+        for i, j in clear[rng.permutation(len(clear))[:12]]:
+            ends = []
+            for e in (0.02, -0.02):
+                p[i, j] = old[k][i, j] + e
+                ends.append(loss())
+            p[i, j] = old[k][i, j]
+            assert abs((ends[0] - ends[1]) / 0.04 - g[i, j]) < 1e-4 + 0.1 * abs(g[i, j]), (k, i, j)
+            checked += 1
+    assert checked > 30
 
 
 def test_nothing_to_learn_from(spark):
