@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what cut() has written for these tables; whatever was derived from them must have been written by then."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: how finely hot groups are split."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -10,7 +10,7 @@ string starts with one anchor is a segment, and everything a string can equal li
   concatenates its pieces, builds their suffix array by induced sorting and the permuted common prefixes, and neighbours that share `length`
   bytes or more are repeats.
 
-Very many different pieces that may match would make too large a shard. Their strings are told apart by 128-bit fingerprints and counted instead.
+Very many different pieces that may match would make too large a shard. Such pieces are halved again, under keys that fewer of them share.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, parts, read_table
+from millrace.llm.common import cut, discard, parts, read_table
 from millrace.llm.suffix import repeated
 
 NAME = "op2_suffix_array_dedup"
@@ -126,32 +126,36 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h long, anchor long, content long, start int, n int")
 
 
-def _pieces(segment: bytes, anchor: int, n: int, length: int) -> list[tuple[bytes, int, bytes]]:
-    """The two halves of a segment: (what all their strings hold, offset in the segment, the bytes they cover). A string has at least half of what an
-    anchor leaves of it to the anchor's left, or else to its right."""
-    buffer = np.frombuffer(segment, np.uint8)
-    at = np.arange(len(segment) - GRAM + 1)
-    p = int(np.flatnonzero(Rolling(buffer, 1).of(at, at + GRAM).view(np.int64) == anchor)[0])
-    half = (length - GRAM) // 2
-    out, last = [], min(n - 1, p - half)
-    if last >= 0:
-        out.append((b"l" + segment[p - half : p], 0, segment[: last + length]))
-    first = max(0, p - half + 1)
-    if first < n:
-        out.append((b"r" + segment[p + GRAM : p + length - half], first, segment[first : n - 1 + length]))
+def _pieces(data: bytes, p: int, lo: int, hi: int, length: int) -> list[tuple[int, int, bytes, int, bytes]]:
+    """The two halves of a piece: (lo, hi, what all their strings hold, offset in the piece, the bytes they cover).
+
+    p is the anchor's place in the piece. A string is told by how far it reaches to the anchor's left; those of a piece reach from lo to under hi."""
+    n, out = len(data) - length + 1, []
+    middle = (lo + hi + 1) // 2
+    for least, most in ((middle, hi), (lo, middle)):
+        first, last = max(0, p - most + 1), min(n - 1, p - least)  # strings by where they start
+        if first <= last and least < most:
+            held = data[max(0, p - least) : p + length - most + 1]
+            out.append((least, most, held, first, data[first : last + length]))
     return out
 
 
+_HALVES = "anchor long, lo int, hi int, k1 long, k2 long, doc_id long, h long, start int, p int, single boolean, data binary, c1 long, c2 long"
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64())
+
+
 def _halve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Segments -> their halves, under a hash of the anchor and what all strings of the half hold."""
+    """Pieces (anchor, lo, hi, doc_id, h, start, p, single, data) -> their halves, under a hash of what all strings of the half hold; p under 0 is yet to be found."""
     for batch in batches:
         rows = []
-        for anchor, doc_id, h, start, n, single, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            for key, offset, piece in _pieces(data, anchor, n, length):
-                rows.append((anchor, *_digest(key), doc_id, h, start + offset, single, piece, *_digest(piece)))
-        cols = list(zip(*rows, strict=True)) or [()] * 10
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "k1", "k2", "doc_id", "h", "start", "single", "data", "c1", "c2"])
+        for anchor, lo, hi, doc_id, h, start, p, single, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if p < 0:
+                at = np.arange(len(data) - GRAM + 1)
+                p = int(np.flatnonzero(Rolling(np.frombuffer(data, np.uint8), 1).of(at, at + GRAM).view(np.int64) == anchor)[0])
+            for least, most, key, offset, piece in _pieces(data, p, lo, hi, length):
+                rows.append((anchor, least, most, *_digest(key), doc_id, h, start + offset, p - offset, single, piece, *_digest(piece)))
+        cols = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=[f.split()[0] for f in _HALVES.split(", ")])
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -191,52 +195,55 @@ def _search(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) ->
         yield search(shard)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every string of the segments as 128 bits."""
-    for batch in batches:
-        for doc_id, h, start, single, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            n = len(data) - length + 1
-            buffer, at = np.frombuffer(data, np.uint8), np.arange(n)
-            f = [pa.array(Rolling(buffer, kind).of(at, at + length).view(np.int64)) for kind in (3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(at + start, pa.int32()), *f, pa.array([single] * n)], names=["doc_id", "h", "start", "f1", "f2", "single"])
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 18, most: int = 2000) -> DataFrame:
     """(doc_id, h, spans) of documents (doc_id, h, text) that hold repeats: spans are unmerged (start, end) of bytes that a repeated string covers.
 
-    most: beyond so many different pieces of one key its strings are counted by fingerprint, whose rows are dealt by their value."""
+    most: pieces of a key that has more different ones are halved again, which gives keys that fewer of them share, down to single strings."""
     rows = cut(_rows(docs, length))
-    twice = rows.groupBy("anchor").count().where("count > 1").select("anchor")
-    rows = cut(rows.join(twice, "anchor", "left_semi"))
+    # what is joined with a table by a key that many rows may share is written first, so that Spark can split the crowded side
+    twice = cut(rows.groupBy("anchor").count().where("count > 1").select("anchor"))
+    shared = cut(rows.join(twice, "anchor", "left_semi"))
+    discard(rows)
+    rows = shared
     kinds = cut(rows.groupBy("anchor", "content").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "h", "start", "n")).alias("rep")))
-    same = kinds.where("k > 1").select("anchor", "content")
-    whole = rows.join(same, ["anchor", "content"], "left_semi").select("doc_id", "h", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    same = cut(kinds.where("k > 1").select("anchor", "content"))
+    whole = cut(rows.join(same, ["anchor", "content"], "left_semi").select("doc_id", "h", "start", (F.col("start") + F.col("n") - 1 + length).alias("end")))
+    discard(rows, same)
 
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.min("k").alias("least")).where("variants > 1 AND least = 1").select("anchor", "variants")
+    several = cut(kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.min("k").alias("least")).where("variants > 1 AND least = 1").select("anchor"))
     open_ = kinds.join(several, "anchor").select(
         F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.struct("anchor", F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), (F.col("k") == 1).alias("single")).alias("want")
     )
     wants = open_.groupBy("doc_id", "h").agg(F.collect_list("want").alias("wants"))  # at most a document's own segments
     found = docs.alias("d").join(wants.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.h") == F.col("w.h")))
     taken = found.select("d.doc_id", "d.h", F.col("d.text").cast("binary").alias("bytes"), F.explode("w.wants").alias("want")).select(
-        F.col("want.anchor").alias("anchor"), "doc_id", "h", F.col("want.start").alias("start"), F.col("want.n").alias("n"), F.col("want.single").alias("single"), F.expr(f"substring(bytes, want.start + 1, want.n + {length - 1})").alias("data")
+        F.col("want.anchor").alias("anchor"), F.lit(0).alias("lo"), F.lit(length - GRAM + 1).alias("hi"), "doc_id", "h", F.col("want.start").alias("start"), F.lit(-1).alias("p"), F.col("want.single").alias("single"), F.expr(f"substring(bytes, want.start + 1, want.n + {length - 1})").alias("data")
     )
-    # halves of segments: again equal ones are repeated as a whole, and only where one key has different ones is anything left to search
-    halves = cut(taken.mapInArrow(lambda b: _halve(b, length), "anchor long, k1 long, k2 long, doc_id long, h long, start int, single boolean, data binary, c1 long, c2 long"))
-    key, content = ["anchor", "k1", "k2"], ["c1", "c2"]
-    spots = F.struct("doc_id", "h", "start")
-    pieces = cut(halves.groupBy(*key, *content).agg(F.countDistinct(spots).alias("k"), F.min(spots).alias("rep"), F.max("single").alias("single"), F.first("data").alias("data"), (~F.min("single")).alias("many")))
-    twice = pieces.where("(k > 1 OR many) AND single").select(*key, *content)
-    equal = halves.where("single").join(twice, [*key, *content], "left_semi").select("doc_id", "h", "start", (F.col("start") + F.octet_length("data")).alias("end"))
-    lone = (F.col("k") == 1) & F.col("single") & ~F.col("many")
-    open_keys = pieces.groupBy(*key).agg(F.count("*").alias("variants"), F.max(lone).alias("lone")).where("variants > 1 AND lone").select(*key, (F.col("variants") > most).alias("hot"))
-    left = cut(pieces.join(open_keys, key).select(*key, F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.col("rep.start").alias("start"), lone.alias("single"), "data", "hot"))
-    sharded = left.where("NOT hot").drop("hot").repartition(parts(docs.sparkSession), *key).sortWithinPartitions(*key, "doc_id", "h", "start")
-    marks = sharded.mapInArrow(lambda b: _search(b, length, shard_bytes), "doc_id long, h long, start int, end int").unionByName(equal)
-    prints = cut(left.where("hot").drop("hot", *key).mapInArrow(lambda b: _fingerprints(b, length), "doc_id long, h long, start int, f1 long, f2 long, single boolean"))
-    same_print = prints.groupBy("f1", "f2").count().where("count > 1").select("f1", "f2")
-    hot = prints.where("single").join(same_print, ["f1", "f2"], "left_semi").select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(marks).unionByName(hot).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # halves: again equal ones are repeated as a whole, and only where one key has different ones is anything left to search
+    key, content, spots = ["anchor", "lo", "hi", "k1", "k2"], ["c1", "c2"], F.struct("doc_id", "h", "start")
+    equal, searched = [], []
+    while taken is not None:
+        halves = cut(taken.mapInArrow(lambda b: _halve(b, length), _HALVES))
+        counted = [F.countDistinct(spots).alias("k"), F.min(spots).alias("rep"), F.max("single").alias("single"), F.first("data").alias("data"), F.first("p").alias("p"), (~F.min("single")).alias("many")]
+        pieces = cut(halves.groupBy(*key, *content).agg(*counted))
+        twice = cut(pieces.where("(k > 1 OR many) AND single").select(*key, *content))
+        equal.append(cut(halves.where("single").join(twice, [*key, *content], "left_semi").select("doc_id", "h", "start", (F.col("start") + F.octet_length("data")).alias("end"))))
+        discard(halves, twice)
+        lone = (F.col("k") == 1) & F.col("single") & ~F.col("many")
+        open_keys = cut(pieces.groupBy(*key).agg(F.count("*").alias("variants"), F.max(lone).alias("lone")).where("variants > 1 AND lone AND hi - lo > 1").select(*key, (F.col("variants") > most).alias("crowded")))
+        left = cut(pieces.join(open_keys, key).select(*key, F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.col("rep.start").alias("start"), "p", lone.alias("single"), "data", "crowded"))
+        discard(pieces)
+        searched.append(left.where("NOT crowded"))
+        again = left.where("crowded")
+        taken = None if again.isEmpty() else again.select("anchor", "lo", "hi", "doc_id", "h", "start", "p", "single", "data")
+    left = searched[0]
+    for more in searched[1:]:
+        left = left.unionByName(more)
+    dealt = left.select("anchor", "k1", "k2", "doc_id", "h", "start", "single", "data").repartition(parts(docs.sparkSession), "anchor", "k1", "k2").sortWithinPartitions("anchor", "k1", "k2", "doc_id", "h", "start")
+    spans = dealt.mapInArrow(lambda b: _search(b, length, shard_bytes), "doc_id long, h long, start int, end int").unionByName(whole)
+    for more in equal:
+        spans = spans.unionByName(more)
+    return spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
