@@ -24,11 +24,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         # every node's larger neighbours move to the least of its neighbours and itself
         both = cur.union(cur.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        # written before it is joined, so that Spark can split the rows of a node with very many neighbours
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every node and its smaller neighbours move to the least of these
         large = cut(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"))
         small = large.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("n", "m")).distinct()
         cur = cut(small)
         after = _marks(cur)

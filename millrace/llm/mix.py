@@ -18,7 +18,12 @@ NAME = "op5_mix_sources"
 
 def _digits(seed: int, key: Column, start: int, digits: int) -> Column:
     """Some hex digits of a document's hash, as a number."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), start, digits), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), start, digits), 16, 10).cast("long")
+
+
+def _name(docs: DataFrame) -> Column:
+    """What a document's hash is of: its id, or its text where that is null, so that rows without an id do not share one fate."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
@@ -45,16 +50,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
 
     A source takes every document floor(target / source_size) times and, to fill the rest, once more those whose hash lies under its threshold. The
     threshold has 24 bits (12 for the histogram, 12 more inside the boundary bucket), so what is taken misses the target by the documents of one
-    hash value at most. Null texts have size 0; a null source is a source; rows that repeat an id share its hash and so its fate; an empty table
+    hash value at most. Null texts have size 0; a null source is a source; rows that repeat an id share its hash and so its fate, rows
+    without one are told apart by their texts; an empty table
     gives an empty result. Columns of docs that bear the names of results are replaced by them.
     """
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")])
     sized = docs.withColumn("size", words_in(F.col("text")))
-    hashed = cut(sized.select("source", "size", _digits(seed, F.col("doc_id"), 1, 3).alias("bucket"), _digits(seed, F.col("doc_id"), 4, 3).alias("fine")))
+    hashed = cut(sized.select("source", "size", _digits(seed, _name(docs), 1, 3).alias("bucket"), _digits(seed, _name(docs), 4, 3).alias("fine")))
     histogram = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("tokens"))
     targets = source_targets(histogram.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, max_epochs)
-    targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn(
-        "rest", F.col("target") - F.col("epochs") * F.col("source_size")
+    targets = targets.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn(
+        "rest", F.col("target") - F.col("__epochs") * F.col("source_size")
     )
 
     def beside(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
@@ -75,10 +81,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
     inside = beside(hashed, coarse, "bucket").where("fine_rest IS NOT NULL").groupBy("source", "fine").agg(F.sum("size").alias("tokens"))
     refined = boundary(inside, coarse.select("source", "fine_rest"), "fine", "fine_rest").select("source", "fine")
     limits = beside(beside(targets, coarse.select("source", "bucket")), refined)
-    limits = limits.select("source", "source_size", "target", "epochs", (F.coalesce("bucket", F.lit(-1)) * 4096 + F.coalesce("fine", F.lit(0))).alias("__limit"))
+    limits = limits.select("source", "source_size", "target", "__epochs", (F.coalesce("bucket", F.lit(-1)) * 4096 + F.coalesce("fine", F.lit(0))).alias("__limit"))
     limits = cut(limits)  # a row per source: from its written size Spark sees whether it can be broadcast
-    joined = beside(sized, limits).withColumn("__h", _digits(seed, F.col("doc_id"), 1, 6))
-    copies = F.col("epochs") + (F.col("__h") < F.col("__limit")).cast("long")
+    joined = beside(sized, limits).withColumn("__h", _digits(seed, _name(docs), 1, 6))
+    copies = F.col("__epochs") + (F.col("__h") < F.col("__limit")).cast("long")
     return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*sized.columns, "source_size", "target", "copies", "taken")
 
 
@@ -96,7 +102,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 6))::BIGINT AS h
+         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 6))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3.0::DOUBLE * source_size AS cap,

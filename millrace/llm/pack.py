@@ -202,12 +202,13 @@ def _plan(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[in
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 400) -> DataFrame:
-    """pieces, which have a column length of 1 to capacity, each with its sequence_id and offset; other columns are carried along.
+    """pieces, which have a column length of 1 to capacity, each with its sequence_id and offset (which replace columns of these names); others are carried along.
 
     Pieces of one length are interchangeable, so which of several equal rows gets which place is of no account. Each length's pieces are dealt by a
     hash over as many groups as the session has shuffle partitions and numbered there, so a length that many pieces share is no hot spot. The driver
     sees a count for each length, capacity rows at most. An empty table gives no rows.
     """
+    pieces = pieces.select(*[c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
     spark, names = pieces.sparkSession, pieces.columns
     groups = parts(spark)
     dealt = cut(pieces.withColumn("__g", F.pmod(F.xxhash64(*[c for c in names if c != "length"]), F.lit(groups))))

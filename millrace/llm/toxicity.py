@@ -98,11 +98,37 @@ def informative(terms: list[np.ndarray], labels: np.ndarray, least: int, bounds:
     return np.flatnonzero((with_any >= least) & np.any([np.abs(odds) - e * error >= effect for effect, e in bounds], axis=0))
 
 
+def joint(terms: list[np.ndarray], labels: np.ndarray, least: int, most: int = 1500, effect: float = 1.0, errors: float = 6.0) -> np.ndarray:
+    """The places of terms that say something in a pair though they may be neutral alone: among the `most` most frequent places, those of pairs in at
+    least `least` texts whose log odds ratio with the label is off what both terms have alone by the effect and so many standard errors."""
+    frequent = np.argsort(-np.bincount(np.concatenate(terms), minlength=1 << BITS), kind="stable")[:most]
+    to = np.full(1 << BITS, -1)
+    to[frequent] = np.arange(len(frequent))
+    both = np.zeros((2, len(frequent), len(frequent)), np.float32)  # texts of each label that hold two terms
+    for lo in range(0, len(terms), 512):
+        part, own = terms[lo : lo + 512], labels[lo : lo + 512] > 0
+        x = np.zeros((len(part), len(frequent)), np.float32)
+        for row, t in zip(x, part, strict=True):
+            at = to[t]
+            row[at[at >= 0]] = 1
+        for label in (0, 1):
+            y = x[own == label]
+            both[label] += y.T @ y
+    totals = np.array([len(labels) - (labels > 0).sum(), (labels > 0).sum()], np.float64)
+    rate = [(b + 0.5) / (t + 1) for b, t in zip(both, totals, strict=True)]
+    alone = np.log(np.diagonal(rate[1]) / np.diagonal(rate[0]))
+    off = np.log(rate[1] / rate[0]) - alone[:, None] - alone[None, :]
+    error = np.sqrt(1 / (both[0] + 0.5) + 1 / (both[1] + 0.5))
+    clear = (both.sum(0) >= least) & (np.abs(off) >= effect + errors * error)
+    np.fill_diagonal(clear, False)
+    return np.sort(frequent[clear.any(1)])
+
+
 def fit(
     terms: list[np.ndarray], labels: np.ndarray, dimensions: int = 8, steps: int = 1500, batch: int = 128, rate: float = 0.3, l1: float = 0.2, l2: float = 1e-3, least: int = 4, bounds: tuple[tuple[float, float], ...] = ((1.0, 2.5), (0.3, 4.0)), seed: int = 5
 ) -> FactorizationMachine:
     """Fit by follow-the-regularised-leader on the weights, whose L1 leaves terms without bearing at 0, and AdaGrad on the factors.
-    Only informative terms take part, so that a long text's many indifferent words don't add up. Without labels of both kinds every score is
+    Only terms that are informative alone or in a pair take part, so that a long text's many indifferent words don't add up. Without labels of both kinds every score is
     the share of label 1 (0 if none)."""
     rng, places = np.random.default_rng(seed), 1 << BITS
     labels = np.asarray(labels, float)
@@ -113,7 +139,7 @@ def fit(
         return out
     once = distinct(terms)
     terms, labels = [terms[i] for i in once], labels[once]
-    kept = informative(terms, labels, least, bounds)
+    kept = np.union1d(informative(terms, labels, least, bounds), joint(terms, labels, 5 * least))
     if not len(kept):
         return out
     to = np.full(places, -1, np.int64)

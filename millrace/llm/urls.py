@@ -50,15 +50,36 @@ def rule_of(hosts: Column, paths: Column, rules=RULES) -> Column:
     return F.lit(None).cast("struct<rule:string,verdict:string>") if whens is None else whens
 
 
+#: What a url has before its path, and up to the last / of its path.
+_ORIGIN, _FOLDER = r"(?s)^(.*?://[^/?#]*)", r"(?s)^(.*?://[^/?#]*/(?:[^?#]*/)?)"
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The absolute url of a target found on the page base; null where there is none, as for a mere fragment or another kind of scheme.
+
+    &amp; stands for &. Targets may start with a scheme and ://, with //, /, ? or a name; dots in them are not followed."""
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    origin = F.regexp_extract(base, _ORIGIN, 1)
+    folder = F.when(path(base) == "", F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(base, _FOLDER, 1))
+    relative = (
+        F.when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), target))
+        .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .otherwise(F.concat(folder, target))
+    )
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(F.locate("://", base) > 0, relative)
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(url, other) for all canonical links and meta refreshes that the html of pages holds; only absolute targets count, a link to itself doesn't."""
+    """(url, other) for all canonical links and meta refreshes that the html of pages holds, resolved against the page's url; a link to itself doesn't count."""
 
     def targets(tag: str, mark: str, at: str) -> Column:
         marked = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(mark))
         return F.transform(marked, lambda t: F.regexp_extract(t, at, 1))
 
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(F.concat(*[targets(*x) for x in _LINKS])).alias("other"))
-    return found.where((F.locate("://", F.col("other")) > 0) & (F.col("other") != F.col("url"))).distinct()
+    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(F.concat(*[targets(*x) for x in _LINKS])).alias("target"))
+    return found.select("url", resolve(F.col("url"), F.col("target")).alias("other")).where("other IS NOT NULL AND other <> url").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -99,11 +120,20 @@ ORACLE_SQL = f"""
 WITH RECURSIVE tags AS (
   SELECT url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) AS tag, 'href' AS name FROM pages WHERE contains(lower(html), 'canonical')
   UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')), 'url' FROM pages WHERE contains(lower(html), 'refresh')),
+targets AS (
+  SELECT url, replace(CASE WHEN name = 'href' AND regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+                   WHEN name = 'url' AND regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END, '&amp;', '&') AS t FROM tags WHERE url IS NOT NULL),
 links AS (
   SELECT DISTINCT url, other FROM (
-    SELECT url, CASE WHEN name = 'href' AND regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-                     WHEN name = 'url' AND regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END AS other FROM tags)
-  WHERE url IS NOT NULL AND strpos(other, '://') > 0 AND other <> url),
+    SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+                     WHEN strpos(url, '://') = 0 THEN NULL
+                     WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+                     WHEN starts_with(t, '/') THEN regexp_extract(url, '{_ORIGIN}', 1) || t
+                     WHEN starts_with(t, '?') THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || t
+                     WHEN t = '' OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                     WHEN {_PATH_SQL.format("url")} = '' THEN regexp_extract(url, '{_ORIGIN}', 1) || '/' || t
+                     ELSE regexp_extract(url, '{_FOLDER}', 1) || t END AS other FROM targets)
+  WHERE other <> url),
 edges AS (SELECT url AS a, other AS b FROM links UNION SELECT other, url FROM links),
 reach AS (SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 members AS (SELECT a, {_HOST_SQL.format("b")} AS h, {_PATH_SQL.format("b")} AS p FROM reach),

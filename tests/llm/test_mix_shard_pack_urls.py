@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import mix, pack, shard, urls
 
@@ -212,3 +213,53 @@ def test_urls_with_several_tags(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
     want = con.execute(urls.ORACLE_SQL).fetchall()
     assert sorted(want) == sorted(tuple(r) for r in urls.judge(df).select("page_id", "host", "path", "rule", "verdict").collect())
+
+
+def test_urls_relative_targets_and_chains(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://r.com/a", link("/en/8")), (2, "https://s.edu/x/y?q", link("//t.com/en/1")), (3, "http://org/es/p", link("q#f")), (4, "http://v.com/en/", link("?a=1&amp;b=2")), (5, "http://w.com", link("en/1")),
+        (6, "http://x.edu/1", link("#top") + link("mailto:me@y.com/en/") + link("")), (7, "nowhere", link("/en/8")), (8, "http://y.edu/a?b/c", link("d")), (9, "http://y.edu/d", link("http://z.com/en/9?a=1&amp;b=2")), (10, "http://z.com/en/9?a=1&b=2", None),
+    ]
+    rows += [(100 + i, f"http://chain.edu/{i}", link(str(i + 1))) for i in range(40)] + [(140, "http://chain.edu/40", link("http://end.com/en/1"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = {(r.url, r.other) for r in urls.links(df.where("page_id < 11")).collect()}
+    assert made == {
+        ("http://r.com/a", "http://r.com/en/8"), ("https://s.edu/x/y?q", "https://t.com/en/1"), ("http://org/es/p", "http://org/es/q#f"), ("http://v.com/en/", "http://v.com/en/?a=1&b=2"), ("http://w.com", "http://w.com/en/1"),
+        ("http://y.edu/a?b/c", "http://y.edu/d"), ("http://y.edu/d", "http://z.com/en/9?a=1&b=2"),
+    }
+    got = {r.page_id: (r.verdict, r.by) for r in urls.judge(df).collect()}
+    assert [got[i] for i in (1, 2, 5, 8, 9)] == [("block", "alias")] * 5 and got[6] == got[7] == ("allow", "default") and all(got[100 + i] == ("block", "alias") for i in range(41))
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted(con.execute(urls.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in urls.judge(df).select("page_id", "host", "path", "rule", "verdict").collect())
+
+
+def test_clashing_columns_and_rows_without_ids(spark):
+    rows = [(None, f"one two {i}", "s", i, 1) for i in range(400)] + [(1, "a b c", "t", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, epochs int, rest int")
+    out = mix.mix_sources(df, weights=(1.0, 400.0)).collect()
+    assert len(out) == 401 and {r.epochs for r in out} == {*range(400)}
+    taken, target = sum(r.taken for r in out if r.source == "s"), next(r.target for r in out if r.source == "s")
+    assert abs(taken - target) <= 3 and len({r.copies for r in out if r.source == "s"}) == 2, "rows without an id have fates of their own"
+    pieces = spark.createDataFrame([(1, 5, "x", 9), (2, 7, "y", 9)], "doc_id long, length long, offset string, sequence_id int")
+    packed = pack.pack(pieces, capacity=12)
+    assert sorted(packed.columns) == ["doc_id", "length", "offset", "sequence_id"] and sorted(r.offset for r in packed.collect()) == [0, 7]
+
+
+def test_shard_places_against_sorting(spark):
+    """The same places as sorting by fractional rank on one machine gives."""
+    rows = [(i if i % 9 else None, "x" * (i % 40), None if i % 5 == 0 else "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = df.select("source", "doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), (F.length("text") + 8).alias("size")).withColumn("h", F.xxhash64(F.lit(11), "doc_id", "crc", F.col("size").cast("long")).bitwiseAND((1 << 32) - 1)).collect()
+    first = lambda x: (x is not None, x if x is not None else 0)  # noqa: E731  nulls first
+    ranked = []
+    for source in {r.source for r in hashed}:
+        own = sorted((r for r in hashed if r.source == source), key=lambda r: (r.h, first(r.doc_id), r.crc, r.size))
+        ranked += [((i + 0.5) / len(own), (source is not None, source or ""), r.h, first(r.doc_id), r) for i, r in enumerate(own)]
+    ranked.sort(key=lambda x: x[:4])
+    want = sorted((str(r.doc_id), r.size, (g * 7 + 6) // 300, g - ((g * 7 + 6) // 300 * 300) // 7) for g, (*_, r) in enumerate(ranked))
+    for slices in (1, 5, None):
+        assert sorted((str(r.doc_id), r.size, r.shard, r.slot) for r in shard.shard(df, shards=7, slices=slices).collect()) == want

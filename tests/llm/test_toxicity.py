@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from millrace.llm import toxicity
 
 
@@ -53,3 +55,29 @@ def test_bounded_sample_is_stable(spark):
     docs, labels, _ = corpus(spark, 200)
     a, b = toxicity.learn(docs, labels, max_rows=50), toxicity.learn(docs.repartition(7), labels.repartition(3), max_rows=50)
     assert a.bias == b.bias and (a.weights == b.weights).all() and (a.factors == b.factors).all()
+
+
+def test_logits_against_all_pairs():
+    rng = np.random.default_rng(0)
+    fm = toxicity.FactorizationMachine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    sets = [np.array([3, 9, 20, 41], np.int32), np.zeros(0, np.int32), np.array([7], np.int32), np.arange(50, dtype=np.int32), np.zeros(0, np.int32)]
+    for held in (sets, sets[:3], sets[1:2]):
+        got = fm.logits(held)[0]
+        for t, x in zip(held, got, strict=True):
+            pairs = sum(fm.factors[a] @ fm.factors[b] for i, a in enumerate(t) for b in t[i + 1 :])
+            assert abs(x - (0.3 + fm.weights[t].sum() + pairs)) < 1e-9
+
+
+def test_pairs_of_neutral_parts():
+    """Two terms that say nothing alone: toxic if both occur, or neither does."""
+    rng, texts, labels = random.Random(3), [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([f"w{rng.randint(0, 300)}" for _ in range(30)] + ["insult"] * a + ["group"] * b).encode())
+        labels.append(int(a == b) if rng.random() < 0.98 else int(a != b))
+    terms = [toxicity.terms_of(t) for t in texts]
+    wanted = {toxicity._terms(b"insult")[0], toxicity._terms(b"group")[0]}
+    assert wanted <= set(toxicity.joint(terms, np.array(labels), 20).tolist())
+    model = toxicity.fit(terms[:2400], np.array(labels[:2400]))
+    right = (model.scores(terms[2400:]) >= 0.5) == np.array(labels[2400:])
+    assert right.mean() > 0.9
