@@ -24,7 +24,7 @@ from millrace.llm.common import cut, read_table
 from millrace.llm.graph import connected_components
 
 NAME = "op6_minhash_near_dedup"
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 _COLUMNS = 8192
 _hashes: dict[bytes, int] = {}
 

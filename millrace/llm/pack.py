@@ -25,7 +25,7 @@ from millrace.llm.common import cut, parts, read_table
 NAME = "op9_pack_sequences"
 CAPACITY, END_ID = 4096, 1
 
-_CACHE_RUNS = 500_000
+_CACHE_RUNS = 200_000
 #: In texts of these characters, once in lower case, the tokenizer's normalizer changes nothing but white space and its pattern finds _RUNS.
 _PLAIN = re.compile(r"[\t-\r -~ß-öø-ÿ]*")
 _RUNS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")

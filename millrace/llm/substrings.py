@@ -29,7 +29,7 @@ from millrace.llm.suffix import repeated
 NAME = "op2_suffix_array_dedup"
 LENGTH, GRAM = 200, 32
 _PLACE = 24  # bits of a position inside a batch; the other 40 order the anchors
-_BATCH = 1 << 20
+_BATCH = 1 << 19
 _tables: dict = {}
 
 

@@ -22,7 +22,7 @@ from millrace.llm.common import read_table
 NAME = "op3_toxicity"
 BITS, PREFIXES = 18, (3, 4, 5)
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 _known: dict[bytes, tuple[int, ...]] = {}
 
 
