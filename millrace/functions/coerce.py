@@ -16,6 +16,17 @@ def base_type(name: str) -> str:
     return name.lower().split("(")[0].strip()
 
 
+def spark_type(target: str) -> str:
+    """Spark's name of a target type."""
+    name = base_type(target)
+    if name.startswith("timestamp"):
+        return "timestamp"
+    if name in TEXTS or name in ("json", "jsonb", "uuid"):
+        return "string"
+    known = {"integer": "int", "real": "float", "double precision": "double", "bool": "boolean"}
+    return known.get(name) or target.lower().replace("numeric", "decimal")
+
+
 def _parts(value: Column, kind: T.DataType, what: Column | None = None) -> tuple[Column, Column, Column]:
     """A value as number, text and boolean; null where it is none of them. what: a variant's kind, if it is known already."""
     if isinstance(kind, T.VariantType):
@@ -30,15 +41,21 @@ def _parts(value: Column, kind: T.DataType, what: Column | None = None) -> tuple
 
 
 def coerce(value: Column, kind: T.DataType, target: str, what: Column | None = None) -> Column:
-    """value, of type kind, as a target type. Null stays null; what doesn't fit becomes 0, false or null as the target has it."""
+    """value, of type kind, as a target type. Null stays null; what is of another kind becomes 0, false or null as the target has it, and a number
+    outside the target's range becomes null (misfits() tells of it)."""
     name = base_type(target)
     number, text, flag = _parts(value, kind, what)
     there = text.isNotNull()
     if name in INTEGERS:
-        exact = value.cast("bigint") if isinstance(kind, T.IntegralType) else F.bround(number, 0)
-        return F.when(there, F.coalesce(exact, F.lit(0)).cast({"integer": "int"}.get(name, name)))
+        if isinstance(kind, T.IntegralType):
+            return value.try_cast(spark_type(target))
+        # through a decimal, as a double has no place for all digits of large ids
+        decimal = F.bround(value.try_cast("decimal(38,18)") if isinstance(kind, (T.VariantType, T.DecimalType)) else F.lit(None).cast("decimal(38,18)"), 0)
+        exact = F.coalesce(decimal.try_cast(spark_type(target)), F.when(decimal.isNull(), F.bround(number, 0)).try_cast(spark_type(target)))
+        return F.when(there, F.when(number.isNotNull(), exact).otherwise(F.lit(0).cast(spark_type(target))))
     if name in REALS:
-        return F.when(there, F.coalesce(number, F.lit(0.0)).cast({"real": "float", "numeric": "decimal"}.get(name, name) if name in ("real", "float") else "double" if name == "double" else target.lower().replace("numeric", "decimal")))
+        exact = F.coalesce(value.try_cast(spark_type(target)), number.try_cast(spark_type(target))) if isinstance(kind, (T.VariantType, T.DecimalType)) else number.try_cast(spark_type(target))
+        return F.when(there, F.when(number.isNotNull(), exact).otherwise(F.lit(0).cast(spark_type(target))))
     if name in BOOLEANS:
         return F.when(there, F.coalesce(flag, F.lit(False)))
     if name.startswith("timestamp"):
@@ -58,4 +75,20 @@ def align(df: DataFrame, target: list[tuple[str, str]]) -> DataFrame:
         taken = [F.col(paths.BODY)[n].alias(f"__v{i}") for i, (n, _) in enumerate(target)]
         staged = df.select(*taken).select("*", *[F.schema_of_variant(f"__v{i}").alias(f"__k{i}") for i in range(len(target))])
         return staged.select(*[coerce(F.col(f"__v{i}"), T.VariantType(), t, F.col(f"__k{i}")).alias(n) for i, (n, t) in enumerate(target)])
-    return df.select(*[coerce(F.col(f"`{n}`"), df.schema[n].dataType, t).alias(n) if n in df.columns else F.lit(None).cast("string" if base_type(t) in TEXTS else t).alias(n) for n, t in target])
+    return df.select(*[coerce(F.col(f"`{n}`"), df.schema[n].dataType, t).alias(n) if n in df.columns else F.lit(None).cast(spark_type(t)).alias(n) for n, t in target])
+
+
+def misfits(df: DataFrame, target: list[tuple[str, str]], required: tuple[str, ...] = ()) -> list[tuple[Column, str]]:
+    """Checks for split_bad on rows of df before they are aligned: numbers within range, and required columns there."""
+    dynamic, checks = paths.is_dynamic(df), []
+    for name, kind in target:
+        if not dynamic and name not in df.columns:
+            value, own = None, None
+        else:
+            value, own = (paths.variant_at(F.col(paths.BODY), name), T.VariantType()) if dynamic else (F.col(f"`{name}`"), df.schema[name].dataType)
+        if name in required:
+            there = F.lit(False) if value is None else (_parts(value, own)[1].isNotNull() if dynamic else value.isNotNull())
+            checks.append((there, f"{name} is missing"))
+        if value is not None and base_type(kind) in INTEGERS + REALS:
+            checks.append((_parts(value, own)[0].isNull() | coerce(value, own, kind).isNotNull(), f"{name} is out of range for {kind}"))
+    return checks

@@ -6,6 +6,8 @@ null exists and a missing key does not; in the typed lane null and missing are t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,28 +70,36 @@ def variant_text(value: Column, kind: Column | None = None) -> Column:
     return F.when(kind == "VOID", "").when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(value)).when(kind == "STRING", value.try_cast("string")).otherwise(number)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which value is worked out once however often use mentions it (the optimizer would put its expression in every place)."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def over(body: Column, more: Column) -> Column:
     """body with the entries of another map laid over it."""
-    return F.map_concat(F.map_filter(body, lambda k, _: ~F.map_contains_key(more, k)), more)
+    return once(more, lambda m: F.map_concat(F.map_filter(body, lambda k, _: ~F.map_contains_key(m, k)), m))
+
+
+def _with_entry(body: Column, name: str, value: Column) -> Column:
+    return F.map_concat(F.map_filter(body, lambda k, _: k != name), F.create_map(F.lit(name), value))
 
 
 def last_wins(keys: Column, values: Column) -> Column:
     """A map of keys and values, in which the last of equal keys stays."""
-    at = F.filter(F.sequence(F.lit(1), F.size(keys)), lambda i: ~F.array_contains(F.slice(keys, i + 1, F.size(keys)), F.element_at(keys, i)))
-    at = F.when(F.size(keys) > 0, at).otherwise(F.array().cast("array<int>"))
-    return F.map_from_arrays(F.transform(at, lambda i: F.element_at(keys, i)), F.transform(at, lambda i: F.element_at(values, i)))
+    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    return once(pairs, lambda z: F.map_from_entries(F.filter(z, lambda e, i: ~F.exists(F.slice(z, i + 2, F.size(z)), lambda o: o["k"] == e["k"]))))
 
 
 def put_variant(body: Column, names: list[str], value: Column) -> Column:
     """body with a value set at a path; objects on the way are made where missing, and a body in which something else is in the way stays as it is."""
     name, *rest = names
     if not rest:
-        return over(body, F.create_map(F.lit(name), value))
+        return _with_entry(body, name, value)
     child = body[name].try_cast("map<string,variant>")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
     inner = F.to_variant_object(put_variant(F.coalesce(child, empty), rest, value)).cast("variant")
     blocked = F.map_contains_key(body, F.lit(name)) & child.isNull()
-    return F.when(blocked, body).otherwise(over(body, F.create_map(F.lit(name), inner)))
+    return F.when(blocked, body).otherwise(_with_entry(body, name, inner))
 
 
 def drop_variant(body: Column, names: list[str]) -> Column:
@@ -98,7 +108,7 @@ def drop_variant(body: Column, names: list[str]) -> Column:
     if not rest:
         return F.map_filter(body, lambda k, _: k != name)
     child = body[name].try_cast("map<string,variant>")
-    return F.when(child.isNull(), body).otherwise(over(body, F.create_map(F.lit(name), F.to_variant_object(drop_variant(child, rest)).cast("variant"))))
+    return F.when(child.isNull(), body).otherwise(_with_entry(body, name, F.to_variant_object(drop_variant(child, rest)).cast("variant")))
 
 
 def typed_type(schema: T.StructType, path: str) -> T.DataType | None:

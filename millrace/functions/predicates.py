@@ -55,17 +55,27 @@ def condition(df: DataFrame, text: str) -> Column:
     equality = split_equality(text.strip())
     path = equality[0] if equality else text.strip()
     if paths.is_dynamic(df):
-        value = paths.variant_at(F.col(paths.BODY), path)
         if not equality:
-            return truthy_variant(value)
-        return paths.variant_exists(F.col(paths.BODY), path) & F.coalesce(paths.variant_text(value) == equality[1], F.lit(False))
+            return paths.once(paths.variant_at(F.col(paths.BODY), path), truthy_variant)
+
+        def equal(body: Column) -> Column:
+            return paths.variant_exists(body, path) & F.coalesce(paths.once(paths.variant_at(body, path), paths.variant_text) == equality[1], F.lit(False))
+
+        return paths.once(F.col(paths.BODY), equal)
     kind = paths.typed_type(df.schema, path)
     if kind is None:
         return F.lit(False)
     value = paths.typed_at(path)
-    return F.coalesce(value.cast("string") == equality[1], F.lit(False)) if equality else truthy_typed(value, kind)
+    if not equality:
+        return truthy_typed(value, kind)
+    text = F.to_json(value) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else value.cast("string")
+    if isinstance(kind, T.FractionalType):  # whole numbers without a fraction, as in bodies
+        text = F.regexp_replace(text, r"^(-?\d+)\.0+$", "$1")
+    return F.coalesce(text == equality[1], F.lit(False))
 
 
 def valid_json(text: Column) -> Column:
     """Whether a text is a JSON value of any kind."""
-    return F.try_parse_json(text.cast("string")).isNotNull()
+    # as the one element of an array, since a parser of values alone does not look at what follows
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text.cast("string"), F.lit("]"))).try_cast("array<variant>")
+    return F.coalesce(F.size(wrapped) == 1, F.lit(False)) & ~F.coalesce(text.cast("string").rlike(r"^\s*\]"), F.lit(False))

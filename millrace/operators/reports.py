@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,13 +20,25 @@ def counts(df: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def step_counts(df: DataFrame, steps: list) -> list[tuple[int, int]]:
-    """(rows in, rows out) of each step of a chain."""
-    out, current = [], df
-    for step in steps:
-        after = step(current)
-        out.append((current.count(), after.count()))
-        current = after
-    return out
+    """(rows in, rows out) of each step of a chain, observed while one job runs the chain."""
+    seen = [Observation() for _ in range(len(steps) + 1)]
+    rows = F.count("*").alias("rows")
+    current = df.observe(seen[0], rows)
+    for step, after in zip(steps, seen[1:], strict=True):
+        current = step(current).observe(after, rows)
+    current.write.format("noop").mode("overwrite").save()
+    counted = [o.get["rows"] for o in seen]
+    return list(zip(counted[:-1], counted[1:], strict=True))
+
+
+def run_totals(df: DataFrame, failed: Column, write=None) -> DataFrame:
+    """One row (processed, errors) for a run that writes df: what it brought through and what failed, observed in the job that writes."""
+    totals = Observation()
+    bad = F.coalesce(failed, F.lit(False))
+    observed = df.observe(totals, F.count("*").alias("processed"), F.count_if(bad).alias("errors"))
+    (write or (lambda rows: rows.write.format("noop").mode("overwrite").save()))(observed)
+    got = totals.get
+    return df.sparkSession.createDataFrame([(got["processed"], got["errors"])], "processed long, errors long")
 
 
 def throughput(df: DataFrame, labels: list[str], time: str = "ts", seconds: int = 10) -> DataFrame:

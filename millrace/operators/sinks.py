@@ -66,16 +66,64 @@ def split_bad(df: DataFrame, checks: list[tuple[Column, str]]) -> tuple[DataFram
     return tagged.where("__reason IS NULL").drop("__reason"), tagged.where("__reason IS NOT NULL").withColumnRenamed("__reason", "reason")
 
 
-def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], default: Callable[[DataFrame], None], column: str = "route") -> None:
-    """Write each route's rows to its sink and all others to the default, from one computation of df. A failing route fails the batch."""
-    df.persist()
+def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], default: Callable[[DataFrame], None], column: str = "route", run: Callable[[str, Callable[[], None]], None] | None = None, held: bool = False) -> None:
+    """Write each route's rows to its sink and all others to the default, from one computation of df. A failing route fails the batch.
+
+    run(name, write) calls each write, so that retries and guards see sinks one by one. held: df is persisted already."""
+    run = run or (lambda _, write: write())
+    if not held:
+        df.persist()
     try:
         for route, write in sinks.items():
-            write(df.where(F.col(column) == route).drop(column))
+            run(route, lambda write=write, route=route: write(df.where(F.col(column) == route).drop(column)))
         known = list(sinks)
-        default(df.where(F.col(column).isNull() | ~F.col(column).isin(known)).drop(column) if known else df.drop(column))
+        run("default", lambda: default(df.where(F.col(column).isNull() | ~F.col(column).isin(known)).drop(column) if known else df.drop(column)))
+    finally:
+        if not held:
+            df.unpersist()
+
+
+def kafka_writer(brokers: list[str], topic: str, acks: str = "all", **options) -> Callable[[DataFrame], None]:
+    """A writer of message rows (value, meta) to a topic."""
+    settings = {"kafka.bootstrap.servers": ",".join(brokers), "kafka.acks": acks, "topic": topic, **options}
+    return lambda df: kafka_record(df).write.format("kafka").options(**settings).save()
+
+
+def as_document_table(df: DataFrame, at: Column | None = None) -> DataFrame:
+    """Rows for a table (data, created_at) that is made where it is missing; a key column is the database's."""
+    return as_documents(df).withColumn("created_at", F.current_timestamp() if at is None else at)
+
+
+def document_table(table: str, dialect: str = "postgresql") -> str:
+    """The statement that makes a document table where there is none."""
+    if dialect == "postgresql":
+        return f"CREATE TABLE IF NOT EXISTS {table} (id SERIAL PRIMARY KEY, data JSONB, created_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP)"
+    return f"CREATE TABLE IF NOT EXISTS {table} (data VARCHAR, created_at TIMESTAMP)"
+
+
+def merge_statement(table: str, staged: str, columns: list[str], keys: list[str], update: bool, dialect: str = "standard") -> str:
+    """One statement that brings staged rows, one for each key, into a table: new keys are inserted, known ones updated or left."""
+    others = [c for c in columns if c not in keys]
+    if dialect == "postgresql":
+        action = "DO UPDATE SET " + ", ".join(f"{c} = EXCLUDED.{c}" for c in others) if update and others else "DO NOTHING"
+        return f"INSERT INTO {table} ({', '.join(columns)}) SELECT {', '.join(columns)} FROM {staged} ON CONFLICT ({', '.join(keys)}) {action}"
+    change = "WHEN MATCHED THEN UPDATE SET " + ", ".join(f"{c} = s.{c}" for c in others) + " " if update and others else ""
+    return f"MERGE INTO {table} t USING {staged} s ON {' AND '.join(f't.{k} = s.{k}' for k in keys)} {change}WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join(f's.{c}' for c in columns)})"
+
+
+def merge_jdbc(df: DataFrame, url: str, table: str, keys: list[str], order: list[Column], update: bool = True, dialect: str = "standard", staging: str | None = None, **options) -> None:
+    """Insert or update rows by key: executors write the batch to a staging table, then the database merges it in one statement.
+
+    Of several rows with a key the last in order counts (the first if update is false). Only columns that df has are set."""
+    staging = staging or f"{table}_staged"
+    write_jdbc(first_per_key(df, keys, order, last=update).select(*df.columns), url, staging, mode="overwrite", **options)
+    driver = df.sparkSession.sparkContext._jvm.java.sql.DriverManager
+    connection = driver.getConnection(url)
+    try:
+        quoted = [f'"{c}"' for c in df.columns]
+        connection.createStatement().executeUpdate(merge_statement(table, staging, quoted, [f'"{k}"' for k in keys], update, dialect))
     finally:
-        df.unpersist()
+        connection.close()
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1000, mode: str = "append", **options) -> None:
@@ -85,7 +133,12 @@ def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1000, mode
 
 #: Parts of error texts that mark a failure as passing.
 TIMEOUTS = ("timeout", "timed out", "deadline exceeded")
-TRANSIENT = ("connection refused", "connection reset", "broken pipe", "temporary failure", "service unavailable", "too many requests", "bad gateway", "gateway timeout")
+TRANSIENT = (
+    "connection refused", "connection reset", "connect timeout", "too many requests", "transient", "worker node", "retry your query", "too many errors", "under too much load",
+    "the node may have crashed", "service unavailable", "bad gateway", "gateway timeout", "broken pipe", "temporary failure",
+)
+#: (attempts, seconds before the second, patterns) by kind of sink.
+POLICIES = {"default": (3, 0.5, TIMEOUTS), "trino": (5, 2.0, TIMEOUTS + TRANSIENT)}
 
 
 def passing(error: BaseException, patterns: tuple[str, ...] = TIMEOUTS) -> bool:

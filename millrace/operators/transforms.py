@@ -23,7 +23,7 @@ def timestamp(field: str = "created_at", layout: str = "RFC3339", now: Column |
     def step(df: DataFrame) -> DataFrame:
         text = F.date_format(F.current_timestamp() if now is None else now, names.time_pattern(layout))
         if paths.is_dynamic(df):
-            return df.withColumn(BODY, paths.put_variant(F.col(BODY), paths.segments(field), text.cast("variant")))
+            return df.withColumn(BODY, paths.once(F.col(BODY), lambda b: paths.put_variant(b, paths.segments(field), text.cast("variant"))))
         return paths.put_typed(df, field, text)
 
     return step
@@ -42,9 +42,12 @@ def mask(fields: list[str], mask_char: str = "*", keep_length: bool = False) ->
 
     def one(df: DataFrame, field: str) -> DataFrame:
         if paths.is_dynamic(df):
-            body = F.col(BODY)
-            value = masked(paths.variant_text(paths.variant_at(body, field))).cast("variant")
-            return df.withColumn(BODY, F.when(paths.variant_exists(body, field), paths.put_variant(body, paths.segments(field), value)).otherwise(body))
+
+            def put(body: Column) -> Column:
+                value = paths.once(paths.variant_at(body, field), lambda v: masked(paths.variant_text(v))) if keep_length else masked(F.lit(""))
+                return F.when(paths.variant_exists(body, field), paths.put_variant(body, paths.segments(field), value.cast("variant"))).otherwise(body)
+
+            return df.withColumn(BODY, paths.once(F.col(BODY), put))
         kind = paths.typed_type(df.schema, field)
         if kind is None:
             return df
@@ -73,10 +76,24 @@ def select(fields: list[str], keep: tuple[str, ...] = ()) -> Step:
 
     def step(df: DataFrame) -> DataFrame:
         if paths.is_dynamic(df):
-            body = F.col(BODY)
-            entries = F.array(*[F.when(paths.variant_exists(body, f), F.struct(F.lit(paths.last_segment(f)).alias("k"), paths.variant_at(body, f).alias("v"))) for f in fields])
-            found = F.filter(entries, lambda e: e.isNotNull())
-            return df.withColumn(BODY, F.when(body.isNotNull() & (F.size(found) > 0), paths.last_wins(F.transform(found, lambda e: e["k"]), F.transform(found, lambda e: e["v"]))).otherwise(body))
+            named: dict[str, list[str]] = {}
+            for f in fields:
+                named.setdefault(paths.last_segment(f), []).insert(0, f)
+
+            def entry(body: Column, name: str) -> Column:
+                value, there = None, F.lit(False)
+                for f in named[name]:  # the latest first
+                    here = paths.variant_exists(body, f)
+                    value = (F if value is None else value).when(here, paths.variant_at(body, f))
+                    there = there | here
+                return F.struct(F.lit(name).alias("k"), value.alias("v"), there.alias("there"))
+
+            def kept(body: Column) -> Column:
+                found = F.filter(F.array(*[entry(body, n) for n in named]), lambda e: e["there"])
+                chosen = paths.once(found, lambda z: F.when(F.size(z) > 0, F.map_from_entries(F.transform(z, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))))))
+                return F.when(body.isNotNull(), F.coalesce(chosen, body))
+
+            return df.withColumn(BODY, paths.once(F.col(BODY), kept))
         found = {paths.last_segment(f): paths.typed_at(f) for f in fields if paths.typed_type(df.schema, f) is not None}
         return df.select(*[c for c in keep if c not in found], *[v.alias(k) for k, v in found.items()]) if found else df
 
@@ -88,7 +105,7 @@ def remove(fields: list[str]) -> Step:
 
     def step(df: DataFrame) -> DataFrame:
         if paths.is_dynamic(df):
-            return df.withColumn(BODY, reduce(lambda b, f: paths.drop_variant(b, paths.segments(f)), fields, F.col(BODY)))
+            return df.withColumn(BODY, reduce(lambda b, f: paths.once(b, lambda x: paths.drop_variant(x, paths.segments(f))), fields, F.col(BODY)))
         return reduce(paths.drop_typed, fields, df)
 
     return step
@@ -153,7 +170,7 @@ def _rename_keys(column_rename, text_rename, deep: bool) -> Step:
             body = F.col(BODY)
             if deep:  # of any depth, which no built-in function reaches: batches of JSON text
                 return df.withColumn(BODY, F.from_json(deeply(F.to_json(body)), "map<string,variant>"))
-            return df.withColumn(BODY, paths.last_wins(F.transform(F.map_keys(body), column_rename), F.map_values(body)))
+            return df.withColumn(BODY, paths.once(body, lambda b: paths.last_wins(F.transform(F.map_keys(b), column_rename), F.map_values(b))))
         kind = names.renamed(df.schema, text_rename, deep)
         return df.select(*[F.col(f"`{f.name}`").cast(g.dataType).alias(g.name) if f.dataType != g.dataType else F.col(f"`{f.name}`").alias(g.name) for f, g in zip(df.schema.fields, kind.fields, strict=True)])
 

@@ -106,6 +106,22 @@ def _(spark, sf_dir):
     return d.select("doc_id", predicates.valid_json(F.col("text")).alias("text_valid"), predicates.valid_json(F.to_json(F.struct("doc_id"))).alias("object_valid")).where("NOT text_valid")
 
 
+@_query(
+    "json_validity_varied",
+    "SELECT event_id, event_id % 5 IN (0, 2, 4) AS valid FROM events",
+)
+def _(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    text = F.element_at(F.array(F.col("props"), F.concat("props", F.lit(" x")), F.lit("[1, 2]"), F.lit("1, 2"), F.concat(F.lit('"'), "event_type", F.lit('"'))), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select("event_id", predicates.valid_json(text).alias("valid"))
+
+
+@_query("equality_typed_numbers", "SELECT o_orderkey, o_custkey % 7 = 5 AS whole, o_totalprice = 1.5 AS half, false AS unquoted FROM orders")
+def _(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 7).cast("double").alias("rest"))
+    return o.select("o_orderkey", predicates.condition(o, "rest == '5'").alias("whole"), predicates.condition(o, "o_totalprice == '1.5'").alias("half"), predicates.condition(o, "rest == 5").alias("unquoted"))
+
+
 ROUTES = ["type == 'view'", "props.k", "type == 'error'"]
 
 
@@ -283,6 +299,11 @@ def _(spark, sf_dir):
     return source.read(first).select("event_id", "ts")
 
 
+@_query("incremental_bounded", "SELECT event_id, event_type FROM events WHERE event_id > 250")
+def _(spark, sf_dir):
+    return readers.Incremental(lambda: _table(spark, sf_dir, "events"), "event_id", "ts").advance(250)[0].select("event_id", "event_type")
+
+
 _ORDERS_BY_SEGMENT = "SELECT c_mktsegment, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
 
 
@@ -342,6 +363,30 @@ def _(spark, sf_dir):
     return co.align(paths.parse_body(e.select(body.alias("value"))), target)
 
 
+@_query(
+    "coerce_exact_numbers",
+    "SELECT event_id, event_id + 9007199254740993 AS large, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 100 AS INT) END AS small, (CASE event_id % 4 WHEN 0 THEN 0 WHEN 3 THEN 4 ELSE 2 END)::BIGINT AS rounded, CAST(event_id AS DECIMAL(20,2)) + 0.25 AS exact, NULL::TIMESTAMP AS missing FROM events",
+)
+def _(spark, sf_dir):
+    k = F.col("event_id")
+    text = F.format_string('{"event_id":%d,"large":%d,"small":%s,"rounded":%d.5,"exact":%d.25}', k, k + 9007199254740993, F.when(k % 2 == 0, (k % 100).cast("string")).otherwise("1e20"), k % 4, k)
+    target = [("event_id", "bigint"), ("large", "bigint"), ("small", "integer"), ("rounded", "bigint"), ("exact", "numeric(20,2)"), ("missing", "timestamp(6) with time zone")]
+    out = co.align(paths.parse_body(_table(spark, sf_dir, "events").select(text.alias("value"))), target)
+    return out.withColumn("missing", F.col("missing").cast("timestamp_ntz"))
+
+
+@_query(
+    "misfit_rows",
+    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'type is missing' WHEN event_id % 3 = 0 THEN 'amount is out of range for int' END AS reason FROM events",
+)
+def _(spark, sf_dir):
+    k = F.col("event_id")
+    e = _table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(k, F.when(k % 5 != 0, F.col("event_type")).alias("type"), F.when(k % 3 == 0, F.lit(3e10)).otherwise(F.lit(7.0)).alias("amount"))).alias("value"))
+    df = paths.parse_body(e)
+    good, bad = sinks.split_bad(df, co.misfits(df, [("type", "varchar"), ("amount", "int")], ("type",)))
+    return good.select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("event_id", "reason"))
+
+
 @_query(
     "coerce_timestamp",
     "SELECT o_orderkey, date_trunc('second', o_orderdate) AS seconds, date_trunc('second', o_orderdate) AS millis, date_trunc('second', o_orderdate) - INTERVAL 8 HOUR AS offset_text, CAST(o_orderdate AS DATE) AS day FROM orders",
@@ -413,6 +458,11 @@ def _(spark, sf_dir):
     return out.select(F.from_json("data", "o_orderkey bigint, o_totalprice double").alias("d")).select("d.*")
 
 
+@_query("run_totals", "SELECT count(*) AS processed, count(*) FILTER (event_type = 'error') AS errors FROM events")
+def _(spark, sf_dir):
+    return reports.run_totals(_table(spark, sf_dir, "events"), F.col("event_type") == "error")
+
+
 @_query("labelled_counts", "SELECT event_type, user_id % 10 AS shard, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, sf_dir):
     return reports.counts(_table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).alias("shard")), ["event_type", "shard"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
+from millrace.functions.coerce import misfits
 from millrace.operators import sinks
 from millrace.operators import transforms as t
 
@@ -88,16 +89,22 @@ class Flow:
         df = t.chain(self.steps)(paths.parse_body(messages))
         return paths.render_body(df if "route" in df.columns else df.withColumn("route", F.lit(None).cast("string")))
 
-    def write_batch(self, planned: DataFrame, writers: dict[str, Callable[[DataFrame], None]], default: Callable[[DataFrame], None], errors: Callable[[DataFrame], None] | None = None) -> None:
-        """One batch to its sinks. With an error sink, rows that are no JSON object go there, each in its envelope, and nowhere else."""
+    def write_batch(
+        self, planned: DataFrame, writers: dict[str, Callable[[DataFrame], None]], default: Callable[[DataFrame], None], errors: Callable[[DataFrame], None] | None = None,
+        target: list[tuple[str, str]] | None = None, required: tuple[str, ...] = (), run: Callable[[str, Callable[[], None]], None] | None = None,
+    ) -> None:
+        """One batch to its sinks. With an error sink, rows that are no JSON object go there, each in its envelope, and nowhere else; so do, given the
+        target table's columns (name, type), rows with a number out of range or without a required column."""
+        run = run or (lambda _, write: write())
         planned.persist()
         try:
             good = planned
             if errors is not None:
-                good, bad = sinks.split_bad(planned, [(F.col(paths.BODY).isNotNull(), "not a JSON object")])
+                good, bad = sinks.split_bad(planned, [(F.col(paths.BODY).isNotNull(), "not a JSON object"), *(misfits(planned, target, required) if target else [])])
                 meta = F.col("meta") if "meta" in bad.columns else F.create_map().cast("map<string,string>")
-                errors(bad.select(sinks.error_envelope(F.col("value").cast("string"), F.col("reason"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), self.sink["type"], meta).alias("value")))
-            sinks.fan_out(good.drop(paths.BODY), writers, default)
+                envelopes = bad.select(sinks.error_envelope(F.col("value").cast("string"), F.col("reason"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), self.sink["type"], meta).alias("value"))
+                run("errors", lambda: errors(envelopes))
+            sinks.fan_out(good.drop(paths.BODY), writers, default, run=run, held=True)
         finally:
             planned.unpersist()
 

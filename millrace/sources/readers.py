@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 
 def kafka_options(brokers: list[str], topic: str, group: str = "millrace", tls: dict | None = None, sasl: dict | None = None) -> dict[str, str]:
@@ -90,6 +91,29 @@ class Incremental:
         column = self.column(df)
         return df if mark is None else df.where(F.col(column) > F.lit(mark))
 
+    def advance(self, mark=None) -> tuple[DataFrame, object]:
+        """(rows after mark and up to what the table reaches now, that end): rows that arrive meanwhile are left to the next call."""
+        df = self.open()
+        column = self.column(df)
+        upper = df.agg(F.max(column)).first()[0]
+        if upper is None or (mark is not None and upper <= mark):
+            return df.where(F.lit(False)), mark
+        new = df.where(F.col(column) <= F.lit(upper))
+        return (new if mark is None else new.where(F.col(column) > F.lit(mark))), upper
+
+    def deliver(self, write: Callable[[DataFrame], None], stored: str) -> object:
+        """Read on from the mark stored in a folder, write, then store the new mark: a failed write leaves the mark, so rows come at least once."""
+        spark = self.open().sparkSession
+        try:
+            mark = spark.read.parquet(stored).agg(F.max("mark")).first()[0]
+        except AnalysisException:
+            mark = None
+        new, upper = self.advance(mark)
+        if upper != mark:
+            write(new)
+            spark.createDataFrame([(upper,)], ["mark"]).coalesce(1).write.mode("append").parquet(stored)
+        return upper
+
     def next_mark(self, batch: DataFrame, mark=None):
         found = batch.agg(F.max(self.column(batch))).first()[0]
         return mark if found is None else found

@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from millrace.functions import paths
 from millrace.operators import sinks
 from millrace.plans.pipeline import Flow
 
 
+def guarded(spark: SparkSession, folder: str, batch_id: int, attempts: int = 3, wait: float = 0.5, patterns: tuple[str, ...] = sinks.TIMEOUTS) -> Callable[[str, Callable[[], None]], None]:
+    """Calls writes with retries, sink by sink, and marks each that is done for a batch in a folder, so that a batch that comes again skips them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def run(name: str, write: Callable[[], None]) -> None:
+        mark = hadoop.Path(f"{folder}/{hashlib.md5(name.encode()).hexdigest()}/{batch_id}")
+        files = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(mark):
+            sinks.with_retry(write, attempts, wait, patterns)
+            files.create(mark, True).close()
+
+    return run
+
+
+class RunTotals(StreamingQueryListener):
+    """Rows processed and rows in error of all batches of a query that carries totals (see start): what a status of the flow reports."""
+
+    def __init__(self):
+        self.processed = self.errors = 0
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get("totals")
+        if row is not None:
+            self.processed += row["processed"]
+            self.errors += row["errors"]
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+
 def start(
-    flow: Flow, messages: DataFrame, checkpoint: str, default: Callable[[DataFrame], None], writers: dict[str, Callable[[DataFrame], None]] | None = None, errors: Callable[[DataFrame], None] | None = None, every: str | None = None, attempts: int = 3
+    flow: Flow, messages: DataFrame, checkpoint: str, default: Callable[[DataFrame], None], writers: dict[str, Callable[[DataFrame], None]] | None = None, errors: Callable[[DataFrame], None] | None = None, every: str | None = None, attempts: int = 3, **options
 ) -> StreamingQuery:
     """Start a flow on streaming messages (value, ...). every: a trigger interval such as '5 seconds'; without it what is there is processed and the
-    query ends. Writers may see a batch again after a failure, so they should be idempotent."""
+    query ends. Each sink is retried alone, and one that has a batch is not given it again; a failure between a write and its mark may still
+    repeat that write, so writers should be idempotent. options go to Flow.write_batch."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        sinks.with_retry(lambda: flow.write_batch(df, writers or {}, default, errors), attempts)
+    def batch(df: DataFrame, number: int) -> None:
+        flow.write_batch(df, writers or {}, default, errors, run=guarded(df.sparkSession, f"{checkpoint}/sinks", number, attempts), **options)
 
-    stream = flow.plan(messages).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    planned = flow.plan(messages).observe("totals", F.count("*").alias("processed"), F.count_if(F.col(paths.BODY).isNull()).alias("errors"))
+    stream = planned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()

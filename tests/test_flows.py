@@ -129,3 +129,80 @@ def test_reports(spark):
     ids = spark.createDataFrame([({"message_id": "m", "id": "i"},), ({"id": "i"},), ({"partition": "1", "offset": "2"},), ({"kafka_offset": "9"},), ({},)], "m map<string,string>")
     assert [r[0] for r in ids.select(reports.message_id(F.col("m"))).collect()] == ["m", "i", "1/2", "9", ""]
     assert reports.step_counts(spark.range(10), [lambda d: d.where("id > 3"), lambda d: d.union(d)]) == [(10, 6), (6, 12)]
+
+
+def test_bounded_incremental_read_and_stored_mark(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(10)], "id long, name string")
+    stored, table, got = str(tmp_path / "mark"), [rows.where("id < 6")], []
+    source = readers.Incremental(lambda: table[0])
+    write = lambda df: got.append(sorted(r.id for r in df.collect()))
+    assert source.deliver(write, stored) == 5
+    table[0] = rows
+    new, upper = source.advance(5)
+    table[0] = rows.union(spark.createDataFrame([(99, "late")], rows.schema))
+    assert upper == 9 and sorted(r.id for r in new.collect()) == [6, 7, 8, 9], "rows that arrive meanwhile are left to the next call"
+
+    def broken(_):
+        raise RuntimeError("sink down")
+
+    with pytest.raises(RuntimeError):
+        source.deliver(broken, stored)
+    assert source.deliver(write, stored) == 99 and source.deliver(write, stored) == 99 and got == [[0, 1, 2, 3, 4, 5], [6, 7, 8, 9, 99]]
+
+
+def test_merge_into_a_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = lambda *r: spark.createDataFrame(list(r), '"ID" long, "NAME" string, n int'.replace('"', ""))
+    sinks.write_jdbc(rows((1, "a", 1), (2, "b", 2)), url, "target")
+    order = [F.col("n")]
+    sinks.merge_jdbc(rows((2, "x", 8), (2, "y", 9), (3, "c", 3)), url, "target", ["ID"], order)
+    read = lambda: sorted(map(tuple, spark.read.format("jdbc").options(url=url, dbtable="target").load().collect()))
+    assert read() == [(1, "a", 1), (2, "y", 9), (3, "c", 3)]
+    sinks.merge_jdbc(rows((3, "z", 7), (4, "first", 1), (4, "second", 2)), url, "target", ["ID"], order, update=False)
+    assert read() == [(1, "a", 1), (2, "y", 9), (3, "c", 3), (4, "first", 1)]
+    sinks.merge_jdbc(rows((1, "new", 5)).select("ID", "n"), url, "target", ["ID"], [F.col("n")])
+    assert read()[0] == (1, "a", 5), "columns that are not brought stay"
+    assert sinks.merge_statement("t", "s", ["id", "v"], ["id"], True, "postgresql") == "INSERT INTO t (id, v) SELECT id, v FROM s ON CONFLICT (id) DO UPDATE SET v = EXCLUDED.v"
+
+
+def test_sinks_are_retried_alone_and_guarded(spark, tmp_path):
+    calls = []
+    run = runner.guarded(spark, str(tmp_path / "done"), 7, wait=0.0)
+
+    def shaky():
+        calls.append("shaky")
+        if calls.count("shaky") < 2:
+            raise RuntimeError("i/o timeout")
+
+    for _ in range(2):
+        run("first", lambda: calls.append("first"))
+        run("shaky", shaky)
+    assert calls == ["first", "shaky", "shaky"]
+    runner.guarded(spark, str(tmp_path / "done"), 8)("first", lambda: calls.append("again"))
+    assert calls[-1] == "again"
+    assert sinks.passing(RuntimeError("Worker node 3 crashed"), sinks.POLICIES["trino"][2]) and not sinks.passing(RuntimeError("syntax error"), sinks.POLICIES["trino"][2])
+
+
+def test_bad_numbers_go_to_the_error_sink(spark):
+    flow = pipeline.compile_flow({"source": {"type": "kafka", "kafka": {"brokers": ["b"], "topic": "t"}}, "sink": {"type": "trino", "trino": {"serverURL": "u", "catalog": "c", "schema": "s", "table": "t"}}})
+    messages = spark.createDataFrame([('{"id":1,"n":5}',), ('{"id":2,"n":30000000000}',), ('{"n":1}',), ("text",)], "value string")
+    good, bad = [], []
+    flow.write_batch(flow.plan(messages), {}, lambda df: good.extend(r.value for r in df.collect()), lambda df: bad.extend(json.loads(r.value)["error"]["message"] for r in df.collect()), target=[("id", "bigint"), ("n", "int")], required=("id",))
+    assert [json.loads(v) for v in good] == [{"id": 1, "n": 5}] and sorted(bad) == ["id is missing", "n is out of range for int", "not a JSON object"]
+
+
+def test_step_counts_and_totals(spark):
+    df = spark.range(10)
+    assert reports.step_counts(df, [lambda d: d.where("id > 2"), lambda d: d.where("id < 8")]) == [(10, 7), (7, 5)]
+    assert tuple(reports.run_totals(df, F.col("id") % 4 == 0).first()) == (10, 3)
+
+
+def test_a_chain_parses_its_text_at_most_twice(spark):
+    """Once for the rows and once for the filter, which is pushed below; no step mentions the parsing again."""
+    df = spark.createDataFrame([('{"a":{"b":1},"c":2,"d":"x"}',)], "value string")
+    flow = t.chain([t.filter_rows("a.b == '1'"), t.mask(["d", "c"], keep_length=True), t.timestamp("at.time"), t.remove(["c"]), t.select(["$.a.b", "d", "at", "a"])])
+    out = paths.render_body(flow(paths.parse_body(df)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 2
+    got = json.loads(out.select("value").first().value)
+    assert got["b"] == 1 and got["d"] == "*" and set(got["at"]) == {"time"} and got["a"] == {"b": 1}
