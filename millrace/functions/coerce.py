@@ -52,7 +52,9 @@ def coerce(value: Column, kind: T.DataType, target: str, what: Column | None = N
         # through a decimal, as a double has no place for all digits of large ids
         decimal = F.bround(value.try_cast("decimal(38,18)") if isinstance(kind, (T.VariantType, T.DecimalType)) else F.lit(None).cast("decimal(38,18)"), 0)
         exact = F.coalesce(decimal.try_cast(spark_type(target)), F.when(decimal.isNull(), F.bround(number, 0)).try_cast(spark_type(target)))
-        return F.when(there, F.when(number.isNotNull(), exact).otherwise(F.lit(0).cast(spark_type(target))))
+        general = F.when(there, F.when(number.isNotNull(), exact).otherwise(F.lit(0).cast(spark_type(target))))
+        # most numbers are whole already, which needs no more than one cast
+        return F.when((F.schema_of_variant(value) if what is None else what) == "BIGINT", value.try_cast(spark_type(target))).otherwise(general) if isinstance(kind, T.VariantType) else general
     if name in REALS:
         exact = F.coalesce(value.try_cast(spark_type(target)), number.try_cast(spark_type(target))) if isinstance(kind, (T.VariantType, T.DecimalType)) else number.try_cast(spark_type(target))
         return F.when(there, F.when(number.isNotNull(), exact).otherwise(F.lit(0).cast(spark_type(target))))
