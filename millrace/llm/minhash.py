@@ -26,6 +26,7 @@ from millrace.llm.graph import connected_components
 NAME = "op6_minhash_near_dedup"
 _CACHE_WORDS = 150_000
 _COLUMNS = 8192
+_BROADCAST_IDS = 500_000
 _hashes: dict[bytes, int] = {}
 
 
@@ -255,7 +256,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     central = cut(inside.groupBy("id").agg(F.sum("size").alias("weight")))
     weighed = cut(inside.join(central, "id").select("key", "id", "weight"))
     pivots = cut(weighed.groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("first")))
-    wanted = cut(texts.join(central.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    # ids are handed to all tasks only while there are few of them; beyond that both sides are shuffled
+    asked = central.select("id")
+    wanted = cut(texts.join(F.broadcast(asked) if central.count() <= _BROADCAST_IDS else asked, "id", "left_semi").dropDuplicates(["id"]))
 
     # each document of a bucket against one of them
     tried = cut(inside.join(pivots, "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
