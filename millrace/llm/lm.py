@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, parts, read_table
 
 NAME = "op1_lm_score"
-HEAD, BLOCKS = 63, 16
-KEY, STATE = 8, 16
+HEAD, BLOCKS = 127, 32
+KEY, STATE = 16, 32
 RECALL = 0.05  # the probability that a stretch is recalled
 _TABLE_WORDS, _CACHE_WORDS, _FLUSH = 600_000, 400_000, 1 << 19
 _SPAN, _BEFORE = 24, 16  # words of a training span, and words before it that give its context
@@ -279,7 +279,7 @@ class Attention:
                 yield pick, (x, voc.row[target[pick]] - lo)
 
 
-def start_model(counts: np.ndarray, context: int = 16, step: int = 16, seed: int = 1) -> Attention:
+def start_model(counts: np.ndarray, context: int = 32, step: int = 32, seed: int = 1) -> Attention:
     """A model that knows how often ids occur (counts; the last is the ends) and nothing else."""
     rng, voc = np.random.default_rng(seed), Vocabulary(counts[:-1])
     size = voc.size
@@ -387,7 +387,7 @@ def _dealt(rows: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
         yield p, rows[order[ends[p] : ends[p + 1]]].tobytes()
 
 
-def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 16, step: int = 16) -> DataFrame:
+def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 32, step: int = 32) -> DataFrame:
     """What training texts (text) give, from one pass: word counts (kind 0), counts of stretches by part (1; n is their sum) and training windows (2; n of them). The
     end of each text counts as the word ''. Tasks add up before they hand on, in tables of bounded size."""
 
@@ -514,7 +514,7 @@ def _averaged(updates: DataFrame) -> DataFrame:
     return some.groupBy("name", "slice").applyInArrow(merge, schema)
 
 
-def fit(windows: DataFrame, model: Attention, rounds: int = 2, each: int = 32_768) -> Attention:
+def fit(windows: DataFrame, model: Attention, rounds: int = 2, each: int = 16_384) -> Attention:
     """model after some rounds of training on windows (n, data), each round on its share of them. Tasks have about `each` windows; what they change is
     averaged on executors, and the driver gets the averages, which are as large as the model."""
     spark, slices = windows.sparkSession, 512
@@ -552,7 +552,7 @@ def fit(windows: DataFrame, model: Attention, rounds: int = 2, each: int = 32_76
     return model
 
 
-def learn(docs: DataFrame, path: str, hot_words: int = 400_000, every: int = 32, rounds: int = 2) -> Learned:
+def learn(docs: DataFrame, path: str, hot_words: int = 400_000, every: int = 16, rounds: int = 2) -> Learned:
     """What scoring docs needs from training texts docs (text): all of them give counts and the memory, and one span of words in `every` trains attention."""
     spark, groups = docs.sparkSession, parts(docs.sparkSession)
     found = cut(gather(docs, path, groups, every))
@@ -721,7 +721,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    learned = learn(docs.where(~held_out(F.col("doc_id"))), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    learned = learn(docs.where(~held_out(F.col("doc_id"))), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     out = score(docs, learned, ~held_out(F.col("doc_id")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score")
 
