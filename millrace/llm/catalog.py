@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import ann, lm, minhash, mix, neardup_vectors, pack, shard, substrings, toxicity, urls
+from millrace.llm import ann, divergence, langid, lm, minhash, mix, neardup_vectors, pack, search, shard, substrings, toxicity, urls
 
-_MODULES = (lm, substrings, toxicity, ann, mix, minhash, urls, neardup_vectors, pack, shard)
+_MODULES = (lm, substrings, toxicity, ann, mix, minhash, urls, neardup_vectors, pack, shard, langid, divergence, search)
 
 
 def queries():

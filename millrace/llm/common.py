@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,13 @@ def parts(spark: SparkSession) -> int:
 def words_in(text) -> F.Column:
     """The number of words in a text column; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def folded(text: bytes | None, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a text, some at a time: table turns each byte into what it counts as, and what separates terms into spaces."""
+    text, lo = (text or b"").translate(table), 0
+    while lo < len(text):
+        hi = text.find(b" ", lo + size)
+        hi = len(text) if hi < 0 else hi
+        yield text[lo:hi].split()
+        lo = hi
