@@ -11,7 +11,8 @@ from millrace.functions import coerce as co
 from millrace.functions import names, paths, predicates
 from millrace.operators import reports, sinks
 from millrace.operators import transforms as t
-from millrace.sources import readers
+from millrace.sources import polling, readers
+from millrace.streaming.shared import shared_folder
 
 FLAGSHIP = "filter_mask_select_events"
 NOW = "2026-01-16 05:55:03"
@@ -304,6 +305,17 @@ def _(spark, sf_dir):
     return readers.Incremental(lambda: _table(spark, sf_dir, "events"), "event_id", "ts").advance(250)[0].select("event_id", "event_type")
 
 
+@_query("incremental_stream", "SELECT event_id, event_type, user_id FROM events")
+def _(spark, sf_dir):
+    """Events polled as a stream in batches of bounded size, by two queries with one checkpoint: the second reads on where the first ended."""
+    table, folder = polling.ParquetTable(f"{sf_dir}/events.parquet", "event_id"), shared_folder(spark)
+    for limit in (2_000, None):
+        events = polling.poll(spark, table, "event_id long, event_type string, user_id long", max_rows=limit)
+        query = events.writeStream.format("parquet").options(path=f"{folder}/rows", checkpointLocation=f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{folder}/rows")
+
+
 _ORDERS_BY_SEGMENT = "SELECT c_mktsegment, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
 
 

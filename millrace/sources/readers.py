@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 
 def kafka_options(brokers: list[str], topic: str, group: str = "millrace", tls: dict | None = None, sasl: dict | None = None) -> dict[str, str]:
@@ -102,12 +101,13 @@ class Incremental:
         return (new if mark is None else new.where(F.col(column) > F.lit(mark))), upper
 
     def deliver(self, write: Callable[[DataFrame], None], stored: str) -> object:
-        """Read on from the mark stored in a folder, write, then store the new mark: a failed write leaves the mark, so rows come at least once."""
+        """Read on from the mark stored in a folder, write, then store the new mark: a failed write leaves the mark, so rows come at least once.
+
+        For batch jobs; a stream (polling.poll) has its mark in the checkpoint. A folder that is not there means that nothing was read yet."""
         spark = self.open().sparkSession
-        try:
-            mark = spark.read.parquet(stored).agg(F.max("mark")).first()[0]
-        except AnalysisException:
-            mark = None
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        mark = spark.read.parquet(stored).agg(F.max("mark")).first()[0] if there else None
         new, upper = self.advance(mark)
         if upper != mark:
             write(new)

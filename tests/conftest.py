@@ -1,9 +1,13 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    here = os.path.dirname(os.path.abspath(__file__))
+    os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(here), here, *filter(None, [os.environ.get("PYTHONPATH")])])  # for Python workers
     home = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]")
