@@ -81,7 +81,7 @@ def align(df: DataFrame, target: list[tuple[str, str]]) -> DataFrame:
 
 
 def misfits(df: DataFrame, target: list[tuple[str, str]], required: tuple[str, ...] = ()) -> list[tuple[Column, str]]:
-    """Checks for split_bad on rows of df before they are aligned: numbers within range, and required columns there."""
+    """Checks for split_bad on rows of df before they are aligned: numbers within range, times and dates that can be read, and required columns there."""
     dynamic, checks = paths.is_dynamic(df), []
     for name, kind in target:
         if not dynamic and name not in df.columns:
@@ -93,4 +93,6 @@ def misfits(df: DataFrame, target: list[tuple[str, str]], required: tuple[str, .
             checks.append((there, f"{name} is missing"))
         if value is not None and base_type(kind) in INTEGERS + REALS:
             checks.append((_parts(value, own)[0].isNull() | coerce(value, own, kind).isNotNull(), f"{name} is out of range for {kind}"))
+        if value is not None and (base_type(kind).startswith("timestamp") or base_type(kind) == "date"):
+            checks.append((_parts(value, own)[1].isNull() | coerce(value, own, kind).isNotNull(), f"{name} is out of form for {kind}"))
     return checks

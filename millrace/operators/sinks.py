@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
+from millrace.operators import database
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], last: bool = False) -> DataFrame:
@@ -19,12 +20,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], last: boo
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """target and those of the new rows whose key it lacks; of several new ones the first."""
+    """target and those of the new rows whose key it lacks; of several new ones the first. A batch form: it gives the whole new table (database.merge
+    changes a table in place)."""
     return target.unionByName(first_per_key(new, keys, order).join(target.select(*keys), keys, "left_anti").select(*target.columns), allowMissingColumns=True)
 
 
 def upsert(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """target after the new rows: each key's last one wins, columns that new lacks keep their values."""
+    """target after the new rows: each key's last one wins, columns that new lacks keep their values. A batch form, as insert_ignore is."""
     latest = first_per_key(new, keys, order, last=True).select(*keys, F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in new.columns if c in target.columns and c not in keys])
     joined = target.withColumn("__old", F.lit(True)).join(latest, keys, "full_outer")
     return joined.select(*[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if f"__{c}" in latest.columns else F.col(c) for c in target.columns])
@@ -96,34 +98,16 @@ def as_document_table(df: DataFrame, at: Column | None = None) -> DataFrame:
 
 def document_table(table: str, dialect: str = "postgresql") -> str:
     """The statement that makes a document table where there is none."""
-    if dialect == "postgresql":
-        return f"CREATE TABLE IF NOT EXISTS {table} (id SERIAL PRIMARY KEY, data JSONB, created_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP)"
-    return f"CREATE TABLE IF NOT EXISTS {table} (data VARCHAR, created_at TIMESTAMP)"
+    return database.DOCUMENT_TABLES.get(dialect, database.DOCUMENT_TABLES["trino"])[0].format(table=table)
 
 
-def merge_statement(table: str, staged: str, columns: list[str], keys: list[str], update: bool, dialect: str = "standard") -> str:
-    """One statement that brings staged rows, one for each key, into a table: new keys are inserted, known ones updated or left."""
-    others = [c for c in columns if c not in keys]
-    if dialect == "postgresql":
-        action = "DO UPDATE SET " + ", ".join(f"{c} = EXCLUDED.{c}" for c in others) if update and others else "DO NOTHING"
-        return f"INSERT INTO {table} ({', '.join(columns)}) SELECT {', '.join(columns)} FROM {staged} ON CONFLICT ({', '.join(keys)}) {action}"
-    change = "WHEN MATCHED THEN UPDATE SET " + ", ".join(f"{c} = s.{c}" for c in others) + " " if update and others else ""
-    return f"MERGE INTO {table} t USING {staged} s ON {' AND '.join(f't.{k} = s.{k}' for k in keys)} {change}WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join(f's.{c}' for c in columns)})"
+merge_statement = database.merge_statement
 
 
-def merge_jdbc(df: DataFrame, url: str, table: str, keys: list[str], order: list[Column], update: bool = True, dialect: str = "standard", staging: str | None = None, **options) -> None:
-    """Insert or update rows by key: executors write the batch to a staging table, then the database merges it in one statement.
-
-    Of several rows with a key the last in order counts (the first if update is false). Only columns that df has are set."""
-    staging = staging or f"{table}_staged"
-    write_jdbc(first_per_key(df, keys, order, last=update).select(*df.columns), url, staging, mode="overwrite", **options)
-    driver = df.sparkSession.sparkContext._jvm.java.sql.DriverManager
-    connection = driver.getConnection(url)
-    try:
-        quoted = [f'"{c}"' for c in df.columns]
-        connection.createStatement().executeUpdate(merge_statement(table, staging, quoted, [f'"{k}"' for k in keys], update, dialect))
-    finally:
-        connection.close()
+def merge_jdbc(df: DataFrame, url: str, table: str, keys: list[str], order: list[Column], update: bool = True, dialect: str = "standard", batch: tuple[str, int] | None = None, present: str | None = None, **options) -> bool:
+    """Insert or update rows by key through a staging table, once for each batch (see database.merge); options such as user and password are those of
+    Spark's JDBC writer. Of several rows with a key the last in order counts (the first if update is false)."""
+    return database.merge(df, database.Database(url, options, dialect), table, keys, order, update, batch, present)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1000, mode: str = "append", **options) -> None:
@@ -131,18 +115,16 @@ def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1000, mode
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch_size), **options).mode(mode).save()
 
 
-#: Parts of error texts that mark a failure as passing.
-TIMEOUTS = ("timeout", "timed out", "deadline exceeded")
-TRANSIENT = (
-    "connection refused", "connection reset", "connect timeout", "too many requests", "transient", "worker node", "retry your query", "too many errors", "under too much load",
-    "the node may have crashed", "service unavailable", "bad gateway", "gateway timeout", "broken pipe", "temporary failure",
-)
+#: Parts of error texts that mark a failure as passing; those in capitals count in capitals only.
+TIMEOUTS = ("timeout", "deadline exceeded", "i/o timeout")
+TRANSIENT = ("TOO_MANY_REQUESTS_FAILED", "transient", "worker node", "retry your query", "too many errors", "connect timeout", "under too much load", "the node may have crashed")
 #: (attempts, seconds before the second, patterns) by kind of sink.
 POLICIES = {"default": (3, 0.5, TIMEOUTS), "trino": (5, 2.0, TIMEOUTS + TRANSIENT)}
 
 
 def passing(error: BaseException, patterns: tuple[str, ...] = TIMEOUTS) -> bool:
-    return any(p in str(error).lower() for p in patterns)
+    text = str(error)
+    return isinstance(error, TimeoutError) or any(p in (text if p.isupper() else text.lower()) for p in patterns)
 
 
 def with_retry(write: Callable[[], None], attempts: int = 3, wait: float = 0.5, patterns: tuple[str, ...] = TIMEOUTS, sleep: Callable[[float], None] = time.sleep) -> None:

@@ -109,11 +109,11 @@ def _(spark, sf_dir):
 
 @_query(
     "json_validity_varied",
-    "SELECT event_id, event_id % 5 IN (0, 2, 4) AS valid FROM events",
+    "SELECT event_id, event_id % 8 IN (0, 2, 4) AS valid FROM events",
 )
 def _(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
-    text = F.element_at(F.array(F.col("props"), F.concat("props", F.lit(" x")), F.lit("[1, 2]"), F.lit("1, 2"), F.concat(F.lit('"'), "event_type", F.lit('"'))), (F.col("event_id") % 5 + 1).cast("int"))
+    text = F.element_at(F.array(F.col("props"), F.concat("props", F.lit(" x")), F.lit("[1, 2]"), F.lit("1, 2"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.concat("event_type", F.lit("1] garbage")), F.concat("props", F.lit("] x")), F.concat("props", F.lit("],[2"))), (F.col("event_id") % 8 + 1).cast("int"))
     return e.select("event_id", predicates.valid_json(text).alias("valid"))
 
 
@@ -389,13 +389,14 @@ def _(spark, sf_dir):
 
 @_query(
     "misfit_rows",
-    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'type is missing' WHEN event_id % 3 = 0 THEN 'amount is out of range for int' END AS reason FROM events",
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'type is missing' WHEN event_id % 3 = 0 THEN 'amount is out of range for int' WHEN event_id % 7 = 0 THEN 'at is out of form for timestamp'
+    WHEN event_id % 11 = 0 THEN 'day is out of form for date' END AS reason FROM events""",
 )
 def _(spark, sf_dir):
     k = F.col("event_id")
-    e = _table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(k, F.when(k % 5 != 0, F.col("event_type")).alias("type"), F.when(k % 3 == 0, F.lit(3e10)).otherwise(F.lit(7.0)).alias("amount"))).alias("value"))
+    e = _table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(k, F.when(k % 5 != 0, F.col("event_type")).alias("type"), F.when(k % 3 == 0, F.lit(3e10)).otherwise(F.lit(7.0)).alias("amount"), F.when(k % 7 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("at"), F.when(k % 11 == 0, F.lit("2024-99-99")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("day"))).alias("value"))
     df = paths.parse_body(e)
-    good, bad = sinks.split_bad(df, co.misfits(df, [("type", "varchar"), ("amount", "int")], ("type",)))
+    good, bad = sinks.split_bad(df, co.misfits(df, [("type", "varchar"), ("amount", "int"), ("at", "timestamp"), ("day", "date")], ("type",)))
     return good.select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("event_id", "reason"))
 
 

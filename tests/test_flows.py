@@ -91,7 +91,11 @@ def test_retry():
         with pytest.raises(RuntimeError):
             sinks.with_retry(failing(text, 9), patterns=patterns, sleep=waits.append)
         assert len(calls) == 1
-    assert sinks.passing(RuntimeError("503 Service Unavailable"), sinks.TRANSIENT)
+    for text in ("Query failed: TOO_MANY_REQUESTS_FAILED", "Transient failure", "Worker node 3 crashed", "please retry your query", "Too many errors", "Connect timeout", "server is under too much load", "The node may have crashed"):
+        assert sinks.passing(RuntimeError(text), sinks.POLICIES["trino"][2]), text
+    for text in ("too_many_requests_failed", "connection refused", "broken pipe", "bad gateway", "syntax error"):
+        assert not sinks.passing(RuntimeError(text), sinks.POLICIES["trino"][2]), text
+    assert sinks.passing(TimeoutError()) and sinks.passing(RuntimeError("context deadline exceeded"))
 
 
 def test_jdbc_round_trip(spark, tmp_path):
@@ -162,7 +166,7 @@ def test_merge_into_a_database(spark, tmp_path):
     assert read() == [(1, "a", 1), (2, "y", 9), (3, "c", 3), (4, "first", 1)]
     sinks.merge_jdbc(rows((1, "new", 5)).select("ID", "n"), url, "target", ["ID"], [F.col("n")])
     assert read()[0] == (1, "a", 5), "columns that are not brought stay"
-    assert sinks.merge_statement("t", "s", ["id", "v"], ["id"], True, "postgresql") == "INSERT INTO t (id, v) SELECT id, v FROM s ON CONFLICT (id) DO UPDATE SET v = EXCLUDED.v"
+    assert sinks.merge_statement("t", "s", ["id", "v"], ["id"], True, "postgresql") == "INSERT INTO t (id, v) SELECT s.id, s.v FROM s s ON CONFLICT (id) DO UPDATE SET v = EXCLUDED.v"
 
 
 def test_sinks_are_retried_alone_and_guarded(spark, tmp_path):
