@@ -291,16 +291,18 @@ def refusal(error: BaseException) -> bool:
 
 
 def write_isolated(
-    df: DataFrame, connect: Callable[[], Any], table: str, store: str, placeholder: str = "?", rows_a_write: int = 1000, refused: Callable[[BaseException], bool] = refusal, ledger: str | None = None
+    df: DataFrame, connect: Callable[[], Any], table: str, store: str, placeholder: str = "?", rows_a_write: int = 1000, refused: Callable[[BaseException], bool] = refusal, ledger: str | None = None, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Append rows from the executors; those that the database refuses come back, with the reason, from a table written to the folder store.
 
     Each task writes so many rows in a transaction. One that fails because of its rows is halved, and its halves are tried, down to the single
     rows at fault: about log2(rows_a_write) failed writes for each. Any other failure fails the task. connect: a DB-API 2.0 connection, made in each
     task. ledger: a table (chunk VARCHAR(200) PRIMARY KEY) that takes a row in each transaction, so that a task that runs again skips what it
-    has written; df has to give the same rows in each partition then, as a persisted or written one does.
+    has written; df has to give the same rows in each partition then, as a persisted or written one does. carry: columns that are not written but
+    come back with refused rows.
     """
-    names = df.columns
+    names = [c for c in df.columns if c not in carry]
+    df = df.select(*names, *carry)
     sql = f"INSERT INTO {table} ({', '.join(f'"{c}"' for c in names)}) VALUES ({', '.join([placeholder] * len(names))})"
     schema = T.StructType([*df.schema.fields, T.StructField("reason", T.StringType())])
 
@@ -343,10 +345,10 @@ def write_isolated(
             for whole in batches:
                 for lo in range(0, whole.num_rows, rows_a_write):
                     b = whole.slice(lo, rows_a_write)
-                    bad = list(attempt(seen, list(zip(*[c.to_pylist() for c in b.columns], strict=True))))
+                    bad = list(attempt(seen, list(zip(*[c.to_pylist() for c in b.columns[: len(names)]], strict=True))))
                     if bad:
                         kept = b.take(pa.array([at - seen for at, _ in bad]))
-                        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([reason for _, reason in bad])], names=[*names, "reason"])
+                        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([reason for _, reason in bad])], names=schema.names)
                     seen += b.num_rows
         finally:
             connection.close()

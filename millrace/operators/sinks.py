@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,27 +62,56 @@ def error_envelope(payload: Column, message: Column, at: Column, sink: str, meta
     return F.to_json(F.struct(error.alias("error"), original.alias("original_message")))
 
 
-def split_bad(df: DataFrame, checks: list[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows with the reason of the first check they fail)."""
+def tag_bad(df: DataFrame, checks: list[tuple[Column, str]], column: str) -> DataFrame:
+    """df with the reason of the first check each row fails; null for good rows."""
     reason = F.lit(None).cast("string")
     for ok, message in reversed(checks):
         reason = F.when(F.coalesce(ok, F.lit(False)), reason).otherwise(F.lit(message))
-    tagged = df.withColumn("__reason", reason)
+    return df.withColumn(column, reason)
+
+
+def split_bad(df: DataFrame, checks: list[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows with the reason of the first check they fail)."""
+    tagged = tag_bad(df, checks, "__reason")
     return tagged.where("__reason IS NULL").drop("__reason"), tagged.where("__reason IS NOT NULL").withColumnRenamed("__reason", "reason")
 
 
-def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], default: Callable[[DataFrame], None], column: str = "route", run: Callable[[str, Callable[[], None]], None] | None = None, held: bool = False) -> None:
-    """Write each route's rows to its sink and all others to the default, from one computation of df. A failing route fails the batch.
+class SinksFailed(RuntimeError):
+    """Several sinks of one batch failed; failures has each one's error by name."""
 
+    def __init__(self, failures: dict[str, BaseException]):
+        super().__init__("; ".join(f"{name}: {error}" for name, error in failures.items()))
+        self.failures = failures
+
+
+def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], Any]], default: Callable[[DataFrame], Any], column: str = "route", run: Callable[[str, Callable[[], Any]], Any] | None = None, held: bool = False, threads: int = 4) -> dict[str, Any]:
+    """Write each route's rows to its sink and all others to the default, from one computation of df; what each writer returned, by route.
+
+    Sinks are written at the same time, by so many threads at most, each in a scheduler pool of its own, so that with
+    spark.scheduler.mode=FAIR a slow one leaves room for the others. All are tried: a failing one doesn't stop others, and fails the batch in the end.
     run(name, write) calls each write, so that retries and guards see sinks one by one. held: df is persisted already."""
     run = run or (lambda _, write: write())
+    known = list(sinks)
+    rest = df.where(F.col(column).isNull() | ~F.col(column).isin(known)) if known else df
+    parts = {route: (df.where(F.col(column) == route), write) for route, write in sinks.items()} | {"default": (rest, default)}
+    spark = df.sparkSession
+
+    def one(name: str) -> Any:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"sink {name}")
+        part, write = parts[name]
+        return run(name, lambda: write(part.drop(column)))
+
     if not held:
         df.persist()
     try:
-        for route, write in sinks.items():
-            run(route, lambda write=write, route=route: write(df.where(F.col(column) == route).drop(column)))
-        known = list(sinks)
-        run("default", lambda: default(df.where(F.col(column).isNull() | ~F.col(column).isin(known)).drop(column) if known else df.drop(column)))
+        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(parts)))) as pool:
+            futures = {name: pool.submit(inheritable_thread_target(spark)(one), name) for name in parts}  # properties are copied for each
+        failures = {name: f.exception() for name, f in futures.items() if f.exception() is not None}
+        if len(failures) == 1:
+            raise next(iter(failures.values()))
+        if failures:
+            raise SinksFailed(failures)
+        return {name: f.result() for name, f in futures.items()}
     finally:
         if not held:
             df.unpersist()
@@ -127,7 +159,7 @@ def passing(error: BaseException, patterns: tuple[str, ...] = TIMEOUTS) -> bool:
     return isinstance(error, TimeoutError) or any(p in (text if p.isupper() else text.lower()) for p in patterns)
 
 
-def with_retry(write: Callable[[], None], attempts: int = 3, wait: float = 0.5, patterns: tuple[str, ...] = TIMEOUTS, sleep: Callable[[float], None] = time.sleep) -> None:
+def with_retry(write: Callable[[], Any], attempts: int = 3, wait: float = 0.5, patterns: tuple[str, ...] = TIMEOUTS, sleep: Callable[[float], None] = time.sleep) -> Any:
     """Run an idempotent write again after failures that pass, doubling the wait; others fail at once."""
     for n in range(attempts):
         try:

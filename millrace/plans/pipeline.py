@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,23 +91,43 @@ class Flow:
         return paths.render_body(df if "route" in df.columns else df.withColumn("route", F.lit(None).cast("string")))
 
     def write_batch(
-        self, planned: DataFrame, writers: dict[str, Callable[[DataFrame], None]], default: Callable[[DataFrame], None], errors: Callable[[DataFrame], None] | None = None,
-        target: list[tuple[str, str]] | None = None, required: tuple[str, ...] = (), run: Callable[[str, Callable[[], None]], None] | None = None,
-    ) -> None:
-        """One batch to its sinks. With an error sink, rows that are no JSON object go there, each in its envelope, and nowhere else; so do, given the
-        target table's columns (name, type), rows with a number out of range or without a required column."""
+        self, planned: DataFrame, writers: dict[str, Callable[[DataFrame], Any]], default: Callable[[DataFrame], Any], errors: Callable[[DataFrame], None] | None = None,
+        target: list[tuple[str, str]] | None = None, required: tuple[str, ...] = (), run: Callable[[str, Callable[[], Any]], Any] | None = None, threads: int = 4,
+    ) -> tuple[int, int]:
+        """One batch to its sinks; (rows written, rows in error).
+
+        With an error sink, rows that are no JSON object go there, each in its envelope, and nowhere else; so do, given the target table's columns (name,
+        type), rows with a value that doesn't fit or without a required column; and so do rows that a writer returns as a DataFrame (value, reason),
+        such as those a database refuses. Without an error sink refused rows fail the batch."""
         run = run or (lambda _, write: write())
-        planned.persist()
+        checks = [(F.col(paths.BODY).isNotNull(), "not a JSON object"), *(misfits(planned, target, required) if target else [])] if errors is not None else []
+        tagged = sinks.tag_bad(planned, checks, "__reason").persist()
         try:
-            good = planned
+            good, bad = tagged.where("__reason IS NULL").drop("__reason"), tagged.where("__reason IS NOT NULL").withColumnRenamed("__reason", "reason")
             if errors is not None:
-                good, bad = sinks.split_bad(planned, [(F.col(paths.BODY).isNotNull(), "not a JSON object"), *(misfits(planned, target, required) if target else [])])
-                meta = F.col("meta") if "meta" in bad.columns else F.create_map().cast("map<string,string>")
-                envelopes = bad.select(sinks.error_envelope(F.col("value").cast("string"), F.col("reason"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), self.sink["type"], meta).alias("value"))
-                run("errors", lambda: errors(envelopes))
-            sinks.fan_out(good.drop(paths.BODY), writers, default, run=run, held=True)
+                run("errors", lambda: errors(self._envelopes(bad)))
+            returned = sinks.fan_out(good.drop(paths.BODY), writers, default, run=run, held=True, threads=threads)
+            refused = {name: rows for name, rows in returned.items() if isinstance(rows, DataFrame)}
+            for name, rows in refused.items():
+                if errors is not None:
+                    run(f"errors of {name}", lambda rows=rows: errors(self._envelopes(rows)))
+                elif not rows.isEmpty():
+                    raise RuntimeError(f"sink {name} refused rows: {rows.first()['reason']}")
+            total, wrong = tagged.agg(F.count("*"), F.count("__reason")).first()
+            late = sum(rows.count() for rows in refused.values())
+            return total - wrong - late, wrong + late
         finally:
-            planned.unpersist()
+            tagged.unpersist()
+
+    def _envelopes(self, bad: DataFrame) -> DataFrame:
+        meta = F.col("meta") if "meta" in bad.columns else F.create_map().cast("map<string,string>")
+        at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+        return bad.select(sinks.error_envelope(F.col("value").cast("string"), F.col("reason"), at, self.sink["type"], meta).alias("value"))
+
+    def policy(self, name: str) -> tuple[int, float, tuple[str, ...]]:
+        """The retry policy of a sink by its name: a route's condition, `default`, or `errors` (of ...)."""
+        end = self.errors if name.startswith("errors") else self.routes.get(name, self.sink)
+        return sinks.POLICIES.get((end or {}).get("type", ""), sinks.POLICIES["default"])
 
 
 def compile_flow(spec: dict) -> Flow:
