@@ -69,3 +69,15 @@ def time_pattern(layout: str) -> str:
             out, quoted = f"{out}'{quoted}'", ""
         out, i = (out + found[1], i + len(found[0])) if found else (out + ("''" if layout[i] == "'" else layout[i]), i + 1)
     return f"{out}'{quoted}'" if quoted else out
+
+
+class ExactNumber(float):
+    """A number of a JSON text that is written out as it was read."""
+
+    def __new__(cls, text):
+        made = super().__new__(cls, text)
+        made.text = text
+        return made
+
+    def __repr__(self):
+        return self.text

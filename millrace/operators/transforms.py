@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import deep as deep_bodies
 from millrace.functions import names, paths, predicates
 
 Step = Callable[[DataFrame], DataFrame]
@@ -154,21 +155,16 @@ def _rename_keys(column_rename, text_rename, deep: bool) -> Step:
                 return {text_rename(k): walk(v) for k, v in x.items()}
             return [walk(v) for v in x] if isinstance(x, list) else x
 
-        class Exact(float):
-            def __new__(cls, text):
-                made = super().__new__(cls, text)
-                made.text = text
-                return made
-
-            def __repr__(self):
-                return self.text
-
-        return texts.map(lambda t: None if t is None else json.dumps(walk(json.loads(t, parse_float=Exact)), ensure_ascii=False))
+        return texts.map(lambda t: None if t is None else json.dumps(walk(json.loads(t, parse_float=names.ExactNumber)), ensure_ascii=False))
 
     def step(df: DataFrame) -> DataFrame:
         if paths.is_dynamic(df):
             body = F.col(BODY)
-            if deep:  # of any depth, which no built-in function reaches: batches of JSON text
+            shape = deep_bodies.body_shape(df) if deep and not df.isStreaming else None
+            if shape is not None:
+                renaming = deep_bodies.Renaming.of(shape.keys, text_rename, column_rename)
+                return df.withColumn(BODY, paths.once(body, lambda b: F.when(b.isNotNull(), deep_bodies.entries(b, shape.levels, renaming))))
+            if deep:  # a stream, or bodies whose depth their shape does not tell: batches of JSON text
                 return df.withColumn(BODY, F.from_json(deeply(F.to_json(body)), "map<string,variant>"))
             return df.withColumn(BODY, paths.once(body, lambda b: paths.last_wins(F.transform(F.map_keys(b), column_rename), F.map_values(b))))
         kind = names.renamed(df.schema, text_rename, deep)

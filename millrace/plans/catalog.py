@@ -450,6 +450,15 @@ def _(spark, sf_dir):
     return out.select("l_orderkey", F.size("lines").cast("bigint").alias("n"), F.aggregate("lines", F.lit(0.0), lambda s, x: s + x["parts"][0]).alias("quantity"))
 
 
+@_query("unwrap_avro_arrays_dynamic", "SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey")
+def _(spark, sf_dir):
+    line = F.struct(F.struct(F.array("l_quantity").alias("array")).alias("parts"))
+    nested = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.struct(F.collect_list(line).alias("array")).alias("lines"))
+    out = readers.unwrap_bodies(paths.parse_body(nested.select(F.to_json(F.struct("l_orderkey", F.struct("lines").alias("order"))).alias("value"))))
+    lines = paths.variant_at(F.col("body"), "order.lines").try_cast("array<struct<parts: array<double>>>")
+    return out.select(_at("l_orderkey", "bigint").alias("l_orderkey"), F.size(lines).cast("bigint").alias("n"), F.aggregate(lines, F.lit(0.0), lambda s, x: s + x["parts"][0]).alias("quantity"))
+
+
 @_query("confluent_frame_split", "SELECT event_id, event_id % 2 = 0 AS framed, CASE WHEN event_id % 2 = 0 THEN (user_id % 1000)::INT END AS schema_id, event_type AS payload FROM events")
 def _(spark, sf_dir):
     e = _table(spark, sf_dir, "events")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import deep, names, paths
+
 
 def kafka_options(brokers: list[str], topic: str, group: str = "millrace", tls: dict | None = None, sasl: dict | None = None) -> dict[str, str]:
     """Options of Spark's Kafka source: all of a topic from the oldest record on."""
@@ -66,6 +70,25 @@ def unwrap_all(df: DataFrame) -> DataFrame:
     return df.select(*[unwrap_arrays(F.col(f"`{f.name}`"), f.dataType)[0].alias(f.name) for f in df.schema.fields])
 
 
+def unwrap_bodies(df: DataFrame) -> DataFrame:
+    """df with the same done to its bodies, at all depths below their own keys. Bodies in which a place holds different kinds of values are rewritten as text."""
+    shape = None if df.isStreaming else deep.body_shape(df)
+    if shape is not None:
+        return df.withColumn(paths.BODY, paths.once(F.col(paths.BODY), lambda b: F.when(b.isNotNull(), deep.entries(b, shape.levels, unwrap=True))))
+
+    def walk(x):
+        if isinstance(x, dict):
+            return walk(x["array"]) if list(x) == ["array"] and isinstance(x["array"], list) else {k: walk(v) for k, v in x.items()}
+        return [walk(v) for v in x] if isinstance(x, list) else x
+
+    @F.pandas_udf("string")
+    def unwrapped(texts: pd.Series) -> pd.Series:
+        keep = lambda t: json.dumps({k: walk(v) for k, v in json.loads(t, parse_float=names.ExactNumber).items()}, ensure_ascii=False)
+        return texts.map(lambda t: None if t is None else keep(t))
+
+    return df.withColumn(paths.BODY, F.from_json(unwrapped(F.to_json(paths.BODY)), "map<string,variant>"))
+
+
 def to_messages(df: DataFrame, table: str, key: str | None = "id") -> DataFrame:
     """Rows of a table as JSON objects by column name, nulls included, with metadata table and id."""
     meta = [F.lit("table"), F.lit(table)] + ([F.lit("id"), F.col(key).cast("string")] if key and key in df.columns else [])
