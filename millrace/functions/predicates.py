@@ -43,9 +43,15 @@ def truthy_typed(value: Column, kind: T.DataType | None) -> Column:
 
 def split_equality(condition: str) -> tuple[str, str] | None:
     """(path, literal) of an equality, else None. A literal that isn't quoted is ''; a backslash keeps the quote after it and stays itself."""
-    left, sign, right = condition.partition("==")
-    if not sign:
+    depth, at = 0, -1
+    for i, c in enumerate(condition):  # a sign within parentheses belongs to the path
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if depth == 0 and condition.startswith("==", i):
+            at = i
+            break
+    if at < 0:
         return None
+    left, right = condition[:at], condition[at + 2 :]
     found = re.match(r"""\s*(?:'((?:\\.|[^'\\])*)'|"((?:\\.|[^"\\])*)")""", right, re.S)
     return left.strip(), next((g for g in found.groups() if g is not None), "") if found else ""
 
@@ -65,7 +71,7 @@ def condition(df: DataFrame, text: str) -> Column:
     kind = paths.typed_type(df.schema, path)
     if kind is None:
         return F.lit(False)
-    value = paths.typed_at(path)
+    value = paths.typed_at(path, df.schema)
     if not equality:
         return truthy_typed(value, kind)
     text = F.to_json(value) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else value.cast("string")

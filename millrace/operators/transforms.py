@@ -52,7 +52,7 @@ def mask(fields: list[str], mask_char: str = "*", keep_length: bool = False) ->
         kind = paths.typed_type(df.schema, field)
         if kind is None:
             return df
-        value = paths.typed_at(field)
+        value = paths.typed_at(field, df.schema)
         text = F.to_json(value) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else value.cast("string")
         return paths.put_typed(df, field, F.when(value.isNotNull(), masked(text)))
 
@@ -95,7 +95,7 @@ def select(fields: list[str], keep: tuple[str, ...] = ()) -> Step:
                 return F.when(body.isNotNull(), F.coalesce(chosen, body))
 
             return df.withColumn(BODY, paths.once(F.col(BODY), kept))
-        found = {paths.last_segment(f): paths.typed_at(f) for f in fields if paths.typed_type(df.schema, f) is not None}
+        found = {paths.last_segment(f): paths.typed_at(f, df.schema) for f in fields if paths.typed_type(df.schema, f) is not None}
         return df.select(*[c for c in keep if c not in found], *[v.alias(k) for k, v in found.items()]) if found else df
 
     return step
@@ -129,7 +129,7 @@ def flatten(field: str) -> Step:
 
     def typed(df: DataFrame) -> DataFrame:
         kind = paths.typed_type(df.schema, field)
-        value = paths.typed_at(field)
+        value = paths.typed_at(field, df.schema)
         if isinstance(kind, T.StructType) and kind.names == ["array"]:
             kind, value = kind["array"].dataType, value["array"]
         if not isinstance(kind, T.ArrayType):
@@ -206,7 +206,7 @@ def rename_fields(rules: list[str]) -> Step:
             return df
         if len(paths.segments(old)) == len(paths.segments(new)) == 1:
             return df.withColumnRenamed(old, new)
-        held = paths.drop_typed(df.withColumn("__moved", paths.typed_at(old)), old)
+        held = paths.drop_typed(df.withColumn("__moved", paths.typed_at(old, df.schema)), old)
         first, *rest = paths.segments(new)
         if rest and first not in held.columns:
             value = reduce(lambda v, n: F.struct(v.alias(n)), reversed(rest), F.col("__moved"))
@@ -231,7 +231,7 @@ def header_from(rules: list[str], headers: str = "headers") -> Step:
         first, *rest = paths.segments(path)
         if rest and first not in df.columns:
             return df.withColumn(first, F.when(value.isNotNull(), reduce(lambda v, n: F.struct(v.alias(n)), reversed(rest), value)))
-        had = paths.typed_at(path).cast("string") if paths.typed_type(df.schema, path) is not None else F.lit(None).cast("string")
+        had = paths.typed_at(path, df.schema).cast("string") if paths.typed_type(df.schema, path) is not None else F.lit(None).cast("string")
         return paths.put_typed(df, path, F.coalesce(value, had))
 
     return lambda df: reduce(one, pairs, df)

@@ -468,6 +468,31 @@ def _(spark, sf_dir):
     return out.select("event_id", "f.framed", "f.schema_id", F.col("f.payload").cast("string").alias("payload"))
 
 
+_LINES = "SELECT l_orderkey, list({q: l_quantity, f: l_returnflag, l: l_linenumber} ORDER BY l_linenumber, l_quantity, l_returnflag) AS x FROM lineitem GROUP BY l_orderkey"
+
+
+@_query(
+    "path_queries",
+    f"""WITH o AS ({_LINES}) SELECT l_orderkey, list_filter(x, lambda e: e.f = 'R')[1].q AS first_returned, len(list_filter(x, lambda e: e.q > 25)) AS large, coalesce(list_sum(list_transform(list_filter(x, lambda e: e.q <= 10), lambda e: e.q)), 0) AS small_sum,
+    len(list_filter(x, lambda e: e.f <> 'N')) > 0 AS any_other FROM o""",
+)
+def _(spark, sf_dir):
+    """Lines of orders picked by conditions in paths, in both lanes, which agree."""
+    line = F.struct("l_linenumber", "l_quantity", "l_returnflag")
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    asked = {"first_returned": 'lines.#(l_returnflag=="R").l_quantity', "large": "lines.#(l_quantity>25)#.#", "small": "lines.#(l_quantity<=10)#.l_quantity", "any_other": 'lines.#(l_returnflag!="N")'}
+    typed = t.chain([t.filter_rows("lines.#(l_linenumber>0)")])(orders)
+    body = F.col("body")
+    dynamic = paths.parse_body(typed.select("l_orderkey", "lines", F.to_json(F.struct("lines")).alias("value")))
+    at = {n: paths.variant_at(body, p) for n, p in asked.items()}
+    own = {n: paths.typed_at(p, typed.schema) for n, p in asked.items()}
+    both = dynamic.select(
+        "l_orderkey", at["first_returned"].cast("double").alias("first_returned"), F.when(at["large"].cast("bigint") == own["large"], at["large"].cast("bigint")).alias("large"),
+        F.when(at["small"].cast("array<double>") == own["small"], F.aggregate(own["small"], F.lit(0.0), lambda s, x: s + x)).alias("small_sum"), predicates.condition(dynamic, asked["any_other"]).alias("any_other"), own["first_returned"].alias("__own"),
+    )
+    return both.select("l_orderkey", F.when(F.col("first_returned").eqNullSafe(F.col("__own")), F.col("first_returned")).otherwise(-1.0).alias("first_returned"), "large", "small_sum", "any_other")
+
+
 @_query("kafka_record", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS key, 'out' AS topic FROM events")
 def _(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id")).alias("value"), F.create_map(F.lit("key"), F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string"))).alias("meta"))
