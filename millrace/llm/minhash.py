@@ -6,8 +6,8 @@ coordinates the earliest dart is kept, so two documents agree in a coordinate wi
 darts that land early enough are ever enumerated, however large the document, and most shingles are done after one hash.
 
 Banded signatures give candidate pairs, and those are verified exactly. Candidates of a band are not all pairs: each document of a bucket is first held
-against one of them only. Where that leaves several components in a bucket, its documents are dealt into blocks, and a task holds block against block
-and hands on only as many links as connect what they connect.
+against one of them only. Where that leaves several components in a bucket, its documents are dealt into blocks, and a task holds two rows of blocks,
+compares all pairs of blocks that are not connected yet, and hands on only as many links as connect what they connect.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, read_table
+from millrace.llm.common import cut, discard, read_table, words_in
 from millrace.llm.graph import connected_components
 
 NAME = "op6_minhash_near_dedup"
 _CACHE_WORDS = 150_000
 _COLUMNS = 8192
-_BROADCAST_IDS = 500_000
 _hashes: dict[bytes, int] = {}
 
 
@@ -128,10 +127,10 @@ def _bands(texts: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     return texts.mapInArrow(run, "id string, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are at least threshold similar."""
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+def _verified(pieces: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(a, b): those of the pieces (id, text, to) whose texts are at least threshold similar to that of `to`, which is a piece with itself."""
+    left = pieces.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"), F.col("text").alias("ta"))
+    right = pieces.where("id = to").select(F.col("to").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -143,32 +142,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
                 keep.append(similarity(shingles(ta, words), last[1]) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a string, b string")
+    return left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
 
 
-def _cells(texts: DataFrame, words: int) -> DataFrame:
-    """(id, cells binary, n): each text's shingles as 64-bit numbers, a shingle that occurs again under another number each time, so that two texts share
-    as many cells as the weight that their weighted sets share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                b = whole.slice(lo, 128)
-                out = []
-                for t in b.column(1).cast(pa.binary()).to_pylist():
-                    keys, weights = shingles(t, words)
-                    number = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
-                    keys = np.repeat(keys, weights)
-                    out.append(np.where(number > 0, _mix(keys + _mix(number.astype(np.uint64))), keys))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in out], pa.binary()), pa.array([len(c) for c in out], pa.int64())], names=["id", "cells", "n"])
-
-    return texts.select("id", "text").mapInArrow(run, "id string, cells binary, n long")
+def _cells(text: bytes | None, words: int) -> np.ndarray:
+    """A text's shingles as 64-bit numbers, a shingle that occurs again under another number each time, so that two texts share as many cells as the
+    weight that their weighted sets share."""
+    keys, weights = shingles(text, words)
+    number = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+    keys = np.repeat(keys, weights)
+    return np.where(number > 0, _mix(keys + _mix(number.astype(np.uint64))), keys)
 
 
 def _ties(rows: list[dict], others: list[dict], threshold: float) -> list[tuple[str, str]]:
     """Links between texts of different components, as few as connect the same components: all pairs among rows, or of rows with others."""
     whole = rows + others
-    cells = [np.frombuffer(r["cells"], np.uint64) for r in whole]
+    cells = [r["cells"] for r in whole]
     sizes = np.array([len(c) for c in cells], np.float64)
     flat, owner = np.concatenate(cells), np.repeat(np.arange(len(cells)), sizes.astype(np.int64))
     values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -205,35 +194,70 @@ def _ties(rows: list[dict], others: list[dict], threshold: float) -> list[tuple[
     return out
 
 
-def _between(placed: DataFrame, wanted: DataFrame, threshold: float, words: int, block: int = 256, block_cells: int = 1 << 19) -> DataFrame:
+def _grid(blocks: dict[int, list[dict]], side: int, threshold: float) -> list[tuple[str, str]]:
+    """Links as _ties gives them between the texts of blocks, all of one or two rows of `side` blocks: of one row all pairs of blocks, of two rows those
+    that are across. Blocks whose texts are connected by then are not compared."""
+    up: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while up.get(c, c) != c:
+            up[c] = c = up.get(up[c], up[c])
+        return c
+
+    out, order = [], sorted(blocks)
+    across = order[0] // side != order[-1] // side
+    for k, i in enumerate(order):
+        for j in order[k:]:
+            if across and i // side == j // side:
+                continue
+            rows, others = ([r | {"component": top(r["component"])} for r in blocks[b]] for b in (i, j))
+            if len({r["component"] for r in rows + others}) > 1:
+                for a, b in _ties(rows, others if i != j else [], threshold):
+                    up[max(top(a), top(b))] = min(top(a), top(b))
+                    out.append((a, b))
+    return out
+
+
+def _between(placed: DataFrame, texts: DataFrame, threshold: float, words: int, block: int = 256, block_words: int = 1 << 18, side: int = 8) -> DataFrame:
     """(a, b): components of placed (id, key, component) that a link joins which lies inside a bucket, as few rows as connect the same components.
 
-    The texts of a bucket are dealt into blocks of about `block` texts and `block_cells` shingles, and a task compares two blocks at once; what it
-    hands on is at most a row for each text it has, so rows grow with the texts of a bucket, not with its pairs."""
+    The texts of a bucket are dealt into blocks of about `block` texts and `block_words` words, and blocks stand in rows of `side`. A task holds two rows of
+    blocks at most and compares all pairs of blocks in them, so that a text is handed on once for each row of its bucket and not for each block; what a task
+    hands on is at most a row for each text it has."""
     counted = placed.groupBy("key", "component").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("id")).alias("marks"))
     split = counted.groupBy("key").agg(F.count("*").alias("components"), F.sum("docs").alias("docs"), F.bit_xor("marks").alias("marks")).where("components > 1")
     once = cut(split.groupBy("docs", "marks").agg(F.min("key").alias("key")).select("key"))  # buckets that hold the same texts count once
     left = cut(placed.join(once, "key").select("id", "key", "component"))
-    cells = cut(_cells(wanted.join(left.select("id").distinct(), "id", "left_semi"), words))
-    sizes = left.join(cells.select("id", "n"), "id").groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
-    sizes = cut(sizes.select("key", F.ceil(F.greatest(F.col("docs") / block, F.col("n") / block_cells)).alias("blocks")))
-    numbered = cut(left.join(sizes, "key").select("id", "key", "component", F.pmod(F.xxhash64("key", "id"), "blocks").alias("at")))
-    members = F.collect_list(F.struct("component", "cells")).alias("members")
-    blocks = cut(numbered.join(cells, "id").groupBy("key", "at").agg(members))
-    pairs = sizes.where("blocks > 1").select("key", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 2)).alias("at"))
-    pairs = pairs.select("key", "at", F.explode(F.sequence(F.col("at") + 1, F.col("blocks") - 1)).alias("to"))
-    other = blocks.select("key", F.col("at").alias("to"), F.col("members").alias("others"))
-    across = pairs.join(blocks, ["key", "at"]).join(other, ["key", "to"]).select("members", "others")
-    whole = blocks.where(F.size("members") > 1).select("members", F.array().cast(blocks.schema["members"].dataType).alias("others")).unionByName(across)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = cut(texts.join(left.select("id").distinct(), "id", "left_semi").select("id", "text", words_in(F.col("text")).alias("n")))
+    sizes = left.join(held.select("id", "n"), "id").groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    sizes = cut(sizes.select("key", F.ceil(F.greatest(F.col("docs") / block, F.col("n") / block_words)).cast("int").alias("blocks")))
+    at = F.pmod(F.xxhash64("key", "id"), "blocks").cast("int")
+    numbered = left.join(sizes, "key").select("id", "key", "component", at.alias("at"), F.ceil(F.col("blocks") / side).cast("int").alias("rows"))
+    own = F.floor(F.col("at") / side).cast("int")
+    both = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    tasks = numbered.select("id", "key", "component", "at", "rows", F.inline(both)).join(held.select("id", "text"), "id")
+
+    def links(rows: list[dict]) -> list[tuple[str, str]]:
+        blocks: dict[int, list[dict]] = {}
+        for r in rows:
+            blocks.setdefault(r["at"], []).append({"component": r["component"], "cells": _cells(r["text"].encode("utf-8", "surrogatepass"), words)})
+        return _grid(blocks, side, threshold)
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ties = _ties(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), threshold)
-                if ties:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in zip(*ties, strict=True)], names=["a", "b"])
+                if found := links(batch.column(0)[r].as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in zip(*found, strict=True)], names=["a", "b"])
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := links([r for b in batches for r in b.select(["at", "component", "text"]).to_pylist()]):
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in zip(*found, strict=True)], names=["a", "b"])
 
-    return whole.mapInArrow(run, "a string, b string")
+    # most buckets are one block of a few texts, which come as lists; those of many blocks come as streams, so that no list of them is built in the JVM
+    single = sizes.where("blocks = 1").select("key")
+    lists = tasks.join(single, "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "component", "text")).alias("members")).select("members")
+    grids = tasks.join(single, "key", "left_anti").groupBy("key", "i", "j").applyInArrow(large, "a string, b string")
+    return lists.mapInArrow(small, "a string, b string").unionByName(grids)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, words: int = 5) -> DataFrame:
@@ -249,25 +273,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     id_ = F.md5(F.col("text").cast("string").cast("binary"))
     texts = docs.where(some).select(id_.alias("id"), F.col("text").cast("string").alias("text"))
-    buckets = cut(_bands(texts, bands, rows, words).dropDuplicates(["id"])).select("id", F.explode("keys").alias("key"))  # a key tells its band, too
+    banded = cut(_bands(texts, bands, rows, words).dropDuplicates(["id"]))
+    buckets = banded.select("id", F.explode("keys").alias("key"))  # a key tells its band, too
     shared = cut(buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size"))
     inside = cut(buckets.join(shared, "key").select("id", "key", "size"))
+    discard(banded, shared)
     # the text of a bucket that shares most buckets with most others: what its copies were made from, if it is there
     central = cut(inside.groupBy("id").agg(F.sum("size").alias("weight")))
     weighed = cut(inside.join(central, "id").select("key", "id", "weight"))
     pivots = cut(weighed.groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("first")))
-    # ids are handed to all tasks only while there are few of them; beyond that both sides are shuffled
-    asked = central.select("id")
-    wanted = cut(texts.join(F.broadcast(asked) if central.count() <= _BROADCAST_IDS else asked, "id", "left_semi").dropDuplicates(["id"]))
-
-    # each document of a bucket against one of them
-    tried = cut(inside.join(pivots, "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
-    edges = cut(_verified(tried, wanted, threshold, words))
+    discard(central, weighed)
+
+    # each document of a bucket against one of them: a text is handed to the few it is held against, and to itself if others are held against it
+    tried = inside.join(pivots, "key").select("id", F.col("first").alias("to")).distinct()
+    asked = cut(tried.groupBy("id").agg(F.collect_list("to").alias("to")))  # no more than there are bands
+    pieces = cut(texts.dropDuplicates(["id"]).join(asked, "id").select("id", "text", F.posexplode("to").alias("n", "to")))
+    discard(pivots, asked)
+    edges = cut(_verified(pieces, threshold, words))
     components = cut(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
     # components that still share a bucket
     placed = cut(inside.join(components.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("component")))
-    ties = cut(_between(placed, wanted, threshold, words))
+    ties = cut(_between(placed, pieces.where("n = 0").select("id", "text"), threshold, words))
+    discard(inside, pieces, placed, edges)
     merged = connected_components(ties.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     final = components.join(merged.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
     # a component of one text, which no edge names, may have been tied to others

@@ -75,10 +75,10 @@ def test_blocks_of_one_bucket_lose_no_link(spark):
     placed = spark.createDataFrame([(ids[t], key, ids[t]) for _, t in rows for key in (7, 8)] + [("070", 9, "070"), ("071", 9, "070")], "id string, key long, component string")
     wanted = spark.createDataFrame([(ids[t], t) for _, t in rows] + [("070", "far away"), ("071", "far away too")], "id string, text string")
     want = sorted(sorted(f"{i:03d}" for i in g) for g in brute(rows) if len(g) > 1)
-    for block in (256, 8):
+    for block, side in ((256, 8), (8, 2), (8, 8), (4, 3)):
         up = {}
         find = lambda x: x if up.get(x, x) == x else find(up[x])  # noqa: B023, E731
-        ties = minhash._between(placed, wanted, 0.8, 5, block=block).collect()
+        ties = minhash._between(placed, wanted, 0.8, 5, block=block, side=side).collect()
         assert len(ties) <= 70 * 10
         for r in ties:
             up[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
