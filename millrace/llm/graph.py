@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, discard
 
 
 def _marks(edges: DataFrame) -> tuple:
@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src, dst): component is the least node that links reach.
 
     Each round hangs every larger neighbour of a node on the node's least neighbour, then does the same among smaller neighbours, until nothing
-    changes; rounds grow with the logarithm of the longest path. Every round is written to the shared folder. Null ends and loops are ignored.
+    changes; rounds grow with the logarithm of the longest path. Every round is written to the shared folder, and deleted after the next. Null ends and
+    loops are ignored.
     """
     cur = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     cur = cut(cur)
@@ -25,13 +26,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # every node's larger neighbours move to the least of its neighbours and itself
         both = cur.union(cur.select(F.col("v"), F.col("u")))
         # written before it is joined, so that Spark can split the rows of a node with very many neighbours
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        own = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(own, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every node and its smaller neighbours move to the least of these
         large = cut(large)
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"))
         small = large.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("n", "m")).distinct()
-        cur = cut(small)
+        last, cur = cur, cut(small)
+        discard(own, large, least, *([last] if last is not nodes else []))
         after = _marks(cur)
         if after == before:
             break

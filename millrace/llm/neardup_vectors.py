@@ -14,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, parts, read_table
+from millrace.llm.common import cut, read_table
 from millrace.llm.graph import connected_components
 from millrace.llm.vectors import matrix, usable
 
 NAME = "op8_embedding_near_dedup"
 _FAN = 16
+_BLOCK_NUMBERS = 1 << 18
 
 
 def principal_directions(vectors: DataFrame, width: int, dims: int, sample: int) -> np.ndarray:
@@ -33,62 +35,35 @@ def principal_directions(vectors: DataFrame, width: int, dims: int, sample: int)
     return np.ascontiguousarray(axes[:, ::-1][:, :dims])
 
 
-def _blocks(vectors: DataFrame, width: int, axes: np.ndarray, epsilon: float, block: int) -> DataFrame:
-    """Blocks of the sequence by grid cells: (at, lo, hi, ids, copies, data); at tells the place in the sequence."""
+def _sequence(vectors: DataFrame, width: int, axes: np.ndarray, epsilon: float, block: int) -> DataFrame:
+    """(rep, embedding, copies, along, at): the vectors, with their lengths along the directions and the number of their block. Blocks are stretches of `block`
+    vectors in the order of the grid cells, wherever Spark cuts the sorted sequence into partitions."""
     dims = axes.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), width)
-            cells = np.floor(x / np.linalg.norm(x, axis=1, keepdims=True) @ axes / epsilon).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), dims).cast(pa.list_(pa.int32()))], names=["rep", "embedding", "copies", "cell"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-
-        def one(rows: pa.Table) -> pa.RecordBatch:
-            x = matrix(rows.column("embedding").combine_chunks(), width)
-            y = x / np.linalg.norm(x, axis=1, keepdims=True) @ axes
-            cols = [pa.array([y.min(0).tolist()], pa.list_(pa.float64())), pa.array([y.max(0).tolist()], pa.list_(pa.float64()))]
-            cols += [pa.array([np.asarray(rows.column(c)).astype(np.int64).tobytes()], pa.binary()) for c in ("rep", "copies")]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes()], pa.binary())], names=["lo", "hi", "ids", "copies", "data"])
-
-        for b in batches:
-            held.append(b)
-            count += b.num_rows
-            while count >= block:
-                rows = pa.Table.from_batches(held)
-                yield one(rows.slice(0, block))
-                held, count = rows.slice(block).to_batches(), count - block
-        if count:
-            yield one(pa.Table.from_batches(held))
-
-    placed = vectors.mapInArrow(place, "rep long, embedding array<double>, copies long, cell array<int>")
-    wanted = max(1, -(-vectors.count() // block))
-    kinds = "lo array<double>, hi array<double>, ids binary, copies binary, data binary"
-    ordered = placed.repartitionByRange(wanted, "cell", "rep").sortWithinPartitions("cell", "rep")
-    blocks = cut(ordered.mapInArrow(gather, kinds).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
-    ranges = (blocks.agg(F.max("part")).first()[0] or 0) + 1
-    if ranges < 2 * wanted:
-        return blocks
-    # more ranges than asked for, so neighbours are put together again
-
-    def merge(key, table):
-        table = table.sort_by("at")
-        low, high = (f(np.array(table.column(c).to_pylist()), 0).tolist() for f, c in ((np.min, "lo"), (np.max, "hi")))
-        joined = [b"".join(table.column(c).to_pylist()) for c in ("ids", "copies", "data")]
-        return pa.table([pa.array([low], pa.list_(pa.float64())), pa.array([high], pa.list_(pa.float64())), *[pa.array([x], pa.binary()) for x in joined], pa.array([key[0].as_py()], pa.int32()), pa.array([key[0].as_py()], pa.int64())], names=["lo", "hi", "ids", "copies", "data", "part", "at"])
-
-    near = blocks.withColumn("part", F.floor(F.col("part") * wanted / ranges).cast("int"))
-    return cut(near.groupBy("part").applyInArrow(merge, f"{kinds}, part int, at long"))
+            along = x / np.linalg.norm(x, axis=1, keepdims=True) @ axes
+            lists = [pa.FixedSizeListArray.from_arrays(flat, dims).cast(pa.list_(flat.type)) for flat in (pa.array(along.ravel()), pa.array(np.floor(along / epsilon).astype(np.int32).ravel()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=["rep", "embedding", "copies", "along", "cell"])
+
+    placed = vectors.mapInArrow(place, "rep long, embedding array<double>, copies long, along array<double>, cell array<int>")
+    wanted = max(1, -(-vectors.count() // (4 * block)))
+    ordered = cut(placed.repartitionByRange(wanted, "cell", "rep").sortWithinPartitions("cell", "rep").drop("cell").withColumn("place", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    # a row for each partition: how many vectors stand in those before
+    sizes = ordered.groupBy(part.alias("part")).count()
+    before = F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("before"))
+    numbered = ordered.withColumn("part", part).join(F.broadcast(starts), "part")
+    return numbered.select("rep", "embedding", "copies", "along", F.floor((F.col("before") + inside) / block).alias("at"))
 
 
 def block_pairs(blocks: DataFrame, dims: int, epsilon: float) -> DataFrame:
-    """(i, j) with i <= j for all pairs of blocks whose boxes are within epsilon, found from groups of groups of neighbouring blocks downwards."""
+    """(i, j) with i <= j for all pairs of blocks (at, and its box l0, h0, l1, ...) whose boxes are within epsilon, found from groups of groups of
+    neighbouring blocks downwards."""
     lows, highs = [f"l{k}" for k in range(dims)], [f"h{k}" for k in range(dims)]
-    boxes = [F.col("lo")[k].alias(f"l{k}") for k in range(dims)] + [F.col("hi")[k].alias(f"h{k}") for k in range(dims)]
-    # a range holds about one block, so neighbouring ranges form the first groups
-    level = cut(blocks.select(F.col("at").alias("id"), *boxes, F.floor(F.col("part") / _FAN).alias("up")))
+    level = cut(blocks.select(F.col("at").alias("id"), *lows, *highs, F.floor(F.col("at") / _FAN).alias("up")))
     levels, n = [level], level.count()
     while n > _FAN:
         level = cut(level.groupBy(F.col("up").alias("id")).agg(*[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]).withColumn("up", F.floor(F.col("id") / _FAN)))
@@ -107,53 +82,70 @@ def block_pairs(blocks: DataFrame, dims: int, epsilon: float) -> DataFrame:
     return pairs.select(F.col("pa").alias("i"), F.col("pb").alias("j"))
 
 
-def _links(batches: Iterator[pa.RecordBatch], width: int, axes: np.ndarray, epsilon: float, threshold: float, tile: int) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks: (node, links, other): how many vectors a node links to there, and a node that links tie it to."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            same = row["i"] == row["j"]
-            sides = []
-            for s in "ij":
-                x = np.frombuffer(row[f"data_{s}"]).reshape(-1, width)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                sides.append((x, x @ axes, np.frombuffer(row[f"ids_{s}"], np.int64), np.frombuffer(row[f"copies_{s}"], np.int64)))
-            (x, px, ix, cx), (y, py, iy, cy) = sides
-            links: dict[int, int] = {}
-            ties: list[tuple[int, int]] = []
-            for a in range(0, len(x), tile):
-                alo, ahi = px[a : a + tile].min(0), px[a : a + tile].max(0)
-                for b in range(a if same else 0, len(y), tile):
-                    if (np.maximum(alo - py[b : b + tile].max(0), py[b : b + tile].min(0) - ahi) > epsilon).any():
-                        continue
-                    hit = x[a : a + tile] @ y[b : b + tile].T >= threshold
-                    if same and a == b:
-                        np.fill_diagonal(hit, False)
-                    if not hit.any():
-                        continue
-                    r, c = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
-                    hit = hit[np.ix_(r, c)]
-                    r, c = r + a, c + b
-                    for node, n in zip(ix[r].tolist(), (hit @ cy[c]).tolist(), strict=True):
-                        links[node] = links.get(node, 0) + n
-                    if not (same and a == b):
-                        for node, n in zip(iy[c].tolist(), (cx[r] @ hit).tolist(), strict=True):
-                            links[node] = links.get(node, 0) + n
-                    # least node of each component of the tile's links, by passing least labels between rows and columns
-                    top = np.iinfo(np.int64).max
-                    rows, cols = ix[r].copy(), iy[c].copy()
-                    while True:
-                        new_rows = np.minimum(rows, np.where(hit, cols[None, :], top).min(1))
-                        new_cols = np.minimum(cols, np.where(hit, new_rows[:, None], top).min(0))
-                        if (new_rows == rows).all() and (new_cols == cols).all():
-                            break
-                        rows, cols = new_rows, new_cols
-                    ties += zip([*ix[r].tolist(), *iy[c].tolist()], [*rows.tolist(), *cols.tolist()], strict=True)
-            out = [(node, n, node) for node, n in links.items()] + [(u, 0, v) for u, v in set(ties) if u != v]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=["node", "links", "other"])
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 4096, tile: int = 256, dims: int = 8, sample: int = 10_000) -> DataFrame:
+def _compare(left: tuple, right: tuple | None, epsilon: float, threshold: float, tile: int, links: dict[int, int], ties: set[tuple[int, int]]) -> None:
+    """Add what links two blocks (unit vectors, lengths along, nodes, copies), or one with itself: to links how many vectors a node links to, and to ties a
+    node that links tie it to."""
+    same = right is None
+    (x, px, ix, cx), (y, py, iy, cy) = left, left if right is None else right
+    for a in range(0, len(x), tile):
+        alo, ahi = px[a : a + tile].min(0), px[a : a + tile].max(0)
+        for b in range(a if same else 0, len(y), tile):
+            if (np.maximum(alo - py[b : b + tile].max(0), py[b : b + tile].min(0) - ahi) > epsilon).any():
+                continue
+            hit = x[a : a + tile] @ y[b : b + tile].T >= threshold
+            if same and a == b:
+                np.fill_diagonal(hit, False)
+            if not hit.any():
+                continue
+            r, c = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            hit = hit[np.ix_(r, c)]
+            r, c = r + a, c + b
+            for node, n in zip(ix[r].tolist(), (hit @ cy[c]).tolist(), strict=True):
+                links[node] = links.get(node, 0) + n
+            if not (same and a == b):
+                for node, n in zip(iy[c].tolist(), (cx[r] @ hit).tolist(), strict=True):
+                    links[node] = links.get(node, 0) + n
+            # least node of each component of the tile's links, by passing least labels between rows and columns
+            top = np.iinfo(np.int64).max
+            rows, cols = ix[r].copy(), iy[c].copy()
+            while True:
+                new_rows = np.minimum(rows, np.where(hit, cols[None, :], top).min(1))
+                new_cols = np.minimum(cols, np.where(hit, new_rows[:, None], top).min(0))
+                if (new_rows == rows).all() and (new_cols == cols).all():
+                    break
+                rows, cols = new_rows, new_cols
+            ties.update((u, v) for u, v in zip([*ix[r].tolist(), *iy[c].tolist()], [*rows.tolist(), *cols.tolist()], strict=True) if u != v)
+
+
+def _links(sequence: DataFrame, pairs: DataFrame, width: int, epsilon: float, threshold: float, tile: int, side: int) -> DataFrame:
+    """(node, links, other): how many vectors a node links to, in parts that add up, and nodes that links tie it to.
+
+    Blocks stand in rows of `side`; a task has the blocks of two rows and compares all pairs of them that are asked for, so that a vector is handed on
+    once for each row that its own meets."""
+    pairs = cut(pairs.select("i", "j", F.floor(F.col("i") / side).alias("r"), F.floor(F.col("j") / side).alias("s")))
+    asked = cut(pairs.select("r", "s", F.explode(F.array("i", "j")).alias("at")).distinct())
+    vectors = sequence.join(asked, "at").select("r", "s", "at", "rep", "embedding", "along", "copies")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = left["at"].to_numpy()
+        order = np.argsort(at, kind="stable")
+        x = matrix(left["embedding"].combine_chunks(), width)[order]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        dims = len(left["along"][0]) if len(at) else 1
+        along, nodes, copies, at = matrix(left["along"].combine_chunks(), dims)[order], left["rep"].to_numpy()[order], left["copies"].to_numpy()[order], at[order]
+        cuts = np.searchsorted(at, [*(found := np.unique(at)), np.iinfo(np.int64).max])
+        blocks = {int(b): (x[u:v], along[u:v], nodes[u:v], copies[u:v]) for b, u, v in zip(found, cuts[:-1], cuts[1:], strict=True)}
+        links: dict[int, int] = {}
+        ties: set[tuple[int, int]] = set()
+        for i, j in zip(right["i"].to_pylist(), right["j"].to_pylist(), strict=True):
+            _compare(blocks[i], None if i == j else blocks[j], epsilon, threshold, tile, links, ties)
+        out = [(node, n, node) for node, n in links.items()] + [(u, 0, v) for u, v in ties]
+        return pa.table([pa.array(v, pa.int64()) for v in (zip(*out, strict=True) if out else ([], [], []))], names=["node", "links", "other"])
+
+    return vectors.groupBy("r", "s").cogroup(pairs.groupBy("r", "s")).applyInArrow(run, "node long, links long, other long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 4096, tile: int = 256, dims: int = 8, sample: int = 10_000, side: int = 8) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding).
 
     Links join rows whose cosine is at least threshold; component_id is the least vec_id that links reach and kept marks the row that bears it. Vectors
@@ -170,11 +162,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 409
     for width in sorted(r[0] for r in groups.select(F.size("embedding")).distinct().collect()):  # as many as there are lengths of vectors
         reps = groups.where(F.size("embedding") == width).select("rep", F.col("embedding").cast("array<double>").alias("embedding"), "copies")
         axes = principal_directions(reps, width, min(dims, width), sample)
-        blocks = _blocks(reps, width, axes, epsilon, block)
-        pairs = block_pairs(blocks, axes.shape[1], epsilon)
-        sides = [blocks.select(F.col("at").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "data")]) for s in "ij"]
-        joined = pairs.join(sides[1], "j").repartition(parts(vectors.sparkSession), "i", "j").join(sides[0], "i")
-        part = joined.mapInArrow(lambda b, w=width, x=axes: _links(b, w, x, epsilon, threshold, tile), "node long, links long, other long")
+        # a block of long vectors has fewer of them, so that a task's two rows of blocks stay small
+        sequence = cut(_sequence(reps, width, axes, epsilon, max(32, min(block, _BLOCK_NUMBERS // width))))
+        boxes = sequence.groupBy("at").agg(*[f(F.col("along")[k]).alias(f"{n}{k}") for k in range(axes.shape[1]) for n, f in (("l", F.min), ("h", F.max))])
+        part = _links(sequence, block_pairs(boxes, axes.shape[1], epsilon), width, epsilon, threshold, tile, side)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -36,8 +36,8 @@ def test_links_and_components_against_brute_force(spark):
         links[b] += 1
         lo, hi = sorted((comp[a], comp[b]))
         comp = {k: lo if c == hi else c for k, c in comp.items()}
-    for block, tile in ((4096, 256), (32, 8)):
-        out = neardup_vectors.near_duplicates(df, block=block, tile=tile).collect()
+    for block, tile, side in ((4096, 256, 8), (32, 8, 8), (32, 8, 2), (20, 8, 3)):
+        out = neardup_vectors.near_duplicates(df, block=block, tile=tile, side=side).collect()
         assert len(out) == len(rows)
         for r in out:
             if r.vec_id is not None:
