@@ -168,19 +168,119 @@ def _complete(lengths: list[int], counts: dict[int, int], first: int, room: int,
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 400) -> list[tuple[int, list[int]]]:
-    """(number of bins, lengths in each) that hold every piece of a histogram of lengths. nodes bounds the search for one completion; beyond it the
-    best found so far is used, which is the best-fit filling at worst. The fullest bins first can leave lengths that fit badly together, so plans
-    with shorter searches are made as well, and the one with the fewest bins is taken."""
+    """(number of bins, lengths in each) that hold every piece of a histogram of lengths.
+
+    Bins are completed one after the other by search, nodes bounding each; beyond it the best found so far is used. The fullest bins first can leave
+    lengths that fit badly together, so that is done with shorter searches as well. The incumbents are the best-fit-decreasing plan of all pieces and, for
+    pieces of which few fit a bin, the plan of evenly filled bins: one that needs fewer bins than all completions is taken."""
     least, best = -(-sum(n * c for n, c in histogram.items() if c > 0) // capacity), None
+    bins = lambda plan: sum(t for t, _ in plan)
     for budget in dict.fromkeys(max(1, nodes // k) for k in (1, 4, 13, 33, 50, 66, 80)):
         plan = _plan(histogram, capacity, budget)
-        if best is None or sum(t for t, _ in plan) < sum(t for t, _ in best):
+        if best is None or bins(plan) < bins(best):
+            best = plan
+        if bins(best) <= least:
+            return best
+    for plan in (_best_fit(histogram, capacity), _even(histogram, capacity)):
+        if plan is not None and bins(plan) < bins(best):
             best = plan
-        if sum(t for t, _ in best) <= least:
-            break
     return best
 
 
+def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Longest pieces first, each into the bin it fills best; bins that are filled alike are handled together."""
+    rooms: list[int] = []
+    bins: dict[int, list[tuple[int, list[int]]]] = {}
+
+    def put(room: int, times: int, filling: list[int]) -> None:
+        if times:
+            if room not in bins:
+                bisect.insort(rooms, room)
+            bins.setdefault(room, []).append((times, filling))
+
+    for n in sorted((n for n, c in histogram.items() if c > 0), reverse=True):
+        left = histogram[n]
+        while left:
+            i = bisect.bisect_left(rooms, n)
+            if i == len(rooms):
+                room, times, filling = capacity, left, []
+            else:
+                room = rooms[i]
+                times, filling = bins[room].pop()
+                if not bins[room]:
+                    del bins[room], rooms[i]
+            each = room // n  # a bin that has taken one still fits best
+            full = min(times, left // each)
+            put(room - each * n, full, filling + [n] * each)
+            left -= full * each
+            some = int(full < times and 0 < left < each)  # one more bin takes the last of them
+            if some:
+                put(room - left * n, 1, filling + [n] * left)
+                left = 0
+            if filling:
+                put(room, times - full - some, filling)
+    return [x for room in rooms for x in bins[room]]
+
+
+def _even(histogram: dict[int, int], capacity: int, most: int = 6) -> list[tuple[int, list[int]]] | None:
+    """As many bins of k of the shortest pieces as fit when they are filled evenly, for k from the largest number that fits a bin down to 1; None where
+    that is more than `most`. Pieces between two unit fractions of the capacity pack badly if the fullest bins come first."""
+    runs = sorted((n, c) for n, c in histogram.items() if c > 0)
+    if not runs or capacity // runs[0][0] > most:
+        return None
+    out: list[tuple[int, list[int]]] = []
+    for k in range(capacity // runs[0][0], 0, -1):
+        lo, hi = 0, sum(c for _, c in runs) // k
+        while lo < hi:
+            m = (lo + hi + 1) // 2
+            lo, hi = (m, hi) if all(s <= capacity for s, _, _ in _dealt(_first(runs, k * m), k, m)) else (lo, m - 1)
+        if lo:
+            out += [(t, list(f)) for _, t, f in _dealt(_first(runs, k * lo), k, lo)]
+            runs = _after(runs, k * lo)
+        if not runs:
+            break
+    return out
+
+
+def _first(runs: list[tuple[int, int]], count: int) -> list[tuple[int, int]]:
+    out = []
+    for n, c in runs:
+        if count <= 0:
+            break
+        out.append((n, min(c, count)))
+        count -= c
+    return out
+
+
+def _after(runs: list[tuple[int, int]], count: int) -> list[tuple[int, int]]:
+    out = []
+    for n, c in runs:
+        if c > count:
+            out.append((n, c - max(0, count)))
+        count = max(0, count - c)
+    return out
+
+
+def _dealt(runs: list[tuple[int, int]], k: int, bins: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(sum, how many bins, filling) of k * bins pieces, k in each bin: the longest pieces meet the least sums of the others."""
+    if k == 1:
+        return [(n, c, (n,)) for n, c in runs]
+    rest = sorted(_dealt(_first(runs, (k - 1) * bins), k - 1, bins))
+    top = _after(runs, (k - 1) * bins)[::-1]
+    out, i, j, used_top, used_rest = [], 0, 0, 0, 0
+    while i < len(top):
+        n, c = top[i]
+        s, times, filling = rest[j]
+        t = min(c - used_top, times - used_rest)
+        out.append((n + s, t, (n, *filling)))
+        used_top, used_rest = used_top + t, used_rest + t
+        if used_top == c:
+            i, used_top = i + 1, 0
+        if used_rest == times:
+            j, used_rest = j + 1, 0
+    return out
+
+
 def _plan(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, list[int]]]:
     counts = {n: c for n, c in histogram.items() if c > 0}
     lengths, out = sorted(counts), []
@@ -205,13 +305,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 400) -> DataF
     """pieces, which have a column length of 1 to capacity, each with its sequence_id and offset (which replace columns of these names); others are carried along.
 
     Pieces of one length are interchangeable, so which of several equal rows gets which place is of no account. Each length's pieces are dealt by a
-    hash over as many groups as the session has shuffle partitions and numbered there, so a length that many pieces share is no hot spot. The driver
+    hash of the columns that can be hashed over as many groups as the session has shuffle partitions and numbered there, so a length that many pieces share is no hot spot. The driver
     sees a count for each length, capacity rows at most. An empty table gives no rows.
     """
     pieces = pieces.select(*[c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
     spark, names = pieces.sparkSession, pieces.columns
-    groups = parts(spark)
-    dealt = cut(pieces.withColumn("__g", F.pmod(F.xxhash64(*[c for c in names if c != "length"]), F.lit(groups))))
+    groups, plain = parts(spark), [c for c, kind in pieces.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = cut(pieces.withColumn("__g", F.pmod(F.xxhash64(F.lit(0), *[c for c in plain if c != "length"]), F.lit(groups))))
     by_group = dealt.groupBy("length", "__g").agg(F.count("*").alias("__n"))
     starts = by_group.select("length", "__g", (F.sum("__n").over(W.partitionBy("length").orderBy("__g")) - F.col("__n")).alias("__from"))
     bins = plan_bins({r[0]: r[1] for r in dealt.groupBy("length").count().collect()}, capacity, nodes)
@@ -226,7 +326,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 400) -> DataF
     table = spark.createDataFrame(slots, "length long, lo long, hi long, seq long, at long")
     # one row per length: its intervals of numbers in ascending order, so that a place in the array is found by counting lower starts
     table = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "seq", "at"))).alias("__slots"))
-    numbered = dealt.withColumn("__r", F.row_number().over(W.partitionBy("length", "__g").orderBy(*names))).join(starts, ["length", "__g"]).withColumn("__r", F.col("__from") + F.col("__r") - 1)
+    numbered = dealt.withColumn("__r", F.row_number().over(W.partitionBy("length", "__g").orderBy(*plain))).join(starts, ["length", "__g"]).withColumn("__r", F.col("__from") + F.col("__r") - 1)
     found = numbered.join(F.broadcast(table), "length").withColumn("__s", F.element_at(F.filter("__slots", lambda s: (s["lo"] <= F.col("__r")) & (F.col("__r") < s["hi"])), 1))
     return found.select(*names, (F.col("__s.seq") + F.col("__r") - F.col("__s.lo")).alias("sequence_id"), F.col("__s.at").alias("offset"))
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -163,6 +164,40 @@ def test_plan_bins_against_brute_force():
     assert worse <= 1
 
 
+def test_plans_of_lengths_that_fit_badly_together():
+    rng = random.Random(1)
+    sizes = Counter(rng.randint(1300, 1500) for _ in range(4500))
+    bins = pack.plan_bins(sizes)
+    used = Counter()
+    for times, filling in bins:
+        assert sum(filling) <= 4096
+        for n in filling:
+            used[n] += times
+    assert used == sizes and sum(t for t, _ in bins) <= 1807
+
+
+def test_best_fit_on_a_histogram_is_best_fit_piece_by_piece():
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes = Counter(rng.randint(1, rng.choice([9, 50, 100])) for _ in range(rng.randint(1, 150)))
+        rooms = []
+        for n in sorted(sizes.elements(), reverse=True):
+            room = min((r for r in rooms if r >= n), default=100)
+            rooms = [*rooms, room - n]
+            if room in rooms[:-1]:
+                rooms.remove(room)
+        plan = pack._best_fit(sizes, 100)
+        assert sum(t for t, _ in plan) == len(rooms) and sum((Counter({n: t * f.count(n) for n in set(f)}) for t, f in plan), Counter()) == sizes
+        even = pack._even(sizes, 100, most=200)
+        assert sum((Counter({n: t * f.count(n) for n in set(f)}) for t, f in even), Counter()) == sizes and all(sum(f) <= 100 for _, f in even)
+
+
+def test_columns_that_cannot_be_hashed(spark):
+    df = spark.createDataFrame([(1, 5, {"a": 1}), (1, 5, {"a": 2}), (2, 9, None)], "doc_id long, length long, m map<string,int>")
+    out = pack.pack(df, capacity=10).collect()
+    assert len(out) == 3 and len({r.sequence_id for r in out}) == 2 and sorted(r.offset for r in out) == [0, 0, 5]
+
+
 def test_plan_bins_mixes_lengths():
     """Room that one length alone fills badly is filled by different ones, and further lengths than the longest few are looked at."""
     for sizes, most in (({3000: 900, 700: 900, 600: 900, 496: 900}, 1080), ({2000: 9000, 1900: 9000, 1200: 9000, 896: 9000}, 13500)):
