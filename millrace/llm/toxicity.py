@@ -98,30 +98,46 @@ def informative(terms: list[np.ndarray], labels: np.ndarray, least: int, bounds:
     return np.flatnonzero((with_any >= least) & np.any([np.abs(odds) - e * error >= effect for effect, e in bounds], axis=0))
 
 
-def joint(terms: list[np.ndarray], labels: np.ndarray, least: int, most: int = 1500, effect: float = 1.0, errors: float = 6.0) -> np.ndarray:
-    """The places of terms that say something in a pair though they may be neutral alone: among the `most` most frequent places, those of pairs in at
-    least `least` texts whose log odds ratio with the label is off what both terms have alone by the effect and so many standard errors."""
-    frequent = np.argsort(-np.bincount(np.concatenate(terms), minlength=1 << BITS), kind="stable")[:most]
+def joint(terms: list[np.ndarray], labels: np.ndarray, least: int, effect: float = 1.0, errors: float = 6.0, chunk: int = 1024) -> np.ndarray:
+    """The places of terms that say something in a pair though they may be neutral alone: those of pairs in at least `least` texts whose log odds ratio
+    with the label is off what both terms have alone by the effect and so many standard errors. All places in at least `least` texts are paired,
+    chunk by chunk, since rarer ones can be in no such pair."""
+    sizes = [len(t) for t in terms]
+    flat, text = np.concatenate(terms), np.repeat(np.arange(len(terms)), sizes)
+    frequent = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= least)
     to = np.full(1 << BITS, -1)
     to[frequent] = np.arange(len(frequent))
-    both = np.zeros((2, len(frequent), len(frequent)), np.float32)  # texts of each label that hold two terms
-    for lo in range(0, len(terms), 512):
-        part, own = terms[lo : lo + 512], labels[lo : lo + 512] > 0
-        x = np.zeros((len(part), len(frequent)), np.float32)
-        for row, t in zip(x, part, strict=True):
-            at = to[t]
-            row[at[at >= 0]] = 1
-        for label in (0, 1):
-            y = x[own == label]
-            both[label] += y.T @ y
-    totals = np.array([len(labels) - (labels > 0).sum(), (labels > 0).sum()], np.float64)
-    rate = [(b + 0.5) / (t + 1) for b, t in zip(both, totals, strict=True)]
-    alone = np.log(np.diagonal(rate[1]) / np.diagonal(rate[0]))
-    off = np.log(rate[1] / rate[0]) - alone[:, None] - alone[None, :]
-    error = np.sqrt(1 / (both[0] + 0.5) + 1 / (both[1] + 0.5))
-    clear = (both.sum(0) >= least) & (np.abs(off) >= effect + errors * error)
-    np.fill_diagonal(clear, False)
-    return np.sort(frequent[clear.any(1)])
+    own = to[flat]
+    text, own = text[own >= 0], own[own >= 0]
+    order = np.argsort(own, kind="stable")
+    text, own = text[order], own[order]
+    toxic = labels > 0
+    totals = np.array([len(labels) - toxic.sum(), toxic.sum()], np.float64)
+    counts = [np.bincount(own[toxic[text] == bool(k)], minlength=len(frequent)) for k in (0, 1)]
+    alone = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
+
+    def block(lo: int) -> np.ndarray:
+        """texts x places of a chunk: which text has which."""
+        x, y = np.searchsorted(own, [lo, lo + chunk])
+        out = np.zeros((len(terms), min(chunk, len(frequent) - lo)), np.float32)
+        out[text[x:y], own[x:y] - lo] = 1
+        return out
+
+    clear = np.zeros(len(frequent), bool)
+    for lo in range(0, len(frequent), chunk):
+        left = block(lo)
+        with_1, with_0 = left[toxic].T.copy(), left[~toxic].T.copy()
+        for to_ in range(lo, len(frequent), chunk):
+            right = left if to_ == lo else block(to_)
+            both = [with_0 @ right[~toxic], with_1 @ right[toxic]]
+            off = np.log((both[1] + 0.5) / (totals[1] + 1)) - np.log((both[0] + 0.5) / (totals[0] + 1)) - alone[lo : lo + chunk, None] - alone[None, to_ : to_ + chunk]
+            error = np.sqrt(1 / (both[0] + 0.5) + 1 / (both[1] + 0.5))
+            found = (both[0] + both[1] >= least) & (np.abs(off) >= effect + errors * error)
+            if to_ == lo:
+                np.fill_diagonal(found, False)
+            clear[lo : lo + chunk] |= found.any(1)
+            clear[to_ : to_ + chunk] |= found.any(0)
+    return frequent[clear]
 
 
 def fit(
