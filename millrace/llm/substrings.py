@@ -203,7 +203,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 <
     # what is joined with a table by a key that many rows may share is written first, so that Spark can split the crowded side
     twice = cut(rows.groupBy("anchor").count().where("count > 1").select("anchor"))
     shared = cut(rows.join(twice, "anchor", "left_semi"))
-    discard(rows)
+    discard(rows, twice)
     rows = shared
     kinds = cut(rows.groupBy("anchor", "content").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "h", "start", "n")).alias("rep")))
     same = cut(kinds.where("k > 1").select("anchor", "content"))
@@ -233,6 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 <
         open_keys = cut(pieces.groupBy(*key).agg(F.count("*").alias("variants"), F.max(lone).alias("lone")).where("variants > 1 AND lone AND hi - lo > 1").select(*key, (F.col("variants") > most).alias("crowded")))
         left = cut(pieces.join(open_keys, key).select(*key, F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.col("rep.start").alias("start"), "p", lone.alias("single"), "data", "crowded"))
         discard(pieces)
+        discard(open_keys)
         searched.append(left.where("NOT crowded"))
         again = left.where("crowded")
         taken = None if again.isEmpty() else again.select("anchor", "lo", "hi", "doc_id", "h", "start", "p", "single", "data")
