@@ -72,3 +72,27 @@ def test_whole_characters_at_every_cut():
                 assert whole(data, [(x, y)]).decode() == left
         assert whole(data, [(0, 1), (len(data) - 1, len(data))]).decode() == text[1:-1]
         assert whole(data, []) == data
+
+
+def test_stages_on_empty_tables_extra_columns_and_repeated_rows(spark, tmp_path):
+    rows, _ = write_tables(spark, tmp_path)
+    clash = "doc_id long, text string, lang string, source string, n_chars long, score double, keep boolean, size string, copies int, removed string, predicted int, tags map<string,int>"
+    extra = [(*r, 0.5, None, "x", 3, "y", 1, {"a": 1}) for r in [*rows[:40], rows[2], rows[2], (None, "no id " * 30, None, None, None), (None, None, None, None, None)]]
+    docs = spark.createDataFrame(extra, clash)
+    for name, stage in cp.STAGES:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        docs = cp.cut(stage(spark, docs, str(tmp_path)))
+        assert docs.count() > 0 and none.columns == docs.columns
+        if name != "pack":
+            assert docs.columns == [c.split()[0] for c in clash.split(", ")] and docs.where("doc_id IS NULL AND text IS NULL").count() == 1
+        if name == "near_dedup":
+            assert docs.where("doc_id = 2").count() == 1
+
+
+def test_blank_texts_stay_even_where_no_terms_are_toxic(spark, tmp_path):
+    rows = [(i, f"bad bad{i}", "en", "s", 1) for i in range(60)] + [(100, "", "en", "s", 0), (101, None, "en", "s", None), (102, " \n", "en", "s", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 1) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = cp.reject_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {100, 101, 102}
