@@ -18,10 +18,12 @@ from millrace.llm.common import cut, read_table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that a factorization machine, learned from the labelled documents of sf_dir, does not call toxic. Null and empty texts stay."""
+    """The documents that a factorization machine, learned from the labelled documents of sf_dir, does not call toxic. Null texts and texts without a
+    term stay by rule, whatever the model says of no terms. Equal texts share their fate; an empty table gives no rows."""
     model = toxicity.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], "text"), model)
-    return scored.where("predicted = 0").select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
+    blank = ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return scored.where((F.col("predicted") == 0) | blank).select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +50,16 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mixture takes them. Documents without a word weigh nothing, so they are neither repeated nor dropped."""
+    """The documents as often as the mixture takes them. Documents without a word (null and empty texts) weigh nothing, so they are neither repeated nor
+    dropped. Repeated rows are mixed one by one; a null source is a source; an empty table gives no rows."""
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
     named = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.struct(*docs.columns).alias("row"))
     return mix.mix_sources(named).where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 4096 tokens."""
+    """The pieces of all documents with their places in sequences of at most 4096 tokens. A null or empty text is one piece of one token, repeated rows
+    have pieces of their own, pieces of equal length are placed in any order; an empty table gives no rows."""
     return pack.query(spark, sf_dir, docs)
 
 
