@@ -98,38 +98,42 @@ def informative(terms: list[np.ndarray], labels: np.ndarray, least: int, bounds:
     return np.flatnonzero((with_any >= least) & np.any([np.abs(odds) - e * error >= effect for effect, e in bounds], axis=0))
 
 
-def joint(terms: list[np.ndarray], labels: np.ndarray, least: int, effect: float = 1.0, errors: float = 6.0, chunk: int = 1024) -> np.ndarray:
+def joint(terms: list[np.ndarray], labels: np.ndarray, least: int, share: float = 0.02, effect: float = 1.0, errors: float = 6.0, chunk: int = 512) -> np.ndarray:
     """The places of terms that say something in a pair though they may be neutral alone: those of pairs in at least `least` texts whose log odds ratio
-    with the label is off what both terms have alone by the effect and so many standard errors. All places in at least `least` texts are paired,
-    chunk by chunk, since rarer ones can be in no such pair."""
-    sizes = [len(t) for t in terms]
-    flat, text = np.concatenate(terms), np.repeat(np.arange(len(terms)), sizes)
-    frequent = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= least)
-    to = np.full(1 << BITS, -1)
-    to[frequent] = np.arange(len(frequent))
-    own = to[flat]
-    text, own = text[own >= 0], own[own >= 0]
+    with the label is off what both terms have alone by the effect and so many standard errors. All places in at least `least`
+    texts and this share of all texts are paired, chunk by chunk: as a text has so many terms on average, their number is that over the share at most."""
+    texts_with = np.zeros(1 << BITS, np.int64)
+    for t in terms:
+        texts_with[t] += 1
+    frequent = np.flatnonzero(texts_with >= max(least, share * len(terms)))
+    to = np.full(1 << BITS, -1, np.int32)
+    to[frequent] = np.arange(len(frequent), dtype=np.int32)
+    kept = [x[x >= 0] for x in (to[t] for t in terms)]
+    own, text = np.concatenate(kept), np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept])
     order = np.argsort(own, kind="stable")
     text, own = text[order], own[order]
+    del kept, order
     toxic = labels > 0
+    rank = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)) - 1  # a text's place among those of its label
     totals = np.array([len(labels) - toxic.sum(), toxic.sum()], np.float64)
     counts = [np.bincount(own[toxic[text] == bool(k)], minlength=len(frequent)) for k in (0, 1)]
     alone = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
 
-    def block(lo: int) -> np.ndarray:
-        """texts x places of a chunk: which text has which."""
+    def block(lo: int) -> list[np.ndarray]:
+        """For each label texts x places of a chunk: which text has which."""
         x, y = np.searchsorted(own, [lo, lo + chunk])
-        out = np.zeros((len(terms), min(chunk, len(frequent) - lo)), np.float32)
-        out[text[x:y], own[x:y] - lo] = 1
+        out = [np.zeros((int(n), min(chunk, len(frequent) - lo)), np.float32) for n in totals]
+        for k in (0, 1):
+            at = np.flatnonzero(toxic[text[x:y]] == bool(k)) + x
+            out[k][rank[text[at]], own[at] - lo] = 1
         return out
 
     clear = np.zeros(len(frequent), bool)
     for lo in range(0, len(frequent), chunk):
         left = block(lo)
-        with_1, with_0 = left[toxic].T.copy(), left[~toxic].T.copy()
         for to_ in range(lo, len(frequent), chunk):
             right = left if to_ == lo else block(to_)
-            both = [with_0 @ right[~toxic], with_1 @ right[toxic]]
+            both = [x.T @ y for x, y in zip(left, right, strict=True)]
             off = np.log((both[1] + 0.5) / (totals[1] + 1)) - np.log((both[0] + 0.5) / (totals[0] + 1)) - alone[lo : lo + chunk, None] - alone[None, to_ : to_ + chunk]
             error = np.sqrt(1 / (both[0] + 0.5) + 1 / (both[1] + 0.5))
             found = (both[0] + both[1] >= least) & (np.abs(off) >= effect + errors * error)
