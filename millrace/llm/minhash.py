@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, discard, read_table, words_in
+from millrace.llm.common import cut, discard, lean, read_table, words_in
 from millrace.llm.graph import connected_components
 
 NAME = "op6_minhash_near_dedup"
@@ -105,6 +105,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common) / max(float(a[1].sum() + b[1].sum() - common), 1e-300)
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def _bands(texts: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     """(id, keys array<long>): a hash of each band of the signature of each text that has a shingle."""
 
@@ -124,7 +128,7 @@ def _bands(texts: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                     keys = key.view(np.int64).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
 
-    return texts.mapInArrow(run, "id string, keys array<long>")
+    return texts.mapInArrow(lean(run, _forget), "id string, keys array<long>")
 
 
 def _verified(pieces: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -142,7 +146,7 @@ def _verified(pieces: DataFrame, threshold: float, words: int) -> DataFrame:
                 keep.append(similarity(shingles(ta, words), last[1]) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
+    return left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run, _forget), "a string, b string")
 
 
 def _cells(text: bytes | None, words: int) -> np.ndarray:
@@ -257,7 +261,7 @@ def _between(placed: DataFrame, texts: DataFrame, threshold: float, words: int,
     single = sizes.where("blocks = 1").select("key")
     lists = tasks.join(single, "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "component", "text")).alias("members")).select("members")
     grids = tasks.join(single, "key", "left_anti").groupBy("key", "i", "j").applyInArrow(large, "a string, b string")
-    return lists.mapInArrow(small, "a string, b string").unionByName(grids)
+    return lists.mapInArrow(lean(small, _forget), "a string, b string").unionByName(grids)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, words: int = 5) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, parts, read_table
+from millrace.llm.common import cut, lean, parts, read_table
 
 NAME = "op9_pack_sequences"
 CAPACITY, END_ID = 4096, 1
@@ -48,6 +48,11 @@ def _tokenizer(path: str) -> dict:
     return _state
 
 
+def _forget() -> None:
+    """The tokenizer goes, too: it is read anew in less than a second."""
+    _state.clear()
+
+
 def _encode(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -106,7 +111,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _forget), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _reachable(lengths: list[int], capacity: int) -> dict[int, int]:

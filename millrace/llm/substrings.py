@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, discard, parts, read_table
+from millrace.llm.common import cut, discard, lean, parts, read_table
 from millrace.llm.suffix import repeated
 
 NAME = "op2_suffix_array_dedup"
@@ -123,7 +123,7 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
                 which = pa.array(np.array(numbers)[t])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(a), pa.array(c), pa.array(np.array(places)[t] + s, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "h", "anchor", "content", "start", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, anchor long, content long, start int, n int")
+    return docs.mapInArrow(lean(run), "doc_id long, h long, anchor long, content long, start int, n int")
 
 
 def _pieces(data: bytes, p: int, lo: int, hi: int, length: int) -> list[tuple[int, int, bytes, int, bytes]]:
@@ -146,7 +146,7 @@ _KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
 
 def _halve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Pieces (anchor, lo, hi, doc_id, h, start, p, single, data) -> their halves, under a hash of what all strings of the half hold; p under 0 is yet to be found."""
-    for batch in batches:
+    for batch in (w.slice(lo, 512) for w in batches for lo in range(0, w.num_rows, 512)):
         rows = []
         for anchor, lo, hi, doc_id, h, start, p, single, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if p < 0:
@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 <
     key, content, spots = ["anchor", "lo", "hi", "k1", "k2"], ["c1", "c2"], F.struct("doc_id", "h", "start")
     equal, searched = [], []
     while taken is not None:
-        halves = cut(taken.mapInArrow(lambda b: _halve(b, length), _HALVES))
+        halves = cut(taken.mapInArrow(lean(lambda b: _halve(b, length)), _HALVES))
         counted = [F.countDistinct(spots).alias("k"), F.min(spots).alias("rep"), F.max("single").alias("single"), F.first("data").alias("data"), F.first("p").alias("p"), (~F.min("single")).alias("many")]
         pieces = cut(halves.groupBy(*key, *content).agg(*counted))
         twice = cut(pieces.where("(k > 1 OR many) AND single").select(*key, *content))
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 <
     for more in searched[1:]:
         left = left.unionByName(more)
     dealt = left.select("anchor", "k1", "k2", "doc_id", "h", "start", "single", "data").repartition(parts(docs.sparkSession), "anchor", "k1", "k2").sortWithinPartitions("anchor", "k1", "k2", "doc_id", "h", "start")
-    spans = dealt.mapInArrow(lambda b: _search(b, length, shard_bytes), "doc_id long, h long, start int, end int").unionByName(whole)
+    spans = dealt.mapInArrow(lean(lambda b: _search(b, length, shard_bytes)), "doc_id long, h long, start int, end int").unionByName(whole)
     for more in equal:
         spans = spans.unionByName(more)
     return spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
                     removed.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary())], names=[*names, "removed", "kept"])
 
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")]))), T.StructField("kept", T.BinaryType())]))
+    return joined.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")]))), T.StructField("kept", T.BinaryType())]))
 
 
 def whole_characters(text: bytes, removed: list[tuple[int, int]]) -> bytes:

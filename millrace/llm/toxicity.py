@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import read_table
+from millrace.llm.common import lean, read_table
 
 NAME = "op3_toxicity"
 BITS, PREFIXES = 18, (3, 4, 5)
@@ -195,6 +195,10 @@ def fit(
     return out
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **options) -> FactorizationMachine:
     """A model of labels.toxic from at most max_rows labelled documents outside the held-out fifth, taken in the order of a hash of doc_id.
 
@@ -211,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **options)
             found = [terms_of(t).tolist() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
-    rows = joined.mapInArrow(run, "doc_id long, toxic int, terms array<int>").orderBy(F.xxhash64("doc_id", "terms"), "doc_id").limit(max_rows).toArrow()
+    rows = joined.mapInArrow(lean(run, _forget), "doc_id long, toxic int, terms array<int>").orderBy(F.xxhash64("doc_id", "terms"), "doc_id").limit(max_rows).toArrow()
     terms = rows.column("terms").combine_chunks()
     flat, ends = terms.flatten().to_numpy(), np.cumsum(np.r_[0, terms.value_lengths().to_numpy()])
     return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], rows.column("toxic").to_numpy(), **options)
@@ -237,7 +241,7 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
     names = [*docs.columns, "score", "predicted"]
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(lean(run, _forget), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
