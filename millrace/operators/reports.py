@@ -76,8 +76,10 @@ def rate(df: DataFrame, labels: list[str], time: str = "ts", minutes: int = 5) -
 
 
 def counter_rate(samples: DataFrame, labels: list[str], time: str = "ts", value: str = "value") -> DataFrame:
-    """Increase per second between the samples of a counter; a lower sample is a restart from 0."""
-    w = W.partitionBy(*labels).orderBy(time)
+    """Increase per second between the samples of a counter; a lower sample is a restart from 0. Samples without a time or value do not count; of samples at
+    the same time, taken in order of value, the first alone has a rate. streaming.rates has the form for streams."""
+    samples = samples.where(F.col(time).isNotNull() & F.col(value).isNotNull())
+    w = W.partitionBy(*labels).orderBy(time, value)
     before, at = F.lag(value).over(w), F.lag(time).over(w)
     grown = F.when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
     seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1e6

@@ -12,6 +12,7 @@ from millrace.functions import names, paths, predicates
 from millrace.operators import reports, sinks
 from millrace.operators import transforms as t
 from millrace.sources import polling, readers
+from millrace.streaming import rates
 from millrace.streaming.shared import shared_folder
 
 FLAGSHIP = "filter_mask_select_events"
@@ -570,15 +571,30 @@ def _(spark, sf_dir):
     return reports.latest(_table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], ["user_id"])
 
 
-@_query(
-    "counter_rate",
-    "SELECT user_id, ts, rate FROM (SELECT user_id, ts, (CASE WHEN event_id % 7 >= b THEN event_id % 7 - b ELSE event_id % 7 END) / ((epoch_us(ts) - epoch_us(a)) / 1e6) AS rate, a, epoch_us(ts) > epoch_us(a) AS ok FROM (SELECT *, lag(event_id % 7) OVER w AS b, lag(ts) OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) WHERE ok",
+_COUNTER_RATE = (
+    "SELECT user_id, ts, rate FROM (SELECT user_id, ts, (CASE WHEN event_id % 7 >= b THEN event_id % 7 - b ELSE event_id % 7 END) / ((epoch_us(ts) - epoch_us(a)) / 1e6) AS rate, a, epoch_us(ts) > epoch_us(a) AS ok FROM (SELECT *, lag(event_id % 7) OVER w AS b, lag(ts) OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) WHERE ok"
 )
+
+
+@_query("counter_rate", _COUNTER_RATE)
 def _(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("user_id", "ts", F.struct("ts", "event_id").alias("at"), (F.col("event_id") % 7).alias("value"))
     return reports.counter_rate(e.select("user_id", "ts", "value", F.col("at.event_id").alias("event_id")), ["user_id"], "ts").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "rate")
 
 
+@_query("counter_rate_stream", _COUNTER_RATE)
+def _(spark, sf_dir):
+    """Counters of events as a stream of two batches, with a restart between them; what waits for the watermark at the end is read from the state."""
+    table, folder = polling.ParquetTable(f"{sf_dir}/events.parquet", "event_id"), shared_folder(spark)
+    for limit in (2_000, None):
+        events = polling.poll(spark, table, "event_id long, ts timestamp_ntz, user_id long", max_rows=limit)
+        samples = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 7).alias("value"))
+        made = rates.counter_rate(samples, ["user_id"], delay="1 hour")
+        made.writeStream.format("parquet").options(path=f"{folder}/rows", checkpointLocation=f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(made.schema).parquet(f"{folder}/rows").unionByName(rates.waiting(spark, f"{folder}/checkpoint", ["user_id"]))
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "rate")
+
+
 @_query("message_id", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN CAST(user_id AS VARCHAR) || '/' || CAST(event_id AS VARCHAR) ELSE '' END AS message_id FROM events")
 def _(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
