@@ -7,6 +7,8 @@ fits keeps that rule's verdict.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,18 @@ NAME = "op7_url_filter"
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
+#: An attribute's name follows white space, a quote or a slash, so that data-href is not href.
+_HREF = r"(?is)[\s\"'/]href\s*=\s*[\"']?\s*([^\"'\s>]+)"
+
 #: (tags, what makes one a link, where its target stands)
 _LINKS = (
-    (r"(?is)<link\b[^>]*>", r"(?is)\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
-    (r"(?is)<meta\b[^>]*>", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
+    (r"(?is)<link\b[^>]*>", r"(?is)[\s\"'/]rel\s*=\s*(?:canonical(?:[\s/>]|$)|\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?')", _HREF),
+    (r"(?is)<meta\b[^>]*>", r"(?is)[\s\"'/]http-equiv\s*=\s*[\"']?\s*refresh\b", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"),
 )
+_BASE = r"(?is)<base\b[^>]*?" + _HREF.removeprefix("(?is)")
+
+#: Ways to write a character of urls in html; &amp; comes last, as what it makes is not read again.
+_ENTITIES = ((r"(?i)&#(?:58|x3a);", ":"), (r"(?i)&#(?:47|x2f);", "/"), (r"(?i)&#(?:63|x3f);", "?"), (r"(?i)&#(?:61|x3d);", "="), (r"(?i)&(?:amp|#38|#x26);", "&"))
 
 
 def host(url: Column) -> Column:
@@ -54,50 +63,89 @@ def rule_of(hosts: Column, paths: Column, rules=RULES) -> Column:
 _ORIGIN, _FOLDER = r"(?s)^(.*?://[^/?#]*)", r"(?s)^(.*?://[^/?#]*/(?:[^?#]*/)?)"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once however often use names it; written in place, nested uses would multiply the plan."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without_dots(path_: Column) -> Column:
+    """A path whose segments . and .. are followed: a .. takes the segment before it away, and does nothing where there is none."""
+
+    def followed(p: Column) -> Column:
+        kept = F.aggregate(
+            F.split(F.substring(p, 2, F.length(p)), "/"), F.lit(""),
+            lambda done, x: F.when(x == ".", done).when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x)),
+        )
+        return F.when(p.contains("/."), F.concat(kept, F.when(p.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(p)
+
+    return _once(path_, followed)
+
+
+def node(url: Column) -> Column:
+    """What stands for a url among links: without a fragment, scheme and host in lower case (A-Z), dots in the path followed, / for an empty path."""
+
+    def made(u: Column) -> Column:
+        places = _once(path(u), lambda p: F.when(p == "", "/").otherwise(without_dots(p)))
+        whole = F.concat(F.translate(F.regexp_extract(u, _ORIGIN, 1), UPPER, LOWER), places, F.regexp_extract(_after(u, "(.*)"), r"(?s)^[^?#]*(\?[^#]*)", 1))
+        return F.when(F.locate("://", u) > 0, whole).otherwise(F.regexp_extract(u, "(?s)^([^#]*)", 1))
+
+    return _once(url, made)
+
+
 def resolve(base: Column, target: Column) -> Column:
     """The absolute url of a target found on the page base; null where there is none, as for a mere fragment or another kind of scheme.
 
-    &amp; stands for &. Targets may start with a scheme and ://, with //, /, ? or a name; dots in them are not followed."""
-    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract(base, _ORIGIN, 1)
-    folder = F.when(path(base) == "", F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(base, _FOLDER, 1))
-    relative = (
-        F.when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
-        .when(target.startswith("/"), F.concat(origin, target))
-        .when(target.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), target))
-        .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .otherwise(F.concat(folder, target))
-    )
-    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(F.locate("://", base) > 0, relative)
+    Entities for & : / ? = are read. Targets may start with a scheme and ://, with //, /, ? or a name; node() follows the dots in what this returns."""
+    for written, char in _ENTITIES:
+        target = F.regexp_replace(target, written, char)
+
+    def made(b: Column, t: Column) -> Column:
+        origin = F.regexp_extract(b, _ORIGIN, 1)
+        folder = F.when(path(b) == "", F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(b, _FOLDER, 1))
+        relative = (
+            F.when(t.startswith("//"), F.concat(F.regexp_extract(b, r"(?s)^(.*?:)//", 1), t))
+            .when(t.startswith("/"), F.concat(origin, t))
+            .when(t.startswith("?"), F.concat(F.regexp_extract(b, r"(?s)^([^?#]*)", 1), t))
+            .when((t == "") | t.startswith("#") | t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .otherwise(F.concat(folder, t))
+        )
+        return F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(F.locate("://", b) > 0, relative)
+
+    return _once(F.struct(base.alias("b"), target.alias("t")), lambda x: made(x["b"], x["t"]))
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(url, other) for all canonical links and meta refreshes that the html of pages holds, resolved against the page's url; a link to itself doesn't count."""
+    """(url, other), as nodes, for all canonical links and meta refreshes that the html of pages holds, resolved against the page's first base, itself
+    resolved against the page's url, or else that url; a link to itself doesn't count. canonical may stand anywhere among the words of rel."""
 
     def targets(tag: str, mark: str, at: str) -> Column:
         marked = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(mark))
         return F.transform(marked, lambda t: F.regexp_extract(t, at, 1))
 
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(F.concat(*[targets(*x) for x in _LINKS])).alias("target"))
-    return found.select("url", resolve(F.col("url"), F.col("target")).alias("other")).where("other IS NOT NULL AND other <> url").distinct()
+    base = F.regexp_extract("html", _BASE, 1)
+    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", base.alias("base"), F.explode(F.concat(*[targets(*x) for x in _LINKS])).alias("target"))
+    based = found.select("url", "target", F.coalesce(F.when(F.col("base") != "", resolve(F.col("url"), F.col("base"))), "url").alias("base"))
+    return based.select(node(F.col("url")).alias("url"), node(resolve(F.col("base"), F.col("target"))).alias("other")).where("other IS NOT NULL AND other <> url").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """page_id, url, host, path, rule, verdict and by (rule, alias or default) for every row of pages (page_id, url, html).
 
-    redirects (url, other) adds redirects known from crawling to the links found in html. Targets that are no page of their own count as members too,
+    redirects (url, other) adds redirects known from crawling to the links found in html. Urls that differ in their fragments alone, or in the case of
+    scheme and host, or in dots of their paths, are one node of the links. Targets that are no page of their own count as members too,
     and the rules decide them. Null urls, and urls without ://, have an empty host and path and the default verdict; null html has no links;
     rows that repeat a url get the same verdict; further columns are ignored; an empty table gives no rows.
     """
     both = links(pages)
     if redirects is not None:
-        both = both.unionByName(redirects.where("url IS NOT NULL AND other IS NOT NULL AND url <> other").select("url", "other")).distinct()
+        known = redirects.where("url IS NOT NULL AND other IS NOT NULL").select(node(F.col("url")).alias("url"), node(F.col("other")).alias("other"))
+        both = both.unionByName(known.where("url <> other")).distinct()
     component = cut(connected_components(both.select(F.col("url").alias("src"), F.col("other").alias("dst"))))
     member = rule_of(host(F.col("node")), path(F.col("node")), rules)["verdict"]
     decided = component.select("component", member.alias("verdict")).where("verdict IS NOT NULL").groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allowed"))
     alias = component.join(decided, "component").select(F.col("node").alias("__node"), F.when(F.col("allowed"), "allow").otherwise("block").alias("__alias"))
     own = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
-    joined = own.join(cut(alias), F.col("url") == F.col("__node"), "left")
+    joined = own.join(cut(alias), node(F.col("url")) == F.col("__node"), "left")
     return joined.select(
         "page_id", "url", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", "__alias", F.lit(default)).alias("verdict"),
         F.when(F.col("__rule").isNotNull(), "rule").when(F.col("__alias").isNotNull(), "alias").otherwise("default").alias("by"),

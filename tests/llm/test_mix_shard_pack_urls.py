@@ -260,7 +260,7 @@ def test_urls_relative_targets_and_chains(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     made = {(r.url, r.other) for r in urls.links(df.where("page_id < 11")).collect()}
     assert made == {
-        ("http://r.com/a", "http://r.com/en/8"), ("https://s.edu/x/y?q", "https://t.com/en/1"), ("http://org/es/p", "http://org/es/q#f"), ("http://v.com/en/", "http://v.com/en/?a=1&b=2"), ("http://w.com", "http://w.com/en/1"),
+        ("http://r.com/a", "http://r.com/en/8"), ("https://s.edu/x/y?q", "https://t.com/en/1"), ("http://org/es/p", "http://org/es/q"), ("http://v.com/en/", "http://v.com/en/?a=1&b=2"), ("http://w.com/", "http://w.com/en/1"),
         ("http://y.edu/a?b/c", "http://y.edu/d"), ("http://y.edu/d", "http://z.com/en/9?a=1&b=2"),
     }
     got = {r.page_id: (r.verdict, r.by) for r in urls.judge(df).collect()}
@@ -272,6 +272,42 @@ def test_urls_relative_targets_and_chains(spark):
     assert sorted(con.execute(urls.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in urls.judge(df).select("page_id", "host", "path", "rule", "verdict").collect())
 
 
+FORMS = [  # url, html, the links it makes
+    ("https://a.com/x/y/p", '<link rel="canonical" href="../../q">', ["https://a.com/q"]),
+    ("https://b.com/x/y/", '<link rel="canonical" href="./../../../z/./w/..">', ["https://b.com/z/"]),
+    ("https://c.com/x", '<link rel="canonical" href="//c.com/a/../b?p=../q">', ["https://c.com/b?p=../q"]),
+    ("https://d.com/1", "<link rel='alternate canonical' href='/2'><link rel=\"Canonical nofollow\" href='/3'>", ["https://d.com/2", "https://d.com/3"]),
+    ("https://e.com/1", "<link rel='alternate' href='/canonical'><link rel='not-canonical' href='/4'><link rel=canonicals href='/5'><link data-rel=canonical href='/6'>", []),
+    ("https://f.com/1", '<base target="_top"><base href="/deep/er/"><base href="http://no.com/"><link rel=canonical href="7">', ["https://f.com/deep/er/7"]),
+    ("https://g.com/1", '<base href="https://com/en/"><meta http-equiv=refresh content="0; URL=8">', ["https://com/en/8"]),
+    ("https://h.com/1", '<base href="mailto:x"><link href="9#part" rel=canonical>', ["https://h.com/9"]),
+    ("https://i.com/1#here", '<link rel=canonical href="https://i.com/1">', []),
+    ("HTTPS://J.com", '<link rel=canonical href="http://J.COM/P">', ["http://j.com/P"]),
+    ("https://k.com/1", '<link rel=canonical data-href="/no" href=" /k?a=1&#38;b&#x3D;2&amp;#47; ">', ["https://k.com/k?a=1&b=2&#47;".split("#")[0]]),
+    ("https://l.com/a/..", '<link rel=canonical/ href=http&#58;&#x2F;&#47;l.com>', ["http://l.com/"]),
+]
+
+
+def test_urls_forms_of_links(spark):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(FORMS)], "page_id long, url string, html string")
+    nodes = {"HTTPS://J.com": "https://j.com/", "https://l.com/a/..": "https://l.com/"}
+    assert {(r.url, r.other) for r in urls.links(df).collect()} == {(nodes.get(u, u), other) for u, _, made in FORMS for other in made}
+
+
+def test_urls_decisions_reach_nodes(spark):
+    """Decisions reach urls that are written otherwise, and those that a .. or a base leads to."""
+    link = '<link rel="x canonical" href="{}">'.format
+    rows = [
+        (1, "http://a.edu/x/y/p", link("../../q")), (2, "http://a.edu/q#top", link("http://bad.com/en/1")), (3, "HTTP://A.EDU/q", None), (4, "http://b.edu/1", '<base href="http://u.example.com/en/">' + link("7")), (5, "http://b.edu/1#a", None),
+        (6, "http://c.edu", link("http://org/es/../d")), (7, "http://c.edu/", link("http://org/d/../es/")), (8, "a b#c", None),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.by) for r in urls.judge(df).collect()}
+    assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "alias"), 4: ("allow", "alias"), 5: ("allow", "alias"), 6: ("block", "alias"), 7: ("block", "alias"), 8: ("allow", "default")}
+    redirects = spark.createDataFrame([("http://d.edu/#f", "http://COM/x/../en/")], "url string, other string")
+    assert urls.judge(spark.createDataFrame([(9, "http://D.edu", None)], df.schema), redirects=redirects).first().verdict == "block"
+
+
 def test_clashing_columns_and_rows_without_ids(spark):
     rows = [(None, f"one two {i}", "s", i, 1) for i in range(400)] + [(1, "a b c", "t", 1, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, epochs int, rest int")
