@@ -164,30 +164,64 @@ def _rule_sql(host_: str, path_: str, column: int) -> str:
 _HOST_SQL = "translate(CASE WHEN strpos({0}, '://') > 0 THEN regexp_extract(substr({0}, strpos({0}, '://') + 3), '^([^/?#]*)', 1) ELSE '' END, '" + UPPER + "', '" + LOWER + "')"
 _PATH_SQL = "CASE WHEN strpos({0}, '://') > 0 THEN regexp_extract(substr({0}, strpos({0}, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _resolve_sql(b: str, t: str) -> str:
+    return f"""CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t}
+      WHEN strpos({b}, '://') = 0 THEN NULL
+      WHEN starts_with({t}, '//') THEN regexp_extract({b}, '(?s)^(.*?:)//', 1) || {t}
+      WHEN starts_with({t}, '/') THEN regexp_extract({b}, '{_ORIGIN}', 1) || {t}
+      WHEN starts_with({t}, '?') THEN regexp_extract({b}, '(?s)^([^?#]*)', 1) || {t}
+      WHEN {t} = '' OR starts_with({t}, '#') OR regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN {_PATH_SQL.format(b)} = '' THEN regexp_extract({b}, '{_ORIGIN}', 1) || '/' || {t}
+      ELSE regexp_extract({b}, '{_FOLDER}', 1) || {t} END"""
+
+
+def _node_sql(u: str) -> str:
+    path_ = f"({_PATH_SQL.format(u)})"
+    followed = f"""list_reduce(list_prepend('', string_split(substr({path_}, 2), '/')), lambda done, x:
+        CASE x WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END)"""
+    return f"""CASE WHEN strpos({u}, '://') = 0 THEN regexp_extract({u}, '(?s)^([^#]*)', 1)
+      ELSE translate(regexp_extract({u}, '{_ORIGIN}', 1), '{UPPER}', '{LOWER}')
+        || CASE WHEN {path_} = '' THEN '/' WHEN NOT contains({path_}, '/.') THEN {path_}
+                ELSE {followed} || CASE WHEN regexp_matches({path_}, '/\\.\\.?$') THEN '/' ELSE '' END END
+        || regexp_extract(substr({u}, strpos({u}, '://') + 3), '(?s)^[^?#]*(\\?[^#]*)', 1) END"""
+
+
+def _tags_sql() -> str:
+    each = [f"SELECT url, base, unnest(regexp_extract_all(html, {_quoted(tag)})) AS tag, {_quoted(mark)} AS mark, {_quoted(at)} AS place FROM based" for tag, mark, at in _LINKS]
+    return " UNION ALL ".join(each)
+
+
+def _target_sql() -> str:
+    cases = " ".join(f"WHEN {_quoted(at)} THEN regexp_extract(tag, {_quoted(at)}, 1)" for _, _, at in _LINKS)
+    marks = " ".join(f"WHEN {_quoted(mark)} THEN regexp_matches(tag, {_quoted(mark)})" for _, mark, _ in _LINKS)
+    return f"CASE WHEN CASE mark {marks} END THEN CASE place {cases} END END"
+
+
+def _decoded_sql(t: str) -> str:
+    for written, char in _ENTITIES:
+        t = f"regexp_replace({t}, {_quoted(written)}, '{char}', 'g')"
+    return t
+
+
 ORACLE_SQL = f"""
-WITH RECURSIVE tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) AS tag, 'href' AS name FROM pages WHERE contains(lower(html), 'canonical')
-  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')), 'url' FROM pages WHERE contains(lower(html), 'refresh')),
-targets AS (
-  SELECT url, replace(CASE WHEN name = 'href' AND regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-                   WHEN name = 'url' AND regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END, '&amp;', '&') AS t FROM tags WHERE url IS NOT NULL),
-links AS (
-  SELECT DISTINCT url, other FROM (
-    SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
-                     WHEN strpos(url, '://') = 0 THEN NULL
-                     WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
-                     WHEN starts_with(t, '/') THEN regexp_extract(url, '{_ORIGIN}', 1) || t
-                     WHEN starts_with(t, '?') THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || t
-                     WHEN t = '' OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-                     WHEN {_PATH_SQL.format("url")} = '' THEN regexp_extract(url, '{_ORIGIN}', 1) || '/' || t
-                     ELSE regexp_extract(url, '{_FOLDER}', 1) || t END AS other FROM targets)
-  WHERE other <> url),
+WITH RECURSIVE raw AS (SELECT url, html, {_decoded_sql(f"regexp_extract(html, {_quoted(_BASE)}, 1)")} AS b FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+based AS (SELECT url, html, coalesce(CASE WHEN b <> '' THEN {_resolve_sql("url", "b")} END, url) AS base FROM raw),
+tags AS ({_tags_sql()}),
+targets AS (SELECT url, base, {_decoded_sql(_target_sql())} AS t FROM tags),
+resolved AS (SELECT url, {_resolve_sql("base", "t")} AS target FROM targets WHERE t IS NOT NULL),
+links AS (SELECT DISTINCT * FROM (SELECT {_node_sql("url")} AS url, {_node_sql("target")} AS other FROM resolved WHERE target IS NOT NULL) WHERE other <> url),
 edges AS (SELECT url AS a, other AS b FROM links UNION SELECT other, url FROM links),
 reach AS (SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 members AS (SELECT a, {_HOST_SQL.format("b")} AS h, {_PATH_SQL.format("b")} AS p FROM reach),
 alias AS (SELECT a, max(CASE v WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END) AS v FROM (SELECT a, {_rule_sql("h", "p", 1)} AS v FROM members) GROUP BY a),
-own AS (SELECT page_id, url, {_HOST_SQL.format("coalesce(url, '')")} AS host, {_PATH_SQL.format("coalesce(url, '')")} AS path FROM pages)
+own AS (SELECT page_id, {_node_sql("url")} AS node, {_HOST_SQL.format("coalesce(url, '')")} AS host, {_PATH_SQL.format("coalesce(url, '')")} AS path FROM pages)
 SELECT page_id, host, path, {_rule_sql("host", "path", 0)} AS rule,
        coalesce({_rule_sql("host", "path", 1)}, CASE v WHEN 2 THEN 'allow' WHEN 1 THEN 'block' END, 'allow') AS verdict
-FROM own LEFT JOIN alias ON own.url = alias.a
+FROM own LEFT JOIN alias ON own.node = alias.a
 """

@@ -304,6 +304,15 @@ def test_urls_decisions_reach_nodes(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: (r.verdict, r.by) for r in urls.judge(df).collect()}
     assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "alias"), 4: ("allow", "alias"), 5: ("allow", "alias"), 6: ("block", "alias"), 7: ("block", "alias"), 8: ("allow", "default")}
+    # the SQL says the same of these pages and of all forms, each leading to a rule of its own
+    rows += [(10 + i, u, h) for i, (u, h, _) in enumerate(FORMS)] + [(100 + i, u, link(f"http://{('com/en', 'org/es')[i % 2]}/{i}")) for i, u in enumerate(sorted({o for *_, made in FORMS for o in made}))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = sorted(con.execute(urls.ORACLE_SQL).fetchall(), key=str)
+    assert want == sorted((tuple(r) for r in urls.judge(df).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+    assert sum(r[4] == "block" for r in want) > 20
     redirects = spark.createDataFrame([("http://d.edu/#f", "http://COM/x/../en/")], "url string, other string")
     assert urls.judge(spark.createDataFrame([(9, "http://D.edu", None)], df.schema), redirects=redirects).first().verdict == "block"
 
