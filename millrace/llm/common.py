@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,17 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither repeat its work nor depend on the executors that did it."""
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write df to the shared folder, in folders by some columns, and read it back: later steps neither repeat its work nor depend on the executors that did it."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete what cut() has written for these tables; whatever was derived from them must have been written by then."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        for path in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()[:1]}:  # above the folders by columns
             where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -4,9 +4,9 @@ A text is the subword ids of its words and one end. One layer of causal self-att
 the current id and, by attention, the ids in a context window say, then a softmax in two steps, over frequent ids, the end and blocks of rarer ids, and
 inside a block over its ids. A word's probability is that of its ids.
 
-The model starts from how often each id occurs in all training texts and is trained in numpy on executors: each of a number of tasks trains a copy on its share of
-windows, and after every round the copies are averaged, row by row. Windows are taken from one span of words in `every` of all texts, picked by
-what it holds, so what the model sees grows with the corpus.
+The model starts from how often each id occurs in all training texts and is trained in numpy on executors, once through every id of all of them: in each
+round a number of tasks trains a copy on its share of windows, and then the copies are averaged, row by row, with what AdaGrad knows of each row. Both rounds and
+copies grow with the corpus.
 
 Beside the attention stands a memory of all training texts: how often each stretch of words occurs, where stretches end at words that a hash picks.
 A stretch is either recalled whole, with a small probability in all, or comes word by word from the attention. A text that was learned from does not
@@ -31,14 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, parts, read_table
+from millrace.llm.common import cut, discard, lean, parts, read_table
 
 NAME = "op1_lm_score"
 HEAD, BLOCKS = 127, 32
 KEY, STATE = 16, 32
 RECALL = 0.05  # the probability that a stretch is recalled
-_TABLE_WORDS, _CACHE_WORDS, _FLUSH = 600_000, 400_000, 1 << 19
-_SPAN, _BEFORE = 24, 16  # words of a training span, and words before it that give its context
+_TABLE_WORDS, _FLUSH = 600_000, 1 << 19
+_PIECE = 4096  # windows of a stretch of ids that is handed on for training
+_PART_BYTES, _HOT_STRETCHES = 200 << 20, 1 << 18  # text whose stretches make one part of the memory; stretches at hand in tasks
 _state: dict = {}
 
 
@@ -291,11 +292,42 @@ def start_model(counts: np.ndarray, context: int = 32, step: int = 32, seed: int
     return Attention(voc, context, step, offer, ask, tail, rest)
 
 
-def train(model: Attention, windows: np.ndarray, rate: float = 0.3, batch: int = 128, seed: int = 1) -> dict[str, np.ndarray]:
-    """Train model in place by AdaGrad on windows (rows of context + step + 1 ids; -1 marks none); returns how often each row of a parameter was touched."""
+def packed(ids: np.ndarray, sizes: np.ndarray, size: int, context: int, step: int) -> list[np.ndarray]:
+    """Texts' ids, end to end, as stretches of at most _PIECE windows: `context` times none, the start, the ids, the end, none up to whole windows. A
+    later stretch of a long text starts with the ids that its first window sees. Numbers are one higher than ids, 0 is none."""
+    counts = -(-(sizes + 1) // step)
+    length = context + 1 + counts * step
+    base = np.cumsum(length) - length
+    x = np.zeros(int(length.sum()), np.uint16 if size + 2 < 1 << 16 else np.int32)
+    x[base + context] = size + 1
+    x[np.arange(len(ids)) + np.repeat(base + context + 1 - np.cumsum(sizes) + sizes, sizes)] = ids + 1
+    x[base + context + 1 + sizes] = size + 2
+    out = []
+    for b, k in zip(base.tolist(), counts.tolist(), strict=True):
+        out += [x[b + lo * step : b + min(k, lo + _PIECE) * step + context + 1] for lo in range(0, k, _PIECE)]
+    return out
+
+
+def windows_of(stretches: list[np.ndarray], context: int, step: int) -> np.ndarray:
+    """The windows of stretches of packed(), in rows of context + step + 1 ids; -1 marks none. Each id and each end is a target once."""
+    length = np.array([len(x) for x in stretches])
+    counts = (length - context - 1) // step
+    starts = np.repeat(np.cumsum(length) - length - step * (np.cumsum(counts) - counts), counts) + step * np.arange(counts.sum())
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate(stretches).astype(np.int32) - 1, context + step + 1)[starts]
+
+
+def start_energy(model: Attention) -> dict[str, np.ndarray]:
+    """What AdaGrad knows before training: a mean of squared gradients for each row, for the parameters of the one row `rest` each its own."""
+    return {k: np.full((len(p), p.shape[1] if k == "rest" else 1), 1e-6, np.float32) for k, p in model.parameters().items()}
+
+
+def train(model: Attention, windows: np.ndarray, rate: float = 0.3, batch: int = 128, seed: int = 1, energy: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Train model in place by AdaGrad on windows (rows of context + step + 1 ids; -1 marks none); returns how often each row of a parameter was touched.
+    energy: what earlier training knew, which this one adds to."""
     voc, context, step = model.vocabulary, model.context, model.step
     params = model.parameters()
-    squared = {k: np.full(p.shape, 1e-6, np.float32) for k, p in params.items()}
+    energy = start_energy(model) if energy is None else energy
+    squared = {k: np.broadcast_to(energy[k], p.shape).copy() for k, p in params.items()}
     touched = {k: np.zeros(len(p), np.float32) for k, p in params.items()}
 
     def update(name: str, rows, grad: np.ndarray, count) -> None:
@@ -348,6 +380,8 @@ def train(model: Attention, windows: np.ndarray, rate: float = 0.3, batch: int =
         scatter("offer", ids.ravel(), g_offer.reshape(-1, KEY + STATE))
         scatter("ask", ids[:, context:].ravel(), g_ask.reshape(-1, KEY + STATE))
         update("rest", slice(None), np.concatenate(rest)[None], 1)
+    for k, x in squared.items():
+        energy[k][:] = x if k == "rest" else x.mean(1, keepdims=True)
     return touched
 
 
@@ -360,6 +394,7 @@ class Shared:
     total: int
     distinct: int
     ends: int
+    groups: int  # parts of the memory
     recalled: int = 0
     key: str = ""
     hot: dict[bytes, int] = field(default_factory=dict)
@@ -387,16 +422,14 @@ def _dealt(rows: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
         yield p, rows[order[ends[p] : ends[p + 1]]].tobytes()
 
 
-def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 32, step: int = 32) -> DataFrame:
-    """What training texts (text) give, from one pass: word counts (kind 0), counts of stretches by part (1; n is their sum) and training windows (2; n of them). The
-    end of each text counts as the word ''. Tasks add up before they hand on, in tables of bounded size."""
+def gather(docs: DataFrame, path: str, groups: int, context: int = 32, step: int = 32) -> DataFrame:
+    """What training texts (text) give, from one pass: word counts (kind 0), counts of stretches by part (1; n is their sum) and the ids of all texts to train on (2; n
+    is the number of windows). The end of each text counts as the word ''. Tasks add up before they hand on, in tables of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, size = encoder(path)
-        table, counts, ends = Words(enc, ids=False), np.zeros(1024, np.int64), 0
-        ids: dict[bytes, list[int]] = {}
+        table, counts, ends = Words(enc), np.zeros(1024, np.int64), 0
         held: list[np.ndarray] = []
-        windows: list[np.ndarray] = []
         seen = 0
 
         def rows(kind: int, word=None, n=(), part=None, data=None) -> pa.RecordBatch:
@@ -418,12 +451,14 @@ def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 3
             held.clear()
             return rows(1, None, [int(np.frombuffer(d, _STRETCH)["n"].sum()) for _, d in out], [p for p, _ in out], [d for _, d in out])
 
-        def encoded(words: list[bytes]) -> list[int]:
-            if len(ids) > _CACHE_WORDS:
-                ids.clear()
-            new = list(set(words).difference(ids))
-            ids.update(zip(new, pieces(enc, new), strict=True))
-            return [i for w in words for i in ids[w]]
+        def to_train(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            while found:
+                some, n = [], 0
+                while found and n < _PIECE:
+                    some.append(found.pop())
+                    n += (len(some[-1]) - context - 1) // step
+                head = np.array([len(some), *map(len, some)], np.int32)
+                yield rows(2, None, [n], None, [head.tobytes() + np.concatenate(some).tobytes()])
 
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -440,39 +475,17 @@ def gather(docs: DataFrame, path: str, groups: int, every: int, context: int = 3
                 if len(value):
                     held.append(value)
                     seen += len(value)
-                # spans for training are picked by what they hold
-                at = 0
-                for t in texts:
-                    spans = np.arange(0, len(t), _SPAN)
-                    if len(spans):
-                        picked = _mix(np.add.reduceat(h[at : at + len(t)], spans) + spans.astype(np.uint64)) % np.uint64(every) == 0
-                        for s in spans[picked].tolist():
-                            head = encoded(t[max(0, s - _BEFORE) : s])
-                            if s <= _BEFORE:
-                                head = [size, *head]
-                            body = encoded(t[s : s + _SPAN]) + ([size + 1] if s + _SPAN >= len(t) else [])
-                            head = head[-(context + 1) :]
-                            x = np.full(context + 1 + -(-len(body) // step) * step, -1, np.int32)
-                            x[context + 1 - len(head) : context + 1] = head
-                            x[context + 1 : context + 1 + len(body)] = body
-                            windows.append(np.lib.stride_tricks.sliding_window_view(x, context + step + 1)[::step])
-                    at += len(t)
+                of_text = np.bincount(np.repeat(np.arange(len(texts)), sizes), table.length[number], minlength=len(texts)).astype(np.int64)
+                yield from to_train(packed(table.subwords(number), of_text, size, context, step))
                 if len(table.number) > _TABLE_WORDS:
                     yield words_out()
                 if seen > _FLUSH:
                     yield stretches_out()
                     seen = 0
-                if len(windows) >= 1024:
-                    x = np.concatenate(windows)
-                    yield rows(2, None, [len(x)], None, [x.astype(np.int32).tobytes()])
-                    windows.clear()
         if ends:
             yield words_out()
         if held:
             yield stretches_out()
-        if windows:
-            x = np.concatenate(windows)
-            yield rows(2, None, [len(x)], None, [x.astype(np.int32).tobytes()])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, _GATHERED)
 
@@ -496,17 +509,12 @@ def _averaged(updates: DataFrame) -> DataFrame:
     """(name, slice, data) -> the same with one row for each name and slice: changes of rows, weighed by how often they were touched."""
 
     def merge(key, table):
-        sums: dict[int, np.ndarray] = {}
-        for d in table.column("data").to_pylist():
-            rows = np.frombuffer(d, np.float32).reshape(-1, int(np.frombuffer(d[:4], np.int32)[0]))[:, 1:]
-            for r in rows:
-                i = int(r[0])
-                sums[i] = sums[i] + r[1:] if i in sums else r[1:].copy()
-        width = len(next(iter(sums.values()))) + 2
-        out = np.empty((len(sums), width), np.float32)
-        out[:, 0] = np.int32(width).view(np.float32)
-        out[:, 1], out[:, 2:] = list(sums), np.stack(list(sums.values()))
-        return pa.table({"name": pa.array([key[0].as_py()]), "slice": pa.array([key[1].as_py()], pa.int32()), "group": pa.array([0], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+        rows = np.concatenate([_change(d) for d in table.column("data").to_pylist()])
+        order = np.argsort(rows[:, 0], kind="stable")
+        _, first = np.unique(rows[order, 0], return_index=True)
+        sums = np.add.reduceat(rows[order], first)
+        sums[:, 0] = rows[order[first], 0]
+        return pa.table({"name": pa.array([key[0].as_py()]), "slice": pa.array([key[1].as_py()], pa.int32()), "group": pa.array([0], pa.int32()), "data": pa.array([_told(sums)], pa.binary())})
 
     schema = "name string, slice int, group int, data binary"
     # in two steps, so that no task adds up what very many others made
@@ -514,48 +522,77 @@ def _averaged(updates: DataFrame) -> DataFrame:
     return some.groupBy("name", "slice").applyInArrow(merge, schema)
 
 
-def fit(windows: DataFrame, model: Attention, rounds: int = 2, each: int = 16_384) -> Attention:
-    """model after some rounds of training on windows (n, data), each round on its share of them. Tasks have about `each` windows; what they change is
-    averaged on executors, and the driver gets the averages, which are as large as the model."""
-    spark, slices = windows.sparkSession, 512
-    total = windows.agg(F.sum("n")).first()[0] or 0
+def _told(rows: np.ndarray) -> bytes:
+    """Rows of (row, times touched, energy, change) as bytes that start with their width."""
+    return np.int32(rows.shape[1]).tobytes() + np.ascontiguousarray(rows, np.float32).tobytes()
+
+
+def _change(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float32, offset=4).reshape(-1, int(np.frombuffer(data[:4], np.int32)[0]))
+
+
+def fit(found: DataFrame, model: Attention, each: int = 65_536, rate: float = 0.3) -> Attention:
+    """model after training once through all windows of found (n, data; from gather()). A task trains its copy on about `each` windows in a round. With k tasks in all there
+    are about twice the cube root of k rounds, dealt by hash: depth and breadth both grow with the corpus. Changes are averaged on
+    executors, and the driver gets the averages, which are as large as the model."""
+    spark, slices = found.sparkSession, 512
+    total = found.agg(F.sum("n")).first()[0] or 0
     if not total:
         return model
-    dealt = cut(windows.select("n", "data").withColumn("round", F.pmod(F.xxhash64("data"), F.lit(rounds)))).repartition(int(-(-total // (rounds * each))))
+    tasks = -(-total // each)
+    rounds = min(tasks, int(np.ceil(2 * tasks ** (1 / 3))))
+    copies = -(-tasks // rounds)
+    by = F.xxhash64("data")
+    # a round's rows lie in a folder of their own, in few files
+    dealt = cut(found.select("data", F.pmod(by, F.lit(rounds)).alias("round")).repartition("round", F.pmod(F.shiftright(by, 32), F.lit(-(-copies // 8)))), "round")
+    energy = start_energy(model)
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast((model, energy))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            old = shared.value
-            held = [np.frombuffer(d, np.int32) for b in batches for d in b.column(0).to_pylist()]
+            old, before = shared.value
+            kind, held = np.uint16 if old.vocabulary.size + 2 < 1 << 16 else np.int32, []
+            for b in batches:
+                for d in b.column(0).to_pylist():
+                    n = int(np.frombuffer(d[:4], np.int32)[0])
+                    length = np.frombuffer(d, np.int32, n, 4)
+                    held += np.split(np.frombuffer(d, kind, offset=4 + 4 * n), np.cumsum(length)[:-1])
             if not held:
                 return
             own = Attention(old.vocabulary, old.context, old.step, *[p.copy() for p in old.parameters().values()])
-            touched = train(own, np.concatenate(held).reshape(-1, old.context + old.step + 1), rate=0.3 / (1 + 2 * r), seed=r + 1)
+            after = {k: e.copy() for k, e in before.items()}
+            touched = train(own, windows_of(held, old.context, old.step), rate, seed=r + 1, energy=after)
             group = TaskContext.get().partitionId() // 64
             for name, p in own.parameters().items():
                 rows = np.flatnonzero(touched[name])
-                change = (p[rows] - old.parameters()[name][rows]) * touched[name][rows][:, None]
-                out = np.empty((len(rows), p.shape[1] + 3), np.float32)
-                out[:, 0] = np.int32(out.shape[1]).view(np.float32)
-                out[:, 1], out[:, 2], out[:, 3:] = rows, touched[name][rows], change
+                often = touched[name][rows][:, None]
+                out = np.concatenate([rows[:, None], often, (after[name] - before[name])[rows] * often, (p[rows] - old.parameters()[name][rows]) * often], 1)
                 part = rows // slices
                 for k in np.unique(part).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([out[part == k].tobytes()], pa.binary())], names=["name", "slice", "group", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([_told(out[part == k])], pa.binary())], names=["name", "slice", "group", "data"])
 
-        own_share = dealt.where(F.col("round") == r).select("data")
-        changes = _averaged(cut(own_share.mapInArrow(run, "name string, slice int, group int, data binary"))).toArrow()
+        own_share = dealt.where(F.col("round") == r).select("data").repartition(copies)
+        made = cut(own_share.mapInArrow(lean(run), "name string, slice int, group int, data binary"))
+        changes = _averaged(made).toArrow()
+        discard(made)
         model = Attention(model.vocabulary, model.context, model.step, *[p.copy() for p in model.parameters().values()])
+        energy = {k: e.copy() for k, e in energy.items()}
         for name, d in zip(changes.column("name").to_pylist(), changes.column("data").to_pylist(), strict=True):
-            rows = np.frombuffer(d, np.float32).reshape(-1, int(np.frombuffer(d[:4], np.int32)[0]))
-            model.parameters()[name][rows[:, 1].astype(np.int64)] += rows[:, 3:] / rows[:, 2:3]
+            x, wide = _change(d), energy[name].shape[1]
+            rows = x[:, 0].astype(np.int64)
+            energy[name][rows] += x[:, 2 : 2 + wide] / x[:, 1:2]
+            model.parameters()[name][rows] += x[:, 2 + wide :] / x[:, 1:2]
+        shared.destroy()
+    discard(dealt)
     return model
 
 
-def learn(docs: DataFrame, path: str, hot_words: int = 400_000, every: int = 16, rounds: int = 2) -> Learned:
-    """What scoring docs needs from training texts docs (text): all of them give counts and the memory, and one span of words in `every` trains attention."""
-    spark, groups = docs.sparkSession, parts(docs.sparkSession)
-    found = cut(gather(docs, path, groups, every))
+def learn(docs: DataFrame, path: str, hot_words: int = 400_000, each: int = 65_536) -> Learned:
+    """What scoring docs needs from training texts docs (text): all of them give counts and the memory, and train attention. The memory has a part for about
+    every 200 MB of text, so what one task holds of it does not grow with the corpus."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    groups = max(parts(docs.sparkSession), size // _PART_BYTES)
+    found = cut(gather(docs, path, groups))
     words = cut(found.where("kind = 0").groupBy("word").agg(F.sum("n").alias("n")))
 
     def merge(key, table):
@@ -567,7 +604,7 @@ def learn(docs: DataFrame, path: str, hot_words: int = 400_000, every: int = 16,
 
     memory = cut(found.where("kind = 1").select("part", "data").groupBy("part").applyInArrow(merge, "part int, data binary"))
     recalled = found.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    least = max(2, recalled // (16 * groups))  # so no more than 16 a part are that frequent
+    least = max(2, recalled // min(16 * groups, _HOT_STRETCHES))  # so no more than that many are that frequent
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -586,11 +623,11 @@ def learn(docs: DataFrame, path: str, hot_words: int = 400_000, every: int = 16,
     for i, n in _id_counts(words, path).collect():  # a row for each id
         counts[i] = n
     counts[size] = ends or 0
-    model = fit(found.where("kind = 2"), start_model(counts), rounds)
+    model = fit(found.where("kind = 2"), start_model(counts), each)
 
     top = words.where("word <> ''").orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
     known = dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("n").to_pylist(), strict=True))
-    return Learned(Shared(model, path, int(total or 0), int(distinct), int(ends or 0), int(recalled), uuid.uuid4().hex, known, (values[by], often[by])), words, memory)
+    return Learned(Shared(model, path, int(total or 0), int(distinct), int(ends or 0), groups, int(recalled), uuid.uuid4().hex, known, (values[by], often[by])), words, memory)
 
 
 def recalled_gain(log10: np.ndarray, count: np.ndarray, total: int) -> np.ndarray:
@@ -607,7 +644,7 @@ def score(docs: DataFrame, learned: Learned, trained_on: Column | None = None) -
     them. Null and empty texts are one end. Counts of frequent words and stretches are at hand in the tasks; the others are joined with the counts of
     all. Rows may repeat and ids may be null; other columns are ignored; an empty table gives no rows.
     """
-    spark, groups = docs.sparkSession, parts(docs.sparkSession)
+    spark, groups = docs.sparkSession, learned.shared.groups
     held = spark.sparkContext.broadcast(learned.shared)
     flag = F.lit(False) if trained_on is None else F.coalesce(trained_on, F.lit(False))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("trained"), F.col("text").cast("string").alias("text"))

@@ -70,7 +70,7 @@ def one_by_one(text):
 def test_scores_against_one_position_at_a_time(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, score string, n_tokens double")
-    learned = lm.learn(df.where(~lm.held_out(lm.F.col("doc_id"))), PATH, hot_words=20, every=2)
+    learned = lm.learn(df.where(~lm.held_out(lm.F.col("doc_id"))), PATH, hot_words=20, each=128)
     got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.attention_score, 2), round(r.score, 2)) for r in lm.score(df.repartition(4), learned, ~lm.held_out(lm.F.col("doc_id"))).collect())
     counts, memory = Counter(), Counter()
     for i, t, *_ in rows:
@@ -120,6 +120,41 @@ def test_windows_score_each_id_once_and_causally():
     assert np.allclose(narrow.log_probabilities(changed, [57])[:39], whole[:39], atol=1e-4), "nothing looks ahead"
 
 
+def test_every_id_is_trained_on_once():
+    rng, size = np.random.default_rng(3), 300
+    sizes = np.array([0, 1, 3, 4, 11, 20_000])
+    ids = rng.integers(0, size, sizes.sum())
+    found = lm.packed(ids, sizes, size, 4, 3)
+    assert max((len(x) - 5) // 3 for x in found) <= lm._PIECE < -(-20_001 // 3)
+    windows = lm.windows_of(found, 4, 3)
+    want, at = [], 0
+    for n in sizes.tolist():
+        seq = [size, *ids[at : at + n].tolist(), size + 1]
+        want += [(tuple(([-1] * 5 + seq[: i])[-5:]), seq[i]) for i in range(1, len(seq))]
+        at += n
+    got = [(tuple(w[k : k + 5].tolist()), int(w[5 + k])) for w in windows for k in range(3) if w[5 + k] >= 0]
+    assert Counter(got) == Counter(want)
+
+
+def test_more_rounds_with_more_text(spark, monkeypatch):
+    """All windows of all rounds are trained on, each once, whatever the number of rounds and copies; what AdaGrad knows goes from round to round."""
+    df = spark.createDataFrame([(" ".join(f"w{(i * k) % 97}" for k in range(1, 80)),) for i in range(60)], "text string")
+    found = lm.cut(lm.gather(df, PATH, 2).where("kind = 2").select("n", "data"))
+    total = found.agg(lm.F.sum("n")).first()[0]
+    counts = np.ones(lm.encoder(PATH)[1] + 1)
+    energies = []
+    real = lm.Attention
+    for each in (total, -(-total // 8)):
+        start = lm.start_model(counts)
+        before = {k: p.copy() for k, p in start.parameters().items()}
+        model = lm.fit(found, start, each)
+        assert isinstance(model, real) and all((p == before[k]).all() for k, p in start.parameters().items())
+        energies.append(np.abs(model.rest - start.rest).sum())
+        text = np.r_[counts.size - 1, lm.encoder(PATH)[0].encode_ordinary(" w1 w2 w3")]
+        assert model.log_probabilities(text, [len(text)]).sum() > start.log_probabilities(text, [len(text)]).sum()
+    assert min(energies) > 0
+
+
 def test_next_ids_are_a_distribution():
     counts = np.r_[np.arange(300, 0, -1.0), 5]
     model = lm.start_model(counts, context=4, step=4)
