@@ -265,7 +265,7 @@ class Attention:
         return lp
 
     def _by_block(self, held: np.ndarray, target: np.ndarray):
-        """For the states before ids of each block: their places, log probabilities of the block's ids, and which is the target."""
+        """For the states before ids of each block: their places, probabilities of the block's ids, and which is the target."""
         voc = self.vocabulary
         block = voc.block[target]
         order = np.argsort(block, kind="stable")
@@ -275,8 +275,10 @@ class Attention:
             for i in range(a, b, 1024):
                 pick = order[i : min(b, i + 1024)]
                 x = held[pick] @ self.tail[lo:hi, :STATE].T + self.tail[lo:hi, STATE]
-                x -= x.max(1, keepdims=True)
-                x -= np.log(np.exp(x).sum(1, keepdims=True))
+                if x.max() > 60:
+                    x -= x.max(1, keepdims=True)
+                np.exp(x, out=x)
+                x *= (1 / np.maximum(x @ np.ones(hi - lo, np.float32), np.float32(1e-37)))[:, None]
                 yield pick, (x, voc.row[target[pick]] - lo)
 
 
@@ -331,39 +333,53 @@ def train(model: Attention, windows: np.ndarray, rate: float = 0.3, batch: int =
     touched = {k: np.zeros(len(p), np.float32) for k, p in params.items()}
 
     def update(name: str, rows, grad: np.ndarray, count) -> None:
-        squared[name][rows] += grad * grad
-        params[name][rows] -= np.float32(rate) * grad / np.sqrt(squared[name][rows])
+        known = grad * grad
+        known += squared[name][rows]
+        squared[name][rows] = known
+        np.sqrt(known, out=known)
+        np.divide(grad, known, out=known)
+        known *= np.float32(rate)
+        params[name][rows] -= known
         touched[name][rows] += count
 
     def scatter(name: str, ids: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        here, first = np.unique(ids[order], return_index=True)
-        update(name, here, np.add.reduceat(grad[order], first), np.diff(np.r_[first, len(ids)]))
-
+        order = np.argsort(ids.astype(small), kind="stable")  # numbers of two bytes are sorted by digits
+        ids = ids[order]
+        new = np.r_[True, ids[1:] != ids[:-1]]
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first, wide = np.flatnonzero(new), grad.shape[1]
+        total = np.bincount((place[:, None] * wide + np.arange(wide)).ravel(), grad.ravel(), minlength=len(first) * wide)
+        update(name, ids[first], total.reshape(-1, wide).astype(np.float32), np.diff(np.r_[first, len(ids)]))
+
+    small = np.uint16 if voc.size < 1 << 16 else np.int64
+    ones = np.ones(voc.columns, np.float32)
+    mask_gap = model._mask()[1]
+    near = mask_gap >= 0
     shuffled = windows[np.random.default_rng(seed).permutation(len(windows))]
     for lo in range(0, len(shuffled), batch):
         window, target = shuffled[lo : lo + batch, :-1], shuffled[lo : lo + batch, context + 1 :].astype(np.int64)
         window = np.where(window > voc.size, -1, window)  # nothing follows an end
-        mask, gap = model._mask()
-        _, out, _ = model.split(model.rest)
-        h, a, ids, kv, qe = model.states(window, mask)
+        _, out, bias = model.split(model.rest)
+        h, a, ids, kv, qe = model.states(window, model._mask()[0])
         live = np.flatnonzero(target.ravel() >= 0)
         if not len(live):
             continue
+        n = np.float32(len(live))
         own, states = target.ravel()[live], h.reshape(-1, STATE)[live]
-        x = states @ out + model.split(model.rest)[2]
-        x -= x.max(1, keepdims=True)
+        x = states @ out
+        x += bias
+        if x.max() > 60:
+            x -= x.max(1, keepdims=True)
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
-        x[np.arange(len(live)), voc.column[own]] -= 1
-        x /= len(live)
+        x *= (1 / (n * np.maximum(x @ ones, np.float32(1e-37))))[:, None]
+        x[np.arange(len(live)), voc.column[own]] -= 1 / n
         g = x @ out.T
         rest = [np.zeros(context + 1, np.float32), (states.T @ x).ravel(), x.sum(0)]
         rare = np.flatnonzero(voc.block[own] >= 0)
-        for pick, (logs, place) in model._by_block(states[rare], own[rare]):
-            d = np.exp(logs)
+        for pick, (d, place) in model._by_block(states[rare], own[rare]):
             d[np.arange(len(pick)), place] -= 1
-            d /= len(live)
+            d /= n
             b = voc.block[own[rare[pick[0]]]]
             rows = slice(voc.edges[b], voc.edges[b + 1])
             g[rare[pick]] += d @ model.tail[rows, :STATE]
@@ -371,12 +387,12 @@ def train(model: Attention, windows: np.ndarray, rate: float = 0.3, batch: int =
         gh = np.zeros((len(window) * step, STATE), np.float32)
         gh[live] = g
         gh = gh.reshape(len(window), step, STATE)
-        ga = np.matmul(gh, kv[:, :, KEY:].transpose(0, 2, 1))
-        gs = a * (ga - (a * ga).sum(2, keepdims=True))
+        gs = np.matmul(gh, kv[:, :, KEY:].transpose(0, 2, 1))
+        gs -= np.einsum("bij,bij->bi", a, gs)[:, :, None]
+        gs *= a
         g_offer = np.concatenate([np.matmul(gs.transpose(0, 2, 1), qe[:, :, :KEY]), np.matmul(a.transpose(0, 2, 1), gh)], 2)
         g_ask = np.concatenate([np.matmul(gs, kv[:, :, :KEY]), gh], 2)
-        near = gap >= 0
-        rest[0] += np.bincount(gap[near], gs.sum(0)[near], minlength=context + 1).astype(np.float32)
+        rest[0] += np.bincount(mask_gap[near], gs.sum(0)[near], minlength=context + 1).astype(np.float32)
         scatter("offer", ids.ravel(), g_offer.reshape(-1, KEY + STATE))
         scatter("ask", ids[:, context:].ravel(), g_ask.reshape(-1, KEY + STATE))
         update("rest", slice(None), np.concatenate(rest)[None], 1)

@@ -136,23 +136,22 @@ def test_every_id_is_trained_on_once():
     assert Counter(got) == Counter(want)
 
 
-def test_more_rounds_with_more_text(spark, monkeypatch):
-    """All windows of all rounds are trained on, each once, whatever the number of rounds and copies; what AdaGrad knows goes from round to round."""
+def test_rounds_of_averaged_copies_learn(spark):
+    """One round of one copy, and several rounds of several: the text gets likelier, and the model that was handed in is left as it was."""
     df = spark.createDataFrame([(" ".join(f"w{(i * k) % 97}" for k in range(1, 80)),) for i in range(60)], "text string")
     found = lm.cut(lm.gather(df, PATH, 2).where("kind = 2").select("n", "data"))
     total = found.agg(lm.F.sum("n")).first()[0]
     counts = np.ones(lm.encoder(PATH)[1] + 1)
-    energies = []
-    real = lm.Attention
+    moved = []
     for each in (total, -(-total // 8)):
         start = lm.start_model(counts)
         before = {k: p.copy() for k, p in start.parameters().items()}
         model = lm.fit(found, start, each)
-        assert isinstance(model, real) and all((p == before[k]).all() for k, p in start.parameters().items())
-        energies.append(np.abs(model.rest - start.rest).sum())
+        assert all((p == before[k]).all() for k, p in start.parameters().items())
+        moved.append(np.abs(model.rest - start.rest).sum())
         text = np.r_[counts.size - 1, lm.encoder(PATH)[0].encode_ordinary(" w1 w2 w3")]
         assert model.log_probabilities(text, [len(text)]).sum() > start.log_probabilities(text, [len(text)]).sum()
-    assert min(energies) > 0
+    assert min(moved) > 0
 
 
 def test_next_ids_are_a_distribution():
