@@ -38,12 +38,12 @@ def from_kafka(records: DataFrame) -> DataFrame:
 def split_frame(value: Column) -> Column:
     """A struct (framed, schema_id, payload) of a binary value: a zero byte, four bytes of schema id and the record, or else all payload."""
     framed = (F.substring(value, 1, 1) == F.lit(b"\x00")) & (F.octet_length(value) > 5)
-    schema_id = F.conv(F.hex(F.substring(value, 2, 4)), 16, 10).cast("int")
+    schema_id = F.conv(F.hex(F.substring(value, 2, 4)), 16, 10).try_cast("int")
     return F.struct(F.coalesce(framed, F.lit(False)).alias("framed"), F.when(framed, schema_id).alias("schema_id"), F.when(framed, F.substring(value, 6, 2**31 - 1)).otherwise(value).alias("payload"))
 
 
 def decode_avro(df: DataFrame, schemas: dict[int, str] | str, value: str = "value") -> DataFrame:
-    """Rows whose Avro value decodes, as a column record; others are skipped. Needs the spark-avro package. schemas: one for raw values, or by id."""
+    """Rows whose Avro value decodes, as a column record; others are skipped (undecoded() tells those whose frame is at fault). Needs the spark-avro package. schemas: one for raw values, or by id."""
     from pyspark.sql.avro.functions import from_avro
 
     if isinstance(schemas, str):
@@ -53,6 +53,15 @@ def decode_avro(df: DataFrame, schemas: dict[int, str] | str, value: str = "valu
     return frame.withColumn("record", record).where("record IS NOT NULL").drop("__frame")
 
 
+def undecoded(df: DataFrame, ids: list[int], value: str = "value") -> DataFrame:
+    """The rows that decode_avro skips for their frame when it has schemas for ids, with the reason as a column error: for an error sink, or to be counted. Works on streams."""
+    frame = split_frame(F.col(value))
+    known = F.coalesce(frame["schema_id"].isin(ids), F.lit(False)) if ids else F.lit(False)
+    unknown = F.concat(F.lit("unknown schema id "), F.coalesce(frame["schema_id"].cast("string"), F.lit("out of range")))
+    error = F.when(F.col(value).isNull(), "no value").when(~frame["framed"], "no frame").when(~known, unknown)
+    return df.withColumn("error", error).where("error IS NOT NULL")
+
+
 def unwrap_arrays(value: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
     """A value in which every struct whose only field is an array named array is replaced by that array, at any depth."""
     if isinstance(kind, T.StructType) and kind.names == ["array"] and isinstance(kind["array"].dataType, T.ArrayType):

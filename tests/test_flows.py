@@ -119,6 +119,9 @@ def test_sources(spark):
     assert readers.from_kafka(records).select("meta").first()[0] == {"topic": "t", "partition": "1", "offset": "5", "key": "k"}
     frames = spark.createDataFrame([(b"\x00\x00\x00\x01\x02rec",), (b"raw",), (b"\x00\x00\x00\x00\x01",)], "v binary").select(readers.split_frame(F.col("v")).alias("f")).select("f.*").collect()
     assert [(r.framed, r.schema_id, bytes(r.payload)) for r in frames] == [(True, 258, b"rec"), (False, None, b"raw"), (False, None, b"\x00\x00\x00\x00\x01")]
+    odd = spark.createDataFrame([(b"\x00\x00\x00\x01\x02rec",), (b"\x00\x00\x00\x00\x07rec",), (b"raw",), (None,), (b"\x00\xff\xff\xff\xffrec",)], "value binary")
+    assert [r.error for r in readers.undecoded(odd, [258]).collect()] == ["unknown schema id 7", "no frame", "no value", "unknown schema id out of range"]
+    assert readers.undecoded(odd, []).count() == 5 and readers.undecoded(odd.limit(0), [258]).count() == 0
     messages = readers.to_messages(spark.sql("SELECT 1 AS id, CAST(NULL AS STRING) AS x"), "t").first()
     assert json.loads(messages.value) == {"id": 1, "x": None} and messages.meta == {"table": "t", "id": "1"}
 
