@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,16 +85,21 @@ def align(df: DataFrame, target: list[tuple[str, str]]) -> DataFrame:
 def misfits(df: DataFrame, target: list[tuple[str, str]], required: tuple[str, ...] = ()) -> list[tuple[Column, str]]:
     """Checks for split_bad on rows of df before they are aligned: numbers within range, times and dates that can be read, and required columns there."""
     dynamic, checks = paths.is_dynamic(df), []
+
+    def check(value: Column, own: T.DataType, use: Callable[[Column, Column | None], Column]) -> Column:
+        # a variant and its kind are taken out once, as checks mention both many times
+        return paths.once(value, lambda v: paths.once(F.schema_of_variant(v), lambda what: use(v, what))) if dynamic else use(value, None)
+
     for name, kind in target:
         if not dynamic and name not in df.columns:
             value, own = None, None
         else:
             value, own = (paths.variant_at(F.col(paths.BODY), name), T.VariantType()) if dynamic else (F.col(f"`{name}`"), df.schema[name].dataType)
         if name in required:
-            there = F.lit(False) if value is None else (_parts(value, own)[1].isNotNull() if dynamic else value.isNotNull())
+            there = F.lit(False) if value is None else (check(value, own, lambda v, what: _parts(v, own, what)[1].isNotNull()) if dynamic else value.isNotNull())  # noqa: B023
             checks.append((there, f"{name} is missing"))
         if value is not None and base_type(kind) in INTEGERS + REALS:
-            checks.append((_parts(value, own)[0].isNull() | coerce(value, own, kind).isNotNull(), f"{name} is out of range for {kind}"))
+            checks.append((check(value, own, lambda v, what: _parts(v, own, what)[0].isNull() | coerce(v, own, kind, what).isNotNull()), f"{name} is out of range for {kind}"))  # noqa: B023
         if value is not None and (base_type(kind).startswith("timestamp") or base_type(kind) == "date"):
-            checks.append((_parts(value, own)[1].isNull() | coerce(value, own, kind).isNotNull(), f"{name} is out of form for {kind}"))
+            checks.append((check(value, own, lambda v, what: _parts(v, own, what)[1].isNull() | coerce(v, own, kind, what).isNotNull()), f"{name} is out of form for {kind}"))  # noqa: B023
     return checks

@@ -63,11 +63,11 @@ def error_envelope(payload: Column, message: Column, at: Column, sink: str, meta
 
 
 def tag_bad(df: DataFrame, checks: list[tuple[Column, str]], column: str) -> DataFrame:
-    """df with the reason of the first check each row fails; null for good rows."""
+    """df with the reason of the first check each row fails; null for good rows. Filters on it stay above it: pushed below, they would parse bodies again at each mention."""
     reason = F.lit(None).cast("string")
     for ok, message in reversed(checks):
         reason = F.when(F.coalesce(ok, F.lit(False)), reason).otherwise(F.lit(message))
-    return df.withColumn(column, reason)
+    return df.drop(column).select("*", F.explode(F.array(reason)).alias(column))
 
 
 def split_bad(df: DataFrame, checks: list[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:

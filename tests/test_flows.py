@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import coerce, paths
+from millrace.functions.coerce import misfits
 from millrace.operators import reports, sinks
 from millrace.operators import transforms as t
 from millrace.plans import pipeline
@@ -213,3 +214,14 @@ def test_a_chain_parses_its_text_at_most_twice(spark):
     assert plan.count("from_json(") <= 2
     got = json.loads(out.select("value").first().value)
     assert got["b"] == 1 and got["d"] == "*" and set(got["at"]) == {"time"} and got["a"] == {"b": 1}
+
+
+def test_checks_parse_a_body_once_however_often_they_mention_it(spark):
+    """Filters on the reason stay above it; pushed below, they put the parsing in every place where a check mentions a value."""
+    text = ['{"type":"a","amount":7.0,"at":"2024-01-01T00:00:00Z"}', '{"type":"a","amount":3e10,"at":"soon"}', '{"type":"a","at":"soon"}', '{"amount":"x"}', '{"type":null,"amount":1}']
+    df = paths.parse_body(spark.createDataFrame([(i, v) for i, v in enumerate(text)], "id int, value string"))
+    good, bad = sinks.split_bad(df, misfits(df, [("type", "varchar"), ("amount", "int"), ("at", "timestamp")], ("type",)))
+    for part in (good.select("id"), bad.select("id", "reason")):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r.id for r in good.collect()] == [0]
+    assert {r.id: r.reason for r in bad.collect()} == {1: "amount is out of range for int", 2: "at is out of form for timestamp", 3: "type is missing", 4: "type is missing"}
