@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -81,3 +82,24 @@ def test_pairs_of_neutral_parts():
     model = toxicity.fit(terms[:2400], np.array(labels[:2400]))
     right = (model.scores(terms[2400:]) >= 0.5) == np.array(labels[2400:])
     assert right.mean() > 0.9
+
+
+def test_screening_terms_takes_little_more_memory_than_the_terms():
+    rng = np.random.default_rng(2)
+    terms = [np.sort(rng.choice(1 << toxicity.BITS, 2000, replace=False)).astype(np.int32) for _ in range(2000)]
+    terms = [np.unique(np.r_[t, rng.choice(1500, 500, replace=False)]).astype(np.int32) for t in terms]
+    labels = (np.arange(len(terms)) % 3 == 0).astype(float)
+    size = sum(t.nbytes for t in terms)
+    tracemalloc.start()
+    toxicity.informative(terms, labels, 4, ((1.0, 2.5),))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * size  # all terms side by side with their labels took 5 times
+
+
+def test_learning_gives_the_memory_back(spark, monkeypatch):
+    docs, labels, _ = corpus(spark, 200)
+    called = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: called.append(1), raising=False)
+    toxicity.learn(docs, labels)
+    assert called
