@@ -94,3 +94,22 @@ def test_suffix_arrays_and_prefixes():
 
 def test_repeated_strings_do_not_cross_pieces():
     assert [x.tolist() for x in suffix.repeated([b"abcab", b"cabc", b""], 3)] == [[0, 2], [0, 1], []]
+
+
+def test_what_a_group_shares_is_sorted_as_one_symbol(monkeypatch):
+    """The same positions as without, from fewer symbols."""
+    rng, length, pieces, cores = np.random.default_rng(4), 60, [], []
+    for g in range(6):
+        core = rng.integers(0, 256, 40).astype(np.uint8).tobytes()
+        for _ in range(8):
+            # all strings of 60 bytes hold the core: less than 21 bytes on each side of it
+            a, b = (bytes(rng.integers(0, 2, 20).astype(np.uint8))[: int(rng.integers(10, 21))] for _ in (0, 1))
+            a = (b"\x01" * 20 + a)[-len(a) :] if g % 2 else a
+            pieces.append(a + core + (bytes(20) if g % 3 == 0 else b))
+            cores.append(((len(a), len(a) + 40), g))
+    sorted_, real = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda s: sorted_.append(len(s)) or real(s))
+    plain, first = suffix.repeated(pieces, length), sorted_[0]
+    sorted_.clear()
+    assert [x.tolist() for x in suffix.repeated(pieces, length, cores)] == [x.tolist() for x in plain]
+    assert sum(map(len, plain)) > 0 and sorted_[0] < 0.6 * first
