@@ -1,5 +1,8 @@
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -195,3 +198,32 @@ def test_nothing_to_learn_from(spark):
     (r,) = lm.score(df, learned).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isfinite(r.score)
     assert lm.score(df.limit(0), learned).count() == 0
+
+
+def test_rounds_train_every_task_in_whole_waves():
+    for tasks in (1, 2, 5, 28, 60, 142, 143, 8400):
+        rounds, copies = lm.dealt(tasks * 1000 - 7, 1000)
+        least = min(tasks, math.ceil(2 * tasks ** (1 / 3)))
+        assert rounds * copies >= tasks and rounds >= least, "no task is left out, and there are no fewer rounds"
+        assert copies <= 12 or copies % 12 == 0, "13 tasks need as many waves of 6 cores as 18"
+    assert lm.dealt(142 * 1000, 1000) == (12, 12)
+
+
+def test_freed_memory_is_held_between_batches():
+    """In a process of its own, as the setting stays."""
+    code = """
+import resource
+import numpy as np
+from millrace.llm.common import hold_freed
+hold_freed()
+def batch():
+    return sum(float(x[-1]) for x in [np.ones(750_000, np.float32) for _ in range(6)])
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+batch()
+before = faults()
+for _ in range(20):
+    batch()
+print(faults() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert int(out.stdout) < 2000, "18 MB are 4400 pages, 20 times"
