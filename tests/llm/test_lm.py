@@ -192,6 +192,36 @@ def test_gradients():
     assert checked > 30
 
 
+def test_predicting_an_id_takes_few_scores():
+    """In a text whose k-th frequent of 3000 ids occurs in proportion to 1 / k: the scores of both softmaxes together, on average."""
+    counts = np.r_[1e6 / np.arange(1, 3001), np.zeros(2000), 20_000.0]
+    voc = lm.start_model(counts).vocabulary
+    inside = np.where(voc.block[:5000] >= 0, np.diff(voc.edges)[voc.block[:5000]], 0)
+    assert voc.columns + inside @ counts[:5000] / counts[:5000].sum() < 110
+
+
+def test_blocks_hold_ids_of_a_kind():
+    rng = np.random.default_rng(5)
+    counts, begins = np.r_[rng.permutation(5000 // np.arange(1, 901)) * (rng.random(900) < 0.9), 7.0], rng.random(900) < 0.4
+    voc = lm.start_model(counts, begins=begins).vocabulary
+    assert sorted(voc.tail.tolist()) == list(range(900)) and (voc.tail[voc.row[:900]] == np.arange(900)).all()
+    for up, end in zip(voc.edges[:-1], voc.edges[1:], strict=True):
+        own = voc.tail[up:end]
+        assert len(own) and (not counts[own].any() or (counts[own] > 0).all() and len(set(begins[own].tolist())) == 1)
+        assert (voc.column[own] == voc.block[own] + 1).all() and len(set(voc.block[own].tolist())) == 1
+    enc, flags = lm.encoder(PATH)[0], lm.begin_words(PATH)
+    assert flags[enc.encode_ordinary(" the")[0]] and not flags[enc.encode_ordinary("ing")[0]]
+
+
+def test_rows_of_the_same_id_are_summed():
+    rng = np.random.default_rng(6)
+    ids, grad = rng.zipf(1.3, 4000) % 70_000, rng.normal(size=(4000, 6)).astype(np.float32)
+    which, total, count = lm.summed(ids, grad)
+    want = np.zeros((70_000, 6))
+    np.add.at(want, ids, grad)
+    assert which.tolist() == np.unique(ids).tolist() and np.allclose(total, want[which], atol=1e-3) and count.tolist() == np.unique(ids, return_counts=True)[1].tolist()
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     learned = lm.learn(df.limit(0), PATH)
