@@ -213,6 +213,23 @@ def test_blocks_hold_ids_of_a_kind():
     assert flags[enc.encode_ordinary(" the")[0]] and not flags[enc.encode_ordinary("ing")[0]]
 
 
+def test_groups_of_pieces_change_nothing(monkeypatch):
+    rng, counts = np.random.default_rng(4), np.r_[9000 // np.arange(1, 601), np.zeros(100), 5.0]
+    windows = np.minimum(rng.zipf(1.2, (40, 9)) - 1, 699).astype(np.int32)
+    found = []
+    for most in (1 << 20, 300, 1):
+        monkeypatch.setattr(lm, "_SCORES", most)
+        model = lm.start_model(counts, context=4, step=4)
+        model.tail *= 30  # scores above 60 too
+        touched = lm.train(model, windows)
+        groups = list(model.vocabulary.pieces(model.vocabulary.by_block(windows[:, 5:].ravel())[1]))
+        assert all(len(g) == 1 or sum((b - a) * (j - i) for a, b, i, j, _ in g) <= most for g in groups) and (len(groups) == 1) == (most > 300)
+        found.append([model.log_probabilities(windows.ravel(), [9] * 40), touched["tail"], *model.parameters().values()])
+    for other in found[1:]:
+        assert all(np.allclose(x, y, rtol=1e-3, atol=1e-3) for x, y in zip(found[0], other, strict=True))
+    assert np.isfinite(found[0][0]).all()
+
+
 def test_rows_of_the_same_id_are_summed():
     rng = np.random.default_rng(6)
     ids, grad = rng.zipf(1.3, 4000) % 70_000, rng.normal(size=(4000, 6)).astype(np.float32)
